@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidepool.llm import bpe, exact_dedup, packing
+from tidepool.llm import bpe, exact_dedup, packing, quality, secrets
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_quality": quality.op2_quality,
+    "op5_secrets": secrets.op5_secrets,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
 }
