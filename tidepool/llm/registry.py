@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidepool.llm import bpe, exact_dedup, langid, packing, quality, rules, secrets
+from tidepool.llm import bpe, exact_dedup, langid, packing, ppm, quality, rules, secrets
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_quality": quality.op2_quality,
     "op3_language": langid.op3_language,
+    "op4_lm_score": ppm.op4_lm_score,
     "op5_secrets": secrets.op5_secrets,
     "op7_quality_rules": rules.op7_quality_rules,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
