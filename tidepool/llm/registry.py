@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepool.llm import bpe, exact_dedup, langid, packing, ppm, quality, rules, secrets
+from tidepool.llm import bpe, exact_dedup, langid, packing, ppm, quality, rules, secrets, simhash
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language": langid.op3_language,
     "op4_lm_score": ppm.op4_lm_score,
     "op5_secrets": secrets.op5_secrets,
+    "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": rules.op7_quality_rules,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
