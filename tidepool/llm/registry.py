@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepool.llm import bpe, exact_dedup, langid, packing, ppm, quality, rules, secrets, simhash
+from tidepool.llm import bpe, exact_dedup, langid, packing, ppm, quality, rules, secrets, simhash, substrings
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secrets": secrets.op5_secrets,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": rules.op7_quality_rules,
+    "op8_substrings": substrings.op8_substrings,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
 }
