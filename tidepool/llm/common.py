@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.shipping import ensure_importable
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -17,6 +19,7 @@ WORD_BYTES = rb"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -67,7 +70,7 @@ def binary_batch(batch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(rows), dtype=np.uint8), offsets
 
 
-def chunks(batches, max_bytes: int = 8 << 20, text: str = "text"):
+def chunks(batches, max_bytes: int = 2 << 20, text: str = "text"):
     """Slices of Arrow batches whose texts hold about max_bytes, so that what NumPy keeps
     beside a slice is bounded; one very long text is a slice of its own."""
     import pyarrow.compute as pc
