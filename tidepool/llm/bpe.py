@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import documents
 
 #: Pieces that each generation of a worker's cache holds.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 250_000
 #: White space as the tokenizer's patterns have it.
 _WHITE = r"\p{White_Space}"
+_MORE_WHITE = re.compile("[\x1c-\x1f]")
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+"
 
 
@@ -39,6 +41,24 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
 
 
+class Memory(dict):
+    """What a function gives for strings, computed when first asked for; two generations of
+    CACHE_PIECES at most each."""
+
+    def __init__(self, compute):
+        self.compute, self.old = compute, {}
+
+    def __missing__(self, key: str):
+        found = self.old[key] if key in self.old else self.compute(key)
+        self[key] = found
+        return found
+
+    def age(self) -> None:
+        if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordBpe:
     """A byte-level BPE with word ends, in the JSON format of the tokenizers library."""
 
@@ -52,71 +72,90 @@ class WordBpe:
         self.end: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Pairs as one number, left << 20 | right, and by rank what a merge joins and makes.
+        self.ranks: dict[int, int] = {}
+        self.left, self.right, self.made = [], [], []
         for rank, (a, b) in enumerate(model["merges"]):
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            x, y = self.vocab[a], self.vocab[b]
+            self.ranks.setdefault(x << 20 | y, rank)
+            self.left.append(x)
+            self.right.append(y)
+            self.made.append(self.vocab[a + b])
         chars = byte_characters()
         self.inner = [self.vocab.get(c) for c in chars]
         self.last = [self.vocab.get(c + self.end) for c in chars]
         self.pieces = regex.compile(_PIECES)
         self.white = regex.compile(_WHITE + "+")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        #: Words by case and marks differ more than pieces do, so both are remembered.
+        self.words, self.known = Memory(self._word), Memory(self.encode_piece)
 
     def encode_piece(self, piece: str) -> list[int]:
         """The ids of one piece: a merge queue over a doubly linked list."""
         raw = piece.encode("utf-8")
         symbols = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         symbols = [s for s in symbols if s is not None]
-        n, merges = len(symbols), self.merges
+        n, rank_of = len(symbols), self.ranks.get
         if n < 2:
             return symbols
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        width = n.bit_length()  # an entry is rank << width | place, so that entries are plain numbers
+        low = (1 << width) - 1
         queue = []
         for i in range(n - 1):
-            found = merges.get((symbols[i], symbols[i + 1]))
-            if found:
-                queue.append((found[0], i, found[1], symbols[i], symbols[i + 1]))
+            rank = rank_of(symbols[i] << 20 | symbols[i + 1])
+            if rank is not None:
+                queue.append(rank << width | i)
         heapq.heapify(queue)
         push, pop = heapq.heappush, heapq.heappop
         while queue:
-            _, i, made, left, right = pop(queue)
+            entry = pop(queue)
+            rank, i = entry >> width, entry & low
             j = after[i]
-            if symbols[i] != left or j < 0 or symbols[j] != right:
+            if j < 0 or symbols[i] != self.left[rank] or symbols[j] != self.right[rank]:
                 continue  # stale
-            symbols[i], symbols[j] = made, -1
+            made = symbols[i] = self.made[rank]
+            symbols[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                found = merges.get((made, symbols[k]))
-                if found:
-                    push(queue, (found[0], i, found[1], made, symbols[k]))
+                rank = rank_of(made << 20 | symbols[k])
+                if rank is not None:
+                    push(queue, rank << width | i)
             h = before[i]
             if h >= 0:
-                found = merges.get((symbols[h], made))
-                if found:
-                    push(queue, (found[0], h, found[1], symbols[h], made))
+                rank = rank_of(symbols[h] << 20 | made)
+                if rank is not None:
+                    push(queue, rank << width | h)
         return [s for s in symbols if s >= 0]
 
     def _word(self, word: str) -> tuple[int, bytes, bytes] | None:
         """Number of ids, ids and vocabulary strings of a word without white space."""
         word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        ids = [i for p in self.pieces.findall(word) for i in self.encode_piece(p)]
+        ids = [i for p in self.pieces.findall(word) for i in self.known[p]]
         if not ids:
             return None
         return len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode()
 
-    def word(self, word: str):
-        found = self.young.get(word, 0)
-        if found == 0:
-            found = self.old.get(word, 0)
-            if found == 0:
-                found = self._word(word)
-            if len(self.young) >= CACHE_PIECES:
-                self.old, self.young = self.young, {}
-            self.young[word] = found
-        return found
+    def _word(self, word: str) -> tuple[int, bytes, bytes] | None:
+        """Number of ids, ids and vocabulary strings of a word without white space."""
+        word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        ids = [i for p in self.pieces.findall(word) for i in self.known[p]]
+        if not ids:
+            return None
+        return len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode()
+
+    def piece(self, piece: str) -> list[int]:
+        """As encode_piece(), remembered: words differ by case and marks more than pieces do."""
+        ids = self.young_pieces.get(piece)
+        if ids is None:
+            ids = self.old_pieces.get(piece)
+            if ids is None:
+                ids = self.encode_piece(piece)
+            if len(self.young_pieces) >= CACHE_PIECES:
+                self.old_pieces, self.young_pieces = self.young_pieces, {}
+            self.young_pieces[piece] = ids
+        return ids
 
     def parts(self, text: str) -> list[tuple[int, bytes, bytes]]:
         """The encoded words of a text, special tokens included, in order."""
@@ -127,17 +166,11 @@ class WordBpe:
                 i = self.special[s]
                 out.append((1, str(i).encode(), s.encode()))
                 continue
-            odd = any(c in s for c in "\x1c\x1d\x1e\x1f")  # str.split() takes these for white space
-            words = self.white.split(s) if odd else s.split()
-            get, young = self.word, self.young
-            for w in words:
-                if w:
-                    found = young.get(w, 0)
-                    if found == 0:
-                        found = get(w)
-                        young = self.young
-                    if found:
-                        out.append(found)
+            # str.split() takes more characters for white space than the tokenizer does
+            words = filter(None, self.white.split(s)) if _MORE_WHITE.search(s) else s.split()
+            out += filter(None, map(self.words.__getitem__, words))
+        self.words.age()
+        self.known.age()
         return out
 
     def encode(self, text: str) -> list[int]:
