@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import LOWER_AZ, WORD_BYTES, documents, materialize, text_bytes
+from tidepool.llm.common import LOWER_AZ, WORD_BYTES, documents, materialize, mix, text_bytes
 
 SHINGLE_WORDS = 5
 BITS = 64
@@ -253,3 +253,189 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# ---- near duplicates by similarity ------------------------------------------------------
+#
+# A similarity of 0.8 between shingle sets leaves fingerprints of 64 bits some ten bits apart,
+# beyond what a radius can search. For a given similarity, a fingerprint has VIEWS times 64
+# bits (one view per remix of the shingle hashes); rows meet in the buckets of its 16-bit
+# bands, the fingerprints tell which of them may be similar, and the shingle sets decide.
+
+VIEWS = 8
+SIMILARITY = 0.8
+#: Estimated similarity below the wanted one at which a pair is still verified.
+SLACK = 0.12
+BAND_BITS = 16
+#: Fingerprints that a bucket compares with each other; larger ones are split by more bits.
+BUCKET = 4096
+#: Rows of a bucket that a row is paired with: those nearest to it among the bucket's leaders,
+#: which are the rows that no earlier leader is as similar to as wanted.
+NEAREST = 3
+
+
+def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included."""
+    import xxhash
+
+    words = _WORDS.findall(text.translate(LOWER_AZ))
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, line = xxhash.xxh64_intdigest, b" ".join(words)
+    if len(words) <= shingle_words:
+        return np.array([digest(line, SEED)], dtype=np.uint64)
+    starts = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
+    first, last = starts[: len(words) - shingle_words + 1].tolist(), (starts[shingle_words:] - 1).tolist()
+    return np.array([digest(line[a:b], SEED) for a, b in zip(first, last)], dtype=np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray, views: int = VIEWS) -> bytes:
+    ones = np.zeros((views, BITS), np.int64)
+    distinct = np.unique(hashes)  # similarity is that of sets
+    for i in range(0, len(distinct), 1 << 14):
+        part = distinct[i : i + (1 << 14)]
+        for v in range(views):
+            with np.errstate(over="ignore"):
+                remixed = mix(part + np.uint64(v + 1) * np.uint64(0xD1B54A32D192ED03))
+            ones[v] += np.unpackbits(remixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(distinct), axis=1, bitorder="little").tobytes()
+
+
+def differing_bits(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of sets of that Jaccard similarity are expected to differ."""
+    return int(bits * np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+
+
+def bucket_pairs(prints: np.ndarray, near: int, wanted: int, level: int = 0) -> set[tuple[int, int]]:
+    """Pairs of rows of a bucket to verify. prints: n x VIEWS numbers of 64 bits."""
+    n = len(prints)
+    if n > BUCKET and level < 3:  # rows that agree on one of eight further bytes meet again
+        found: set[tuple[int, int]] = set()
+        raw = np.ascontiguousarray(prints).view(np.uint8).reshape(n, -1)
+        for byte in range(8):
+            column = raw[:, (11 * byte + 17 * level + 5) % raw.shape[1]]
+            order = np.argsort(column, kind="stable")
+            cuts = np.flatnonzero(np.diff(column[order])) + 1
+            for part in np.split(order, cuts):
+                if len(part) > 1:
+                    found |= {(int(part[a]), int(part[b])) for a, b in bucket_pairs(prints[part], near, wanted, level + 1)}
+        return found
+    leaders, found, held = [], set(), np.empty_like(prints)
+    for i in range(n):
+        if leaders:
+            apart = np.bitwise_count(held[: len(leaders)] ^ prints[i]).sum(axis=1)
+            for k in np.argsort(apart, kind="stable")[:NEAREST]:
+                if apart[k] <= near:
+                    found.add((leaders[k], i))
+            if apart.min() <= wanted:
+                continue
+        held[len(leaders)] = prints[i]
+        leaders.append(i)
+    return found
+
+
+def candidate_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """a, b (a < b): distinct pairs to verify, of nodes (node long, print binary)."""
+    near, wanted = differing_bits(max(0.05, similarity - SLACK), VIEWS * BITS), differing_bits(similarity, VIEWS * BITS)
+
+    def spread(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                prints = part.column(1).to_pylist()
+                bands = np.frombuffer(b"".join(prints), dtype="<u2").reshape(len(prints), -1)
+                for b in range(bands.shape[1]):
+                    key = bands[:, b].astype(np.int64) | b << BAND_BITS
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), part.column(0), part.column(1)], ["bucket", "node", "print"])
+
+    def meet(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def close(held):
+            if len(held) < 2:
+                return
+            prints = np.frombuffer(b"".join(p for _, p in held), dtype=np.uint64).reshape(len(held), -1)
+            pairs = sorted((held[i][0], held[j][0]) for i, j in bucket_pairs(prints, near, wanted))
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
+
+        held, current = [], None
+        for batch in batches:
+            for bucket, node, p in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != current:
+                    yield from close(held)
+                    held, current = [], bucket
+                held.append((node, p))
+        yield from close(held)
+
+    dealt = nodes.select("node", "print").mapInArrow(spread, "bucket int, node long, print binary")
+    sorted_ = dealt.repartition("bucket").sortWithinPartitions("bucket", "node")
+    met = sorted_.mapInArrow(meet, "a long, b long")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
+    similarity: float = SIMILARITY,
+) -> DataFrame:
+    """id, component_id of rows that are not alone: components of pairs whose sets of shingles
+    have a Jaccard similarity of at least `similarity`. Rows with equal fingerprints are taken
+    for equal; rows without words are not similar to anything. Null ids are left out."""
+
+    def printed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, prints = [], []
+            for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                hashes = shingle_hashes(text, shingle_words)
+                if len(hashes) and key is not None:
+                    keys.append(key)
+                    prints.append(wide_fingerprint(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(prints, pa.binary())], ["id", "print"])
+
+    def shingled(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    def verified(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    prints = materialize(rows.mapInArrow(printed, "id long, print binary"), "simhash-wide")
+    nodes = prints.groupBy("print").agg(F.min("id").alias("node"))
+    pairs = materialize(candidate_pairs(nodes, similarity), "simhash-pairs")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = rows.join(wanted, "id", "left_semi").mapInArrow(shingled, "id long, shingles binary").dropDuplicates(["id"])
+    sets = materialize(sets, "simhash-sets")
+    left, right = sets.toDF("a", "p"), sets.toDF("b", "q")
+    edges = pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(verified, "a long, b long")
+    stars = components(edges)
+    placed = prints.join(nodes, "print").select("id", "node").join(stars, "node", "left")
+    groups = placed.select("id", F.coalesce("root", "node").alias("component_id"))
+    many = groups.groupBy("component_id").count().where("count > 1").select("component_id")
+    return groups.join(many, "component_id").select("id", "component_id")
+
+
+def drop_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
+    similarity: float = SIMILARITY,
+) -> DataFrame:
+    """docs without the rows of a component other than that of the smallest id."""
+    found = similar_documents(docs, id_col, text_col, shingle_words, similarity)
+    gone = found.where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
