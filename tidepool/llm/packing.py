@@ -16,7 +16,9 @@ often as they occur. Empty tables give empty results. Extra columns are not read
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,62 +34,76 @@ WINDOW = 65_536
 #: Words that each generation of a worker's cache holds.
 CACHE_WORDS = 200_000
 SEPARATOR = 1
+#: How the file's pre-tokenizer splits a text (its fixed pattern).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Where spaces and line ends meet each other; and all other white space.
+_MEETING = ("  ", "\n\n", " \n", "\n ")
+_OTHER_WHITE = re.compile(r"[^\S \n]")
+
+
+class _Memory(dict):
+    """ids of stretches, encoded when first asked for; two generations of bounded size."""
+
+    def __init__(self, before: str, encode):
+        self.before, self.encode, self.old = before, encode, {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        found = self.old.get(stretch)
+        if found is None:
+            found = self.encode(self.before + stretch)
+        self[stretch] = found
+        return found
+
+    def age(self) -> None:
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
 
 
 class CachedTokenizer:
-    """ids of the tokenizers library for whole texts. In texts whose spaces each stand alone
-    between other characters, a token never reaches over such a space from the left, so each
-    stretch from space to space has its own ids, which are kept in a bounded cache."""
+    """ids of a byte-level BPE file of the tokenizers library, for whole texts.
+
+    In a text whose spaces and line ends each stand alone between other characters, no token
+    reaches over one of them from the left, and a line end is a token of its own. So each
+    stretch from space to space of a line has its own ids, which are kept in a bounded cache.
+    Stretches, and texts with other white space, are encoded by a faster library from the
+    merge ranks in the same file; texts that may hold special tokens by the library itself."""
 
     def __init__(self, path: str):
+        import json
+
+        import tiktoken
         from tokenizers import Tokenizer
 
+        from tidepool.llm.bpe import byte_characters
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    @staticmethod
-    def stretches(text: str) -> list[str] | None:
-        """The text cut before each single space; None where spaces meet other white space."""
-        parts = text.split(" ")
-        if len(parts) < 2 or "<|" in text:
-            return None
-        for p in parts:
-            if not p or p[0].isspace() or p[-1].isspace():
-                return None
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """ids of each text as little-endian unsigned 32-bit numbers."""
-        cut = [self.stretches(t) for t in texts]
-        known = self.young
-        missing: dict[str, None] = {}
-        for c in cut:
-            if c:
-                for w in c:
-                    if w not in known:
-                        missing[w] = None
-        fresh = {}
-        for w in missing:
-            if w in self.old:
-                known[w] = self.old[w]
-            else:
-                fresh[w] = None
-        fresh = list(fresh)
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            known.update(zip(part, self._encode(part)))
-        whole = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
-        get = known.__getitem__
-        out = [b"".join(map(get, c)) if c else next(whole) for c in cut]
-        if len(known) >= CACHE_WORDS:
-            self.old, self.young = known, {}
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        byte_of = {c: b for b, c in enumerate(byte_characters())}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
+        self.ranks = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.line_end = self._ids("\n")
+        self.first, self.later = _Memory("", self._ids), _Memory(" ", self._ids)
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.ranks.encode_ordinary(text)).tobytes()
+
+    def _line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
+        return self.first[first] + b"".join(map(self.later.__getitem__, rest))
+
+    def encode(self, text: str) -> bytes:
+        """ids as little-endian unsigned 32-bit numbers."""
+        if "<|" in text:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _MEETING) or _OTHER_WHITE.search(text):
+            return self._ids(text)
+        out = self.line_end.join(map(self._line, text.split("\n")))
+        self.first.age()
+        self.later.age()
         return out
 
 
@@ -118,8 +134,8 @@ def pieces(
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for at in range(0, len(keys), 500):
                 rows: list[tuple] = []
-                for key, ids in zip(keys[at : at + 500], encode(texts[at : at + 500])):
-                    ids += end
+                for key, text in zip(keys[at : at + 500], texts[at : at + 500]):
+                    ids = encode(text) + end
                     total = len(ids) // 4
                     for start in range(0, total, max_tokens):
                         n = min(max_tokens, total - start)
@@ -139,24 +155,31 @@ def pack_window(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.n
     order = np.argsort(of, kind="stable")
     left = np.bincount(of, minlength=len(kinds))
     upto = np.cumsum(left)
-    share = kinds / limits
+    full = limits.astype(np.int64)
+    dims = [(kinds[:, d].copy(), kinds[:, d] / limits[d] / limits[d]) for d in range(kinds.shape[1])]
     sequence, place = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
     remaining, number = len(sizes), 0
     while remaining:
-        room = limits.astype(np.int64).copy()
+        room = full.tolist()
         taken = 0
         while remaining:
-            fits = (left > 0) & (kinds <= room).all(axis=1)
-            if not fits.any():
-                break
-            score = np.where(fits, share @ (room / limits), -1.0)
+            fits = left > 0
+            score = 0.0
+            for (size, share), r in zip(dims, room):
+                fits &= size <= r
+                score = score + share * r
+            score[~fits] = -1.0
             k = int(score.argmax())
+            if not fits[k]:
+                break
             item = order[upto[k] - left[k]]
             sequence[item], place[item] = number, taken
             left[k] -= 1
             remaining -= 1
             taken += 1
-            room -= kinds[k]
+            room = [r - int(size[k]) for (size, _), r in zip(dims, room)]
+            if not room[0]:
+                break
         number += 1
     return sequence, place
 
