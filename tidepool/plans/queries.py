@@ -523,7 +523,7 @@ def attempt_replay(spark: SparkSession, d: str) -> DataFrame:
     return que.replay_attempts(ad.queue(spark, d), ad.attempts(spark, d))
 
 
-@query("recent_errors", "SELECT error_class, count(*) AS n, max("at") AS latest FROM (SELECT * FROM att WHERE outcome IN ('transient_failure', 'blocked') ORDER BY seq DESC LIMIT 100) GROUP BY error_class")
+@query("recent_errors", "SELECT error_class, count(*) AS n, max(\"at\") AS latest FROM (SELECT * FROM att WHERE outcome IN ('transient_failure', 'blocked') ORDER BY seq DESC LIMIT 100) GROUP BY error_class")
 def recent_errors(spark: SparkSession, d: str) -> DataFrame:
     return que.recent_errors(ad.attempts(spark, d))
 
