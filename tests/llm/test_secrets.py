@@ -112,9 +112,12 @@ def test_bombs_are_reported(monkeypatch):
     assert secrets.scan("a " + b64(zlib.compress(b"\x00" * 100000)))[3] >= 1
 
 
-def test_query(spark, odd, empty):
-    rows = secrets.op5_secrets(spark, "/root/testdata/sf0.001").collect()
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+def test_query(spark, odd, empty, tmp_path):
+    planted = [(1000 + i, f"é {c} {LAYERS['deep'](KEY)}", "en", "s", 1) for i, c in enumerate(CASES)]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.union(spark.createDataFrame(planted, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = secrets.op5_secrets(spark, str(tmp_path)).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
     join = lambda s: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in s)
     assert len(rows) == len(texts)
     for r in rows:

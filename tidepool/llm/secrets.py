@@ -306,7 +306,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda c: F.array_join(
         F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [of_kind(k) for k in KINDS]
     return found.select(
         F.col("id").alias("doc_id"), *counts, F.sha2(listed("base"), 256).alias("base_sha256"),
         listed("spans").alias("spans"), "layers", "n_refused",
