@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.plans import queries, scalar_queries
+from tidepool.plans import more_queries, queries, scalar_queries
 from tidepool.shipping import ensure_importable
 
 
@@ -17,5 +17,5 @@ def _shipped(run):
     return query
 
 
-QUERIES = {name: _shipped(run) for name, run in (queries.QUERIES | scalar_queries.QUERIES).items()}
-ORACLES = queries.ORACLES | scalar_queries.ORACLES
+QUERIES = {name: _shipped(run) for name, run in (queries.QUERIES | scalar_queries.QUERIES | more_queries.QUERIES).items()}
+ORACLES = queries.ORACLES | scalar_queries.ORACLES | more_queries.ORACLES
