@@ -170,9 +170,13 @@ def exact_duplicates(
         F.col("min_id").alias("id"), F.col("min_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "digest",
     )
-    met = keyed.join(hits, "digest")
-    reference = met.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("body").alias("reference"))
-    checked = met.join(reference, "digest").select(
+    # The reference rows are found by digest and id, which spreads a large group over tasks.
+    # The join of all copies with them then stands alone, so a skewed digest is split at run time.
+    wanted = hits.withColumnRenamed("digest", "d")
+    reference = keyed.join(wanted, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    reference = reference.dropDuplicates(["digest", "id"]).select("digest", "keep_id", "n", F.col("body").alias("reference"))
+    reference = materialize(reference, "lsm-reference")
+    checked = keyed.join(reference, "digest").select(
         "id", "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest",
         F.when(F.col("body") == F.col("reference"), True)
         .otherwise(F.raise_error(F.lit("texts differ at an equal digest")).cast("boolean"))

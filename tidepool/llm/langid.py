@@ -32,12 +32,16 @@ CENTROIDS = 4
 #: Share of a language's training texts that lie beyond its rejection distance.
 REJECTED_SHARE = 0.005
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
 #: Rows that are one dense block while vectors are made.
 _BLOCK = 256
 _ASCII = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (bool(_LATIN.search(text)) or any(c.isalpha() for c in text))
+
+
 def counts(texts: list[str]) -> np.ndarray:
     """Hashed n-gram counts, a row for each text."""
     rows = [t.lower().encode("utf-8", "surrogatepass").translate(_ASCII) for t in texts]
@@ -106,7 +110,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
         df, n = np.zeros(BUCKETS + 1, np.int64), 0
         for batch in chunks(batches):
-            texts = [t for t in batch.column(0).to_pylist() if t and _LETTER.search(t)]
+            texts = [t for t in batch.column(0).to_pylist() if has_letter(t)]
             for i in range(0, len(texts), _BLOCK):
                 df[:BUCKETS] += (counts(texts[i : i + _BLOCK]) > 0).sum(axis=0)
             n += len(texts)
@@ -141,7 +145,7 @@ def fit(
         import pandas as pd
 
         frame = frame.sort_values(["id", "text"])
-        texts = [t for t in frame["text"] if isinstance(t, str) and _LETTER.search(t)]
+        texts = [t for t in frame["text"] if isinstance(t, str) and has_letter(t)]
         if not texts:
             return pd.DataFrame({"lang": [], "least": [], "centroid": []})
         x = np.concatenate([vectors(texts[i : i + _BLOCK], idf) for i in range(0, len(texts), _BLOCK)])
@@ -169,7 +173,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         for batch in chunks(batches):
             texts = batch.column(1).to_pylist()
             found: list = [(UNKNOWN, 0.0, True)] * len(texts)
-            use = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+            use = [i for i, t in enumerate(texts) if model and has_letter(t)]
             for a in range(0, len(use), _BLOCK):
                 part = use[a : a + _BLOCK]
                 for i, f in zip(part, model.predict([texts[i] for i in part])):

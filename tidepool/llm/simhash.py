@@ -346,7 +346,10 @@ def candidate_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
                 prints = part.column(1).to_pylist()
-                bands = np.frombuffer(b"".join(prints), dtype="<u2").reshape(len(prints), -1)
+                raw = np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(len(prints), -1)
+                half = raw.shape[1] // 2  # bands of neighbouring bytes, and of bytes half a print apart
+                apart = raw[:, :half].astype(np.uint16) | raw[:, half:].astype(np.uint16) << 8
+                bands = np.concatenate([np.ascontiguousarray(raw).view("<u2"), apart], axis=1)
                 for b in range(bands.shape[1]):
                     key = bands[:, b].astype(np.int64) | b << BAND_BITS
                     yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), part.column(0), part.column(1)], ["bucket", "node", "print"])
