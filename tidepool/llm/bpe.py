@@ -137,26 +137,6 @@ class WordBpe:
             return None
         return len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode()
 
-    def _word(self, word: str) -> tuple[int, bytes, bytes] | None:
-        """Number of ids, ids and vocabulary strings of a word without white space."""
-        word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        ids = [i for p in self.pieces.findall(word) for i in self.known[p]]
-        if not ids:
-            return None
-        return len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode()
-
-    def piece(self, piece: str) -> list[int]:
-        """As encode_piece(), remembered: words differ by case and marks more than pieces do."""
-        ids = self.young_pieces.get(piece)
-        if ids is None:
-            ids = self.old_pieces.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece)
-            if len(self.young_pieces) >= CACHE_PIECES:
-                self.old_pieces, self.young_pieces = self.young_pieces, {}
-            self.young_pieces[piece] = ids
-        return ids
-
     def parts(self, text: str) -> list[tuple[int, bytes, bytes]]:
         """The encoded words of a text, special tokens included, in order."""
         out = []

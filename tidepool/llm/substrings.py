@@ -28,7 +28,6 @@ text) repeat all their windows. Empty tables give empty results. Extra columns a
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
