@@ -58,6 +58,29 @@ def test_similar_documents(spark, odd, empty):
     assert simhash.drop_similar(empty).count() == 0
 
 
+def test_every_similar_pair_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SALTED", 20, raising=False)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    common = [rng.choice(words) for _ in range(40)]  # a passage that a third of the texts hold
+    texts = {}
+    for edits in (2, 3, 4, 5):  # families whose members lie about the wanted similarity
+        base = [rng.choice(words) for _ in range(150)]
+        for _ in range(60):
+            own = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts[len(texts)] = " ".join(own)
+    for _ in range(120):
+        texts[len(texts)] = " ".join(common + [rng.choice(words) for _ in range(rng.randrange(5, 60))])
+    want = brute_groups(texts, 0.8)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for rounds in (2, 0):
+        monkeypatch.setattr(simhash, "ROUNDS", rounds, raising=False)
+        got = {i: i for i in texts} | {r["id"]: r["component_id"] for r in simhash.similar_documents(frame).collect()}
+        assert got == want
+
+
 def test_large_buckets_are_split(monkeypatch):
     import numpy as np
 

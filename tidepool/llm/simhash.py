@@ -29,9 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import LOWER_AZ, WORD_BYTES, documents, materialize, mix, text_bytes
+from tidepool.llm.common import LOWER_AZ, WORD_BYTES, chunks, documents, materialize, mix, text_bytes
 
 SHINGLE_WORDS = 5
 BITS = 64
@@ -257,21 +258,29 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- near duplicates by similarity ------------------------------------------------------
 #
-# A similarity of 0.8 between shingle sets leaves fingerprints of 64 bits some ten bits apart,
-# beyond what a radius can search. For a given similarity, a fingerprint has VIEWS times 64
-# bits (one view per remix of the shingle hashes); rows meet in the buckets of its 16-bit
-# bands, the fingerprints tell which of them may be similar, and the shingle sets decide.
+# Rows are linked if the Jaccard similarity of their sets of shingles is at least the wanted one;
+# every such pair is found. All shingles have one order: by their count in the corpus, the
+# rarest first, equal counts by hash. Two sets of similarity t share a shingle within the first
+# n - ceil(t n) + 1 of each, its head, and the first one that they share leaves room for the
+# overlap that t asks for. Any fixed order would do for that; rare shingles first keep passages
+# that many texts hold out of the heads, so counts may be those of COUNTERS counters.
+#
+# Components alone are wanted, so pairs already joined need no check: in a few rounds each row
+# is first checked against one row of every shingle in its head, which joins dense families
+# with work in proportion to the rows; then all pairs that are still apart are checked.
 
-VIEWS = 8
 SIMILARITY = 0.8
-#: Estimated similarity below the wanted one at which a pair is still verified.
-SLACK = 0.12
-BAND_BITS = 16
-#: Fingerprints that a bucket compares with each other; larger ones are split by more bits.
-BUCKET = 4096
-#: Rows of a bucket that a row is paired with: those nearest to it among the bucket's leaders,
-#: which are the rows that no earlier leader is as similar to as wanted.
-NEAREST = 3
+#: Counters that the shingle counts are added up in, as a power of two. Results don't depend on it.
+COUNTERS = 1 << 20
+#: Counters that are sent at once.
+SLICE = 1 << 14
+#: Rounds of checks against one row of each shingle before all remaining pairs are checked.
+ROUNDS = 2
+#: Rows of one shingle that one task pairs with the others.
+SALTED = 256
+#: Bits of a parity sketch. A shingle flips one of them, so sketches differ in no more bits than
+#: their sets in shingles: pairs that differ in more than the similarity allows need no check.
+PARITY = 1024
 
 
 def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
@@ -290,122 +299,123 @@ def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
     return np.array([digest(line[a:b], SEED) for a, b in zip(first, last)], dtype=np.uint64)
 
 
-def wide_fingerprint(hashes: np.ndarray, views: int = VIEWS) -> bytes:
-    ones = np.zeros((views, BITS), np.int64)
-    distinct = np.unique(hashes)  # similarity is that of sets
-    for i in range(0, len(distinct), 1 << 14):
-        part = distinct[i : i + (1 << 14)]
-        for v in range(views):
-            with np.errstate(over="ignore"):
-                remixed = mix(part + np.uint64(v + 1) * np.uint64(0xD1B54A32D192ED03))
-            ones[v] += np.unpackbits(remixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(distinct), axis=1, bitorder="little").tobytes()
-
+def shingle_counts(rows: DataFrame, shingle_words: int) -> np.ndarray:
+    """COUNTERS sums of the texts that hold the shingles of a counter; a task sends as many."""
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of sets of that Jaccard similarity are expected to differ."""
-    return int(bits * np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in chunks(batches):
+            found = [np.unique(shingle_hashes(t, shingle_words)) for t in text_bytes(batch.column(1))]
+            held += np.bincount((np.concatenate(found) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        for i in range(0, COUNTERS, SLICE):
+            if (part := held[i : i + SLICE]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
 
-def bucket_pairs(prints: np.ndarray, near: int, wanted: int, level: int = 0) -> set[tuple[int, int]]:
-    """Pairs of rows of a bucket to verify. prints: n x VIEWS numbers of 64 bits."""
-    n = len(prints)
-    if n > BUCKET and level < 3:  # rows that agree on one of eight further bytes meet again
-        found: set[tuple[int, int]] = set()
-        raw = np.ascontiguousarray(prints).view(np.uint8).reshape(n, -1)
-        for byte in range(8):
-            column = raw[:, (11 * byte + 17 * level + 5) % raw.shape[1]]
-            order = np.argsort(column, kind="stable")
-            cuts = np.flatnonzero(np.diff(column[order])) + 1
-            for part in np.split(order, cuts):
-                if len(part) > 1:
-                    found |= {(int(part[a]), int(part[b])) for a, b in bucket_pairs(prints[part], near, wanted, level + 1)}
-        return found
-    leaders, found, held = [], set(), np.empty_like(prints)
-    for i in range(n):
-        if leaders:
-            apart = np.bitwise_count(held[: len(leaders)] ^ prints[i]).sum(axis=1)
-            for k in np.argsort(apart, kind="stable")[:NEAREST]:
-                if apart[k] <= near:
-                    found.add((leaders[k], i))
-            if apart.min() <= wanted:
-                continue
-        held[len(leaders)] = prints[i]
-        leaders.append(i)
-    return found
+    def add(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(part, dtype=np.int64)
+                sums[i] = sums[i] + part if i in sums else part
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
+
+    kind = "slice int, counts binary"
+    out = np.zeros(COUNTERS, np.int64)
+    for r in rows.mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect():
+        out[r["slice"] : r["slice"] + SLICE] = np.frombuffer(r["counts"], dtype=np.int64)
+    return out
 
-def candidate_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """a, b (a < b): distinct pairs to verify, of nodes (node long, print binary)."""
-    near, wanted = differing_bits(max(0.05, similarity - SLACK), VIEWS * BITS), differing_bits(similarity, VIEWS * BITS)
 
-    def spread(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def parity(shingles: np.ndarray) -> bytes:
+    bits = np.bincount((mix(shingles) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
 
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                prints = part.column(1).to_pylist()
-                raw = np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(len(prints), -1)
-                half = raw.shape[1] // 2  # bands of neighbouring bytes, and of bytes half a print apart
-                apart = raw[:, :half].astype(np.uint16) | raw[:, half:].astype(np.uint16) << 8
-                bands = np.concatenate([np.ascontiguousarray(raw).view("<u2"), apart], axis=1)
-                for b in range(bands.shape[1]):
-                    key = bands[:, b].astype(np.int64) | b << BAND_BITS
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), part.column(0), part.column(1)], ["bucket", "node", "print"])
-
-    def meet(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        def close(held):
-            if len(held) < 2:
-                return
-            prints = np.frombuffer(b"".join(p for _, p in held), dtype=np.uint64).reshape(len(held), -1)
-            pairs = sorted((held[i][0], held[j][0]) for i, j in bucket_pairs(prints, near, wanted))
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
+def heads(rows: DataFrame, counts, shingle_words: int, similarity: float) -> DataFrame:
+    """id, same (digest of the set), n (its size), sketch (its parity), head (shingles, rarest
+    first) of rows (id, text) with words and an id. counts: a broadcast of shingle_counts()."""
 
-        held, current = [], None
-        for batch in batches:
-            for bucket, node, p in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != current:
-                    yield from close(held)
-                    held, current = [], bucket
-                held.append((node, p))
-        yield from close(held)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import xxhash
 
-    dealt = nodes.select("node", "print").mapInArrow(spread, "bucket int, node long, print binary")
-    sorted_ = dealt.repartition("bucket").sortWithinPartitions("bucket", "node")
-    met = sorted_.mapInArrow(meet, "a long, b long")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        known = counts.value
+        for batch in chunks(batches):
+            out: list[list] = [[], [], [], [], []]
+            for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                own = np.unique(shingle_hashes(text, shingle_words))
+                if not len(own) or key is None:
+                    continue
+                length = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+                order = np.lexsort((own, known[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+                for column, x in zip(out, (key, xxhash.xxh3_128_digest(own.tobytes()), len(own), parity(own), own[order[:length]].view(np.int64))):
+                    column.append(x)
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "same", "n", "sketch", "head"])
+
+    return rows.mapInArrow(run, "id long, same binary, n int, sketch binary, head array<long>")
+
+
+def apart(met: DataFrame, stars: DataFrame) -> DataFrame:
+    """met with the component of each id, without the shingles that have but one component;
+    `many` is the number of rows of the shingle."""
+    placed = met.join(stars.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    live = placed.groupBy("key").agg(F.count("*").alias("many"), F.min("root").alias("l"), F.max("root").alias("m")).where("l <> m")
+    return placed.join(live.select("key", "many"), "key")
+
+
+def leader_pairs(met: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """a, b (a < b): each row of apart() and one row of each of its shingles, another each turn;
+    without pairs of sizes too far apart."""
+    mask = F.lit(int(mix(np.array([turn], np.uint64))[0] >> np.uint64(1)))
+    led = met.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask).alias("lead"))
+    own = met.join(led, "key").where("id <> lead").groupBy("id", "lead").agg(F.min("n").alias("n"))
+    sizes = met.groupBy("id").agg(F.min("n").alias("m")).withColumnRenamed("id", "lead")
+    near = own.join(sizes, "lead").where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6)
+    return near.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+
+def remaining_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """a, b (a < b): all pairs of apart() that share a shingle of their heads, are in different
+    components and may be as similar as wanted by the places of the shingle. The rows of a
+    frequent shingle are dealt over tasks, each of which gets all rows to pair them with."""
+    parts = F.ceil(F.col("many") / SALTED).cast("int")
+    one = met.select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), *(F.col(c).alias(f"{c}1") for c in ("id", "n", "pos", "root")))
+    two = met.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "root")))
+    room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) * (1 + similarity)
+    may = (F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & (room >= similarity * (F.col("n1") + F.col("n2")) - 1e-6)
+    same = (one["key"] == two["key"]) & (one["part"] == two["part"])
+    return one.join(two, same & may).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
     similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """id, component_id of rows that are not alone: components of pairs whose sets of shingles
-    have a Jaccard similarity of at least `similarity`. Rows with equal fingerprints are taken
-    for equal; rows without words are not similar to anything. Null ids are left out."""
+    """id, component_id of rows that are not alone: components of all pairs whose sets of
+    shingles (as 64-bit hashes) have a Jaccard similarity of at least `similarity`. Rows without
+    words are not similar to anything. Null ids are left out."""
 
-    def printed(batches: Iterator) -> Iterator:
+    def shingled(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            keys, prints = [], []
-            for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                hashes = shingle_hashes(text, shingle_words)
-                if len(hashes) and key is not None:
-                    keys.append(key)
-                    prints.append(wide_fingerprint(hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(prints, pa.binary())], ["id", "print"])
+        for batch in chunks(batches):
+            sets = [np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    def shingled(batches: Iterator) -> Iterator:
+    def possible(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
+            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            keep = np.bitwise_count(x ^ y).sum(axis=1) * (1 + similarity) <= (1 - similarity) * n + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verified(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -418,20 +428,40 @@ def similar_documents(
                 keep.append(both >= similarity * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = materialize(rows.mapInArrow(printed, "id long, print binary"), "simhash-wide")
-    nodes = prints.groupBy("print").agg(F.min("id").alias("node"))
-    pairs = materialize(candidate_pairs(nodes, similarity), "simhash-pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = rows.join(wanted, "id", "left_semi").mapInArrow(shingled, "id long, shingles binary").dropDuplicates(["id"])
-    sets = materialize(sets, "simhash-sets")
-    left, right = sets.toDF("a", "p"), sets.toDF("b", "q")
-    edges = pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(verified, "a long, b long")
-    stars = components(edges)
-    placed = prints.join(nodes, "print").select("id", "node").join(stars, "node", "left")
-    groups = placed.select("id", F.coalesce("root", "node").alias("component_id"))
-    many = groups.groupBy("component_id").count().where("count > 1").select("component_id")
-    return groups.join(many, "component_id").select("id", "component_id")
+    counts = spark.sparkContext.broadcast(shingle_counts(rows, shingle_words))
+    headed = materialize(heads(rows, counts, shingle_words, similarity), "near-heads")
+    first = headed.groupBy("same").agg(F.min("id").alias("node"), F.count("*").alias("c")).where("c > 1").drop("c")
+    equal = materialize(headed.select("id", "same").join(first, "same").where("id <> node").distinct(), "near-equal")
+    edges = equal.select(F.col("id").alias("a"), F.col("node").alias("b"))
+    stars = edges.where("false").toDF("node", "root")
+
+    nodes = headed.join(equal.select("id", "same"), ["id", "same"], "left_anti")
+    of_key = W.partitionBy("key").orderBy("key")
+    keys = nodes.select("id", "n", F.posexplode("head").alias("pos", "key"))
+    beside = F.lag("id").over(of_key).isNotNull() | F.lead("id").over(of_key).isNotNull()
+    met = materialize(keys.withColumn("met", beside).where("met").drop("met"), "near-met")
+    sketches = nodes.select("id", "n", "sketch")
+    tried = None
+    for turn in range(ROUNDS + 1):
+        now = materialize(apart(met, stars), "near-apart")
+        pairs = leader_pairs(now, turn, similarity) if turn < ROUNDS else remaining_pairs(now, similarity)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = pairs.join(sketches.toDF("a", "m", "x"), "a").join(sketches.toDF("b", "n", "y"), "b")
+        pairs = pairs.select("a", "b", "m", "n", "x", "y").mapInArrow(possible, "a long, b long").distinct()
+        pairs = materialize(pairs, "near-pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        sets = rows.join(wanted, "id", "left_semi").mapInArrow(shingled, "id long, shingles binary").distinct()
+        sets = materialize(sets, "near-sets")
+        left, right = sets.toDF("a", "p"), sets.toDF("b", "q")
+        found = pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(verified, "a long, b long")
+        edges = edges.union(materialize(found, "near-edges"))
+        stars = components(edges)
+    roots = stars.select(F.col("root").alias("node"), "root").distinct()
+    return stars.union(roots).toDF("id", "component_id")
 
 
 def drop_similar(
@@ -442,3 +472,37 @@ def drop_similar(
     found = similar_documents(docs, id_col, text_col, shingle_words, similarity)
     gone = found.where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+
+
+#: 64-bit numbers of a fingerprint, and rows that are compared with all others at once.
+VIEWS = 8
+BUCKET = 4096
+NEAREST = 3
+
+
+def bucket_pairs(prints: np.ndarray, near: int, wanted: int, level: int = 0) -> set[tuple[int, int]]:
+    """Pairs of rows of a bucket to verify. prints: n x VIEWS numbers of 64 bits."""
+    n = len(prints)
+    if n > BUCKET and level < 3:  # rows that agree on one of eight further bytes meet again
+        found: set[tuple[int, int]] = set()
+        raw = np.ascontiguousarray(prints).view(np.uint8).reshape(n, -1)
+        for byte in range(8):
+            column = raw[:, (11 * byte + 17 * level + 5) % raw.shape[1]]
+            order = np.argsort(column, kind="stable")
+            cuts = np.flatnonzero(np.diff(column[order])) + 1
+            for part in np.split(order, cuts):
+                if len(part) > 1:
+                    found |= {(int(part[a]), int(part[b])) for a, b in bucket_pairs(prints[part], near, wanted, level + 1)}
+        return found
+    leaders, found, held = [], set(), np.empty_like(prints)
+    for i in range(n):
+        if leaders:
+            apart = np.bitwise_count(held[: len(leaders)] ^ prints[i]).sum(axis=1)
+            for k in np.argsort(apart, kind="stable")[:NEAREST]:
+                if apart[k] <= near:
+                    found.add((leaders[k], i))
+            if apart.min() <= wanted:
+                continue
+        held[len(leaders)] = prints[i]
+        leaders.append(i)
+    return found
