@@ -92,6 +92,16 @@ def test_large_buckets_are_split(monkeypatch):
     assert {(i, i + 40) for i in range(40)} <= pairs
 
 
+def test_large_buckets_lose_no_pair(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "BUCKET", 50)
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, (60, simhash.VIEWS), dtype=np.uint64)
+    prints = np.concatenate([base, base ^ np.uint64(0x0101010101010101)])  # every byte differs
+    assert {(i, i + 60) for i in range(60)} <= simhash.bucket_pairs(prints, 100, 70)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{MID}/labels.parquet").collect()}

@@ -477,32 +477,15 @@ def drop_similar(
 #: 64-bit numbers of a fingerprint, and rows that are compared with all others at once.
 VIEWS = 8
 BUCKET = 4096
-NEAREST = 3
-
-
-def bucket_pairs(prints: np.ndarray, near: int, wanted: int, level: int = 0) -> set[tuple[int, int]]:
-    """Pairs of rows of a bucket to verify. prints: n x VIEWS numbers of 64 bits."""
-    n = len(prints)
-    if n > BUCKET and level < 3:  # rows that agree on one of eight further bytes meet again
-        found: set[tuple[int, int]] = set()
-        raw = np.ascontiguousarray(prints).view(np.uint8).reshape(n, -1)
-        for byte in range(8):
-            column = raw[:, (11 * byte + 17 * level + 5) % raw.shape[1]]
-            order = np.argsort(column, kind="stable")
-            cuts = np.flatnonzero(np.diff(column[order])) + 1
-            for part in np.split(order, cuts):
-                if len(part) > 1:
-                    found |= {(int(part[a]), int(part[b])) for a, b in bucket_pairs(prints[part], near, wanted, level + 1)}
-        return found
-    leaders, found, held = [], set(), np.empty_like(prints)
-    for i in range(n):
-        if leaders:
-            apart = np.bitwise_count(held[: len(leaders)] ^ prints[i]).sum(axis=1)
-            for k in np.argsort(apart, kind="stable")[:NEAREST]:
-                if apart[k] <= near:
-                    found.add((leaders[k], i))
-            if apart.min() <= wanted:
-                continue
-        held[len(leaders)] = prints[i]
-        leaders.append(i)
+
+
+def bucket_pairs(prints: np.ndarray, near: int, wanted: int) -> set[tuple[int, int]]:
+    """All pairs of rows within `near` bits, whatever the size of the bucket; none are left out,
+    also not those within `wanted`. prints: n x VIEWS numbers of 64 bits. The pipeline's stage
+    has no buckets; this is the comparison that its fingerprints had."""
+    found: set[tuple[int, int]] = set()
+    for i in range(len(prints)):
+        for start in range(i + 1, len(prints), BUCKET):
+            apart = np.bitwise_count(prints[start : start + BUCKET] ^ prints[i]).sum(axis=1)
+            found |= {(i, start + int(k)) for k in np.flatnonzero(apart <= near)}
     return found
