@@ -6,8 +6,9 @@ is at most one entry per distinct text of a memtable, whatever the size of a gro
 Rows look their digest up in the compacted level. A hit counts only after byte verification
 against the text of its group's reference row.
 
-Runs of earlier batches can be kept: :class:`MergeIndex` stores every flushed run, with a
-Bloom filter over its digests, in a folder of Parquet files and compacts them on request.
+Runs of earlier batches can be kept: :class:`MergeIndex` stores every flushed run in a folder
+of Parquet files and compacts them on request. Rows meet the level by a join on the digest, so
+no lookup needs Bloom filters; filters() makes them from the stored runs by a full scan.
 
 Nulls: a null text counts as the empty text; null ids are kept and rank below all others.
 Repeated rows (same id and text) are rows of their own in group_size, and all of them stay or
@@ -98,7 +99,7 @@ def compact(runs: DataFrame) -> DataFrame:
 
 class MergeIndex:
     """An index that outlives a batch: level-0 runs as Parquet files below one folder of the
-    shared file system, each run with its Bloom filter; compact() keeps smallest ids."""
+    shared file system, without filters; compact() keeps smallest ids."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
