@@ -88,25 +88,9 @@ def chunks(batches, max_bytes: int = 2 << 20, text: str = "text"):
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("p", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for key, base in (("p", _P), ("q", _P_INV)):
-            out = np.ones(size, dtype=np.uint64)
-            done = 1
-            step = np.uint64(base)
-            with np.errstate(over="ignore"):
-                while done < size:  # doubling: out[done:2*done] = out[:done] * base**done
-                    out[done : 2 * done] = out[:done] * step
-                    step = step * step
-                    done *= 2
-            _POWERS[key] = out
-    return _POWERS["p"], _POWERS["q"]
+#: Bytes of a span that are hashed in blocks of eight for all spans at once; longer ones one by one.
+_BLOCKS = 64
+_FEWER = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -119,20 +103,54 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
-    """64-bit hashes of the half-open spans of a sequence, from its polynomial prefix sums.
-    Equal spans have equal hashes wherever they start; the length is mixed in."""
-    _, q = _powers(len(prefix))
+def slice_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit hashes of half-open spans of bytes: block by block, each mixed before the next is
+    added, so that no pattern of a text cancels out as it may in a polynomial modulo 2**64."""
+    import xxhash
+
+    length = ends - starts
+    out = np.full(len(starts), mix(np.array([salt + 1], np.uint64))[0], dtype=np.uint64)
+    if not len(starts):
+        return out
+    padded = np.zeros(len(buffer) + 8, np.uint8)
+    padded[:-8] = buffer
+    words = np.ndarray((len(buffer) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    some: np.ndarray | slice = slice(None)
     with np.errstate(over="ignore"):
-        h = (prefix[ends] - prefix[starts]) * q[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(salt))
+        for at in range(0, _BLOCKS, 8):
+            if at:
+                some = np.flatnonzero((length > at) & (length <= _BLOCKS))
+                if not len(some):
+                    continue
+            left = np.minimum(length[some] - at, 8)
+            out[some] = mix(out[some] * np.uint64(0x9E3779B97F4A7C15) ^ (words[starts[some] + at] & _FEWER[left]))
+        out = mix(out + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    long = np.flatnonzero(length > _BLOCKS)
+    if len(long):
+        raw, digest = buffer.tobytes(), xxhash.xxh3_64_intdigest
+        out[long] = [digest(raw[a:b], salt) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    return out
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    p, _ = _powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the sequences that are those of a followed by those of b."""
     with np.errstate(over="ignore"):
-        np.cumsum(values.astype(np.uint64) * p[: len(values)], out=out[1:])
+        return mix(a * np.uint64(0x9E3779B97F4A7C15) ^ mix(b + np.uint64(0xA0761D6478BD642F)))
+
+
+def sequence_hashes(items: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all sequences of `width` neighbours of an array of hashes, by doubling."""
+    if len(items) < width:
+        return np.zeros(0, np.uint64)
+    n, out, have, step, power = len(items) - width + 1, None, 0, 1, items
+    while step <= width:
+        if width & step:
+            part = power[have : have + n]
+            out = part if out is None else joined(out, part)
+            have += step
+        if 2 * step <= width:
+            power = joined(power[:-step], power[step:])
+        step *= 2
     return out
 
 
@@ -155,5 +173,5 @@ def word_bounds(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_sums(buffer.astype(np.uint64) + np.uint64(1)), starts, ends, 1)
+def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 1) -> np.ndarray:
+    return slice_hashes(buffer, starts, ends, salt)
