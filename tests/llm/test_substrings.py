@@ -53,6 +53,28 @@ def test_random_overlaps(spark, shard_runs):
     check(frame, window=9, anchor_words=3, shard_runs=shard_runs)
 
 
+def thue_morse(length, a, b):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(length))
+
+
+def test_words_and_runs_with_patterns_do_not_collide(spark):
+    """A word and its complement collide in any polynomial hash modulo 2**64."""
+    rest = [f"w{i}" for i in range(34)]
+    texts = [" ".join([*rest[:10], thue_morse(2048, *x), *rest[10:]]) for x in (("a", "i"), ("i", "a"))]
+    texts += [" ".join(thue_morse(4096, *x)) for x in (("c", "d"), ("e", "f"))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["id"]: r["n_removed"] for r in substrings.remaining_words(frame).collect()}
+    assert rows[0] == rows[1] == 0
+    check(frame)
+    check(frame, shard_runs=2)
+
+
+def test_columns_with_clashing_names(spark, odd):
+    names = ["id", "body", "z", "at", "n", "kind", "anchor", "places", "words", "hash", "other", "span"]
+    wide = odd.selectExpr("*", *(f"'x' AS {c}" for c in names))
+    assert sorted(map(tuple, substrings.remaining_words(wide).collect()), key=str) == sorted(map(tuple, substrings.remaining_words(odd).collect()), key=str)
+
+
 def test_edge_cases(spark, odd, empty):
     check(odd)
     check(odd, window=2, anchor_words=1)

@@ -17,5 +17,6 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {
+    "op8_substrings": substrings.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }

@@ -10,20 +10,22 @@ one anchor. Neighbouring windows with the same anchor are one run, and a run is
 is shuffled:
 
 1. Runs whose anchor no other run has, and whose text repeats none of their windows, are
-   unique. Runs of an anchor that agree as a whole (by
-   a 64-bit hash) are pre-aggregated: all their windows repeat, and one of them stands for them.
+   unique. Runs of an anchor that agree as a whole (in two hashes of 64 bits each, which are
+   mixed word by word and so have no texts that collide by their pattern) are pre-aggregated: all
+   their windows repeat, and one of them stands for them.
 2. The remaining runs of an anchor, with one of each group of equal ones, form a reference
    shard. Its suffix automaton counts how often each sequence ends in it; the runs are streamed
    through it, and a window whose matching statistic reaches WINDOW in a state that occurs twice
    or more repeats.
 3. A shard of more than SHARD_RUNS runs gets no automaton, which would grow without bound: its
-   windows are counted by their hash over all tasks, which is exact as well.
+   windows are counted by their two hashes over all tasks.
 
 For a bounded set of references, :func:`remove_references` sends automata of shards of them to
 every task and streams the texts, as such.
 
 Null texts count as empty. Whole texts count, however long. Rows that repeat (same id, same
-text) repeat all their windows. Empty tables give empty results. Extra columns are not read.
+text) repeat all their windows. Of equal windows none is spared. Empty tables give empty results.
+Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import (
-    WORD_BYTES, binary_batch, chunks, documents, materialize, mix, prefix_sums, span_hash, text_bytes, word_bounds, word_hashes,
+    WORD_BYTES, binary_batch, chunks, documents, joined, materialize, mix, sequence_hashes, text_bytes, word_bounds, word_hashes,
 )
 
 WINDOW = 35
@@ -57,43 +59,41 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of the texts of a buffer: word hashes, where each window begins (a word of
-    the buffer), and the n+1 bounds of each row's words."""
+    """The windows of the texts of a buffer: where each begins (a word of the buffer), its row, its
+    two hashes (128 bits together), and the n+1 bounds of each row's words."""
 
     def __init__(self, buffer: np.ndarray, offsets: np.ndarray, window: int):
         self.starts, self.ends, self.bounds = word_bounds(buffer, offsets)
         self.window = window
-        self.prefix = prefix_sums(word_hashes(buffer, self.starts, self.ends))
+        self.words = [word_hashes(buffer, self.starts, self.ends, salt) for salt in (1, 2)]
         upto = np.repeat(self.bounds[1:], np.diff(self.bounds))
         self.at = np.flatnonzero(np.arange(len(upto)) + window <= upto)
         self.row = np.searchsorted(self.bounds, self.at, side="right") - 1
-
-    def hashes(self, at: np.ndarray) -> np.ndarray:
-        return span_hash(self.prefix, at, at + self.window, 4)
+        self.hashes = [sequence_hashes(w, window)[self.at] for w in self.words]
 
     def runs(self, anchor_words: int) -> tuple[np.ndarray, ...]:
-        """row, first window (word of its row), number of windows, anchor, span hash, and
-        whether a window of the run occurs twice in the text."""
-        n = len(self.starts)
+        """row, first window (word of its row), number of windows, anchor, two hashes of the span,
+        and whether a window of the run occurs twice in the text."""
         if not len(self.at):
             none = np.zeros(0, np.int64)
-            return none, none, none, none, none, none.astype(bool)
-        every = np.arange(n - anchor_words + 1)
-        least = sliding_min(span_hash(self.prefix, every, every + anchor_words, 5), self.window - anchor_words + 1)
+            return none, none, none, none, none, none, none.astype(bool)
+        least = sliding_min(sequence_hashes(self.words[0], anchor_words), self.window - anchor_words + 1)
         anchor = least[self.at]
         first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (self.row[1:] != self.row[:-1])])
         count = np.diff(np.r_[first, len(anchor)])
         begin = self.at[first]
-        span = span_hash(self.prefix, begin, begin + count + self.window - 1, 6)
         row = self.row[first]
-        with np.errstate(over="ignore"):
-            keys = mix(self.hashes(self.at) + self.row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(keys)
-        same = keys[order[1:]] == keys[order[:-1]]
-        twice = np.zeros(len(keys), bool)
+        place = (np.arange(len(anchor)) - np.repeat(first, count)).astype(np.uint64)
+        # of a run, the hashes of its windows, each mixed with its place, are summed
+        spans = [np.add.reduceat(joined(h, place), first) for h in self.hashes]
+        order = np.lexsort((self.hashes[1], self.hashes[0], self.row))
+        same = np.ones(len(order) - 1, bool)
+        for x in (self.row, *self.hashes):
+            same &= x[order[1:]] == x[order[:-1]]
+        twice = np.zeros(len(order), bool)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
         own = np.logical_or.reduceat(twice, first)
-        return row, begin - self.bounds[row], count, mix(anchor[first]).view(np.int64), span.view(np.int64), own
+        return row, begin - self.bounds[row], count, mix(anchor[first]).view(np.int64), *(x.view(np.int64) for x in spans), own
 
 
 _KEYS = "id long, body long"
@@ -111,17 +111,17 @@ def _runs(rows: DataFrame, window: int, anchor_words: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in chunks(batches):
-            row, at, count, anchor, span, own = Windows(*binary_batch(batch, "text"), window).runs(anchor_words)
+            row, at, count, anchor, span, other, own = Windows(*binary_batch(batch, "text"), window).runs(anchor_words)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(anchor), pa.array(span), batch.column(0).take(take), batch.column(1).take(take),
+                    pa.array(anchor), pa.array(span), pa.array(other), batch.column(0).take(take), batch.column(1).take(take),
                     pa.array(at, pa.int32()), pa.array(count, pa.int32()), pa.array(own),
                 ],
-                ["anchor", "span", "id", "body", "at", "n", "own"],
+                ["anchor", "span", "other", "id", "body", "at", "n", "own"],
             )
 
-    return rows.mapInArrow(run, f"anchor long, span long, {_KEYS}, at int, n int, own boolean")
+    return rows.mapInArrow(run, f"anchor long, span long, other long, {_KEYS}, at int, n int, own boolean")
 
 
 #: What becomes of a run: all its windows repeat; that, and it stands in the shard for runs
@@ -137,28 +137,32 @@ def _classified(runs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held, before, group = None, None, None  # the last row; (anchor, span) before it; first (anchor, span) of its group
+        # the last row; (anchor, span) before it; the first (anchor, span) of its anchor's group
+        held, before, group = None, None, None
+
+        def keys(table):
+            return [table.column(c).to_numpy() for c in ("anchor", "span", "other")]
 
         def judged(table, following):
             nonlocal before, group
-            a, s = table.column("anchor").to_numpy(), table.column("span").to_numpy()
-            pa_, ps = np.r_[a[:1] if before is None else before[0], a[:-1]], np.r_[s[:1] if before is None else before[1], s[:-1]]
-            na, ns = np.r_[a[1:], a[-1:] if following is None else following[0]], np.r_[s[1:], s[-1:] if following is None else following[1]]
-            prev_a, next_a = pa_ == a, na == a
+            own = keys(table)
+            ahead = [np.r_[x[1:], x[-1:] if following is None else following[i]] for i, x in enumerate(own)]
+            behind = [np.r_[x[:1] if before is None else before[i], x[:-1]] for i, x in enumerate(own)]
+            prev_a, next_a = behind[0] == own[0], ahead[0] == own[0]
             if before is None:
                 prev_a[0] = False
             if following is None:
                 next_a[-1] = False
-            prev_s, next_s = prev_a & (ps == s), next_a & (ns == s)
-            start = np.maximum.accumulate(np.where(prev_a, 0, np.arange(len(a))))
-            first = s[start]
+            prev_s = prev_a & (behind[1] == own[1]) & (behind[2] == own[2])
+            next_s = next_a & (ahead[1] == own[1]) & (ahead[2] == own[2])
+            start = np.maximum.accumulate(np.where(prev_a, 0, np.arange(len(own[0]))))
+            first = [x[start] for x in own[1:]]
             if prev_a[0]:
-                first = np.where((start == 0), group[1], first)
-            mixed = (first != s) | (next_a & ~next_s)
-            twice = prev_s | next_s
-            kind = np.where(twice, np.where(~next_s & mixed, STANDS, REPEATS), OPEN)
+                first = [np.where(start == 0, g, x) for g, x in zip(group, first)]
+            mixed = (first[0] != own[1]) | (first[1] != own[2]) | (next_a & ~next_s)
+            kind = np.where(prev_s | next_s, np.where(~next_s & mixed, STANDS, REPEATS), OPEN)
             keep = prev_a | next_a | table.column("own").to_numpy()
-            before, group = (a[-1], s[-1]), (a[-1], first[-1])
+            before, group = [x[-1] for x in own], [x[-1] for x in first]
             return table.append_column("kind", pa.array(kind, pa.int32())).filter(pa.array(keep)).select(
                 ["id", "body", "at", "n", "kind", "anchor"]
             )
@@ -170,11 +174,11 @@ def _classified(runs: DataFrame) -> DataFrame:
             whole = table if held is None else pa.concat_tables([held, table]).combine_chunks()
             held, ready = whole.slice(whole.num_rows - 1), whole.slice(0, whole.num_rows - 1)
             if ready.num_rows:
-                yield from judged(ready, (held.column("anchor")[0].as_py(), held.column("span")[0].as_py())).to_batches()
+                yield from judged(ready, [x[0] for x in keys(held)]).to_batches()
         if held is not None:
             yield from judged(held, None).to_batches()
 
-    dealt = runs.repartition("anchor").sortWithinPartitions("anchor", "span")
+    dealt = runs.repartition("anchor").sortWithinPartitions("anchor", "span", "other")
     return dealt.mapInArrow(run, f"{_KEYS}, at int, n int, kind int, anchor long")
 
 
@@ -344,23 +348,21 @@ def _decided(opened: DataFrame, window: int, shard_runs: int) -> DataFrame:
         out: list[tuple] = []
 
         def windows(r):
-            words = r[4].split(b" ")
             buffer = np.frombuffer(r[4], dtype=np.uint8)
             w = Windows(buffer, np.array([0, len(buffer)]), window)
-            for at, h in zip(w.at.tolist(), w.hashes(w.at).view(np.int64).tolist()):
-                out.append((r[0], r[1], r[2] + at, 1, h, r[3]))
-            return words
+            for at, *h in zip(w.at.tolist(), *(x.view(np.int64).tolist() for x in w.hashes)):
+                out.append((r[0], r[1], r[2] + at, 1, *h, r[3]))
 
         def close(held, large):
             if large:
                 for r in held:
                     windows(r)
             else:
-                out.extend((*x, None, OPEN) for x in shard_repeats(held, window))
+                out.extend((*x, None, None, OPEN) for x in shard_repeats(held, window))
 
         def batch_of():
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-            names = ["id", "body", "at", "n", "hash", "kind"]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            names = ["id", "body", "at", "n", "hash", "other", "kind"]
             made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
             out.clear()
             return made
@@ -384,7 +386,7 @@ def _decided(opened: DataFrame, window: int, shard_runs: int) -> DataFrame:
             yield batch_of()
 
     dealt = opened.repartition("anchor").sortWithinPartitions("anchor", "id", "body", "at")
-    return dealt.mapInArrow(run, f"{_KEYS}, at int, n int, hash long, kind int")
+    return dealt.mapInArrow(run, f"{_KEYS}, at int, n int, hash long, other long, kind int")
 
 
 def repeated_windows(
@@ -397,8 +399,10 @@ def repeated_windows(
     opened = _opened(_packed(rows), judged.where(F.col("kind") != REPEATS), window)
     decided = materialize(_decided(opened, window, shard_runs), "substring-shards")
     counted = decided.where("hash is not null")
-    twice = counted.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
-    large = counted.where(F.col("kind") == OPEN).join(twice, "hash", "left_semi")
+    twice = counted.groupBy("hash", "other").agg(F.count("*").alias("c")).where("c > 1").select("hash", "other")
+    # as a table of its own, so that the join deals the rows of one very frequent window anew
+    large = counted.where(F.col("kind") == OPEN).join(materialize(twice, "substring-twice"), ["hash", "other"], "left_semi")
+    large = materialize(large.select("id", "body", "at", "n"), "substring-large")
     columns = ["id", "body", "at", "n"]
     found = judged.where(F.col("kind") != OPEN).select(columns)
     return _packed(rows), found.unionByName(decided.where("hash is null").select(columns)).unionByName(large.select(columns))
@@ -494,3 +498,19 @@ def remove_references(
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remaining_words(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(list_slice(words, i, i + {WINDOW - 1}), ' ')) AS k
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM d)),
+rep AS (SELECT doc_id, list(i ORDER BY i) AS places FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1) GROUP BY doc_id),
+gone AS (
+  SELECT doc_id, list_distinct(flatten(list_transform(places, lambda p: range(p, p + {WINDOW})))) AS places FROM rep),
+kept AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+    CASE WHEN places IS NULL THEN words ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END AS words
+  FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(words, ' ')) AS kept_sha256 FROM kept
+"""
