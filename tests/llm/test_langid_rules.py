@@ -88,8 +88,8 @@ def test_verdict_equals_brute_force(spark):
         raw += own
         if i in good_ids:
             good += own
-    size = 1 << 16
-    ratio = lambda b: math.log((good[b] + 1) / (good.total() + size)) - math.log((raw[b] + 1) / (raw.total() + size))
+    n_good, n_raw = good.total() + (1 << 16), raw.total() + (1 << 16)
+    ratio = lambda b: math.log((good[b] + 1) / n_good) - math.log((raw[b] + 1) / n_raw)
     for r in rules.op7_quality_rules(spark, small).collect():
         t = docs[r["doc_id"]]
         each = [ratio(bucket(t[k : k + 4])) for k in range(len(t) - 3)]

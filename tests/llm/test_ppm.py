@@ -48,9 +48,9 @@ def brute_base(train, text):
     return len(own), sum(c[w] > 0 for w in own), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own)
 
 
-def check(spark, docs, train, most_words):
+def check(spark, docs, train, most_words, most_grams):
     counts = materialize(ppm.corpus_counts(train), "t")
-    got = ppm.score(docs, counts, most_words=most_words).collect()
+    got = ppm.score(docs, counts, most_words=most_words, most_grams=most_grams).collect()
     texts, known = {r["doc_id"]: r["text"] for r in docs.collect()}, [r["text"] for r in train.collect()]
     trie = brute_model(known, ppm.ORDER)
     assert len(got) == docs.count()
@@ -61,20 +61,43 @@ def check(spark, docs, train, most_words):
         assert r["score"] == pytest.approx(brute_score(trie, texts[r["id"]], ppm.ORDER), rel=1e-6)
 
 
-@pytest.mark.parametrize("most_words", [1 << 18, 3])
-def test_equals_brute_force(spark, odd, empty, most_words):
-    check(spark, odd, odd.where("doc_id % 2 = 1"), most_words)
-    check(spark, odd, empty, most_words)
-    check(spark, empty, odd, most_words)
+@pytest.mark.parametrize("most_words, most_grams", [(1 << 18, 1 << 20), (3, 3), (1 << 18, 1000)])
+def test_equals_brute_force(spark, odd, empty, most_words, most_grams):
+    check(spark, odd, odd.where("doc_id % 2 = 1"), most_words, most_grams)
+    check(spark, odd, empty, most_words, most_grams)
+    check(spark, empty, odd, most_words, most_grams)
 
 
-def test_probabilities_sum_to_one():
-    codes, _ = ppm.gram_codes([b"abracadabra", b"abc", b""], 2)
-    trie = ppm.Trie({k: np.unique(codes & np.uint64(256 ** (k + 1) - 1), return_counts=True) for k in range(3)}, order=2)
+def test_equals_brute_force_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    check(spark, docs, docs.where(~held_out("doc_id", 7, 2)), 50, 500)
+
+
+def test_probabilities_sum_to_one(spark):
+    frame = spark.createDataFrame([("abracadabra",), ("abc",), ("",)], "text string")
+    nodes = materialize(ppm.trie_nodes(ppm.corpus_counts(frame, order=2), 2), "nodes")
     for context in (b"ab", b"zz", b"\xff\xff", b"ra", b"ca"):
-        every = np.array([context[0] << 16 | context[1] << 8 | b for b in range(256)], dtype=np.uint64)
-        assert (10 ** trie.log10(every)).sum() == pytest.approx(1)
-        assert np.allclose(trie.fast(every), trie.log10(every), rtol=1e-6)
+        every = spark.createDataFrame([(context[0] << 16 | context[1] << 8 | b,) for b in range(256)], "gram long")
+        got = ppm.escaped(every, nodes, 2).collect()
+        assert len(got) == 256 and sum(10 ** r["value"] for r in got) == pytest.approx(1)
+        known = {r["gram"]: r["value"] for r in ppm.known_grams(nodes, 2).collect()}
+        assert all(known.get(r["gram"], r["value"]) == pytest.approx(r["value"]) for r in got)
+
+
+def test_cache_never_answers_for_another_gram():
+    rng = np.random.default_rng(0)
+    grams = np.unique(rng.integers(0, 1 << 48, 500, dtype=np.uint64))
+    cache = ppm.Cache(grams, np.arange(len(grams)), grams.astype(float))
+    asked = np.concatenate([grams, rng.integers(0, 1 << 48, 500, dtype=np.uint64)])
+    values, known = cache.find(asked)
+    assert known[: len(grams)].mean() > 0.7 and (values[known] == asked[known].astype(float)).all() and not values[~known].any()
+
+
+def test_clashing_columns(spark, odd):
+    wide = odd.selectExpr("*", *(f"1 AS {c}" for c in ["id", "uid", "word", "gram", "n", "value", "score", "base", "open"]))
+    counts = materialize(ppm.corpus_counts(wide), "t")
+    a, b = (sorted(map(str, ppm.score(d, counts).collect())) for d in (odd, wide))
+    assert a == b
 
 
 def test_least_count(spark):

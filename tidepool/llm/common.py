@@ -28,10 +28,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors (spark.checkpoint.dir). Only where the session
-    names none, as in tests, a temporary folder is made and set."""
+    """The folder shared by all executors (spark.checkpoint.dir). Only where the session names
+    none and runs in one process, as in tests, a temporary folder is made and set; a cluster
+    without one is an error, since executors would not see each other's files."""
     where = spark.conf.get(CHECKPOINT_KEY, None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidepool-")
         spark.conf.set(CHECKPOINT_KEY, where)
     return where
@@ -43,7 +46,16 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table of materialize() that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(column: str, modulus: int) -> Column:

@@ -10,16 +10,17 @@ log10 probability of the lower-cased text, the code length of a pretrained model
 probability of a byte depends on the ORDER bytes before it alone, so that known n-grams are
 looked up and only unknown ones go through the escapes.
 
-Every training text is counted, whole. The trie is sent to the tasks: it keeps the most
-frequent n-grams, as many as fit TRIE_GRAMS by a power-of-two count limit, which bounds its
-size whatever the corpus. Word counts are not bounded: the frequent words (at most
-FREQUENT_WORDS, by the same rule) are sent to the tasks, all others are joined by word, each
-text's rare words summed before the shuffle.
+Every training text is counted, whole, and every context is a node of the trie, which is a table
+keyed by context. The probabilities of the most frequent n-grams (at most FREQUENT_GRAMS) are sent
+to the tasks as a cache; the other n-grams of a text are joined: those that were seen with their
+probability, the rest with the nodes of their contexts, from the longest to the shortest. The
+frequent words (at most FREQUENT_WORDS) are sent to the tasks, all others are joined by word. What
+is sent does not change results.
 
 Null texts count as empty: one end token, and the model's probability of the empty text. With
 no training text, N and V are 0 and the model is uniform over bytes. Repeated rows are scored
-each for itself. Whole texts are scored. Empty tables give empty results. Extra columns are
-not read.
+each for itself, also with one id. Whole texts are scored. Empty tables give empty results. Extra
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import LOWER_AZ, WORD_BYTES, chunks, documents, held_out, materialize, text_bytes
 
 ORDER = 5
-TRIE_GRAMS = 1 << 20
+FREQUENT_GRAMS = 1 << 20
 FREQUENT_WORDS = 1 << 17
 #: Words that a task counts before it hands its sums on.
 HELD_WORDS = 200_000
@@ -120,118 +121,91 @@ def least_count(counts: DataFrame, most: int) -> int:
     return 1
 
 
-class Trie:
-    """Counts by order: n-grams as sorted numbers with counts; contexts with the sum of their
-    counts, their distinct bytes, and the sum that the next shorter context has of those."""
-
-    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]], order: int = ORDER):
-        """counts: for each context length, n-grams and counts. The suffix of every n-gram is
-        among those of the next shorter length, with at least its count."""
-        self.order = order
-        self.grams, self.n, self.contexts, self.total, self.distinct, self.covered = {}, {}, {}, {}, {}, {}
-        for k in range(order + 1):
-            at = np.argsort(counts[k][0])
-            g, c = counts[k][0][at].astype(np.uint64), counts[k][1][at].astype(np.int64)
-            self.grams[k], self.n[k] = g, c
-            first = np.flatnonzero(np.r_[True, g[1:] >> np.uint64(8) != g[:-1] >> np.uint64(8)]) if len(g) else np.zeros(0, np.int64)
-            self.contexts[k] = g[first] >> np.uint64(8)
-            self.total[k] = np.add.reduceat(c, first) if len(g) else c
-            self.distinct[k] = np.diff(np.r_[first, len(g)])
-            if k:
-                below = self.n[k - 1][self._find(self.grams[k - 1], g & np.uint64(_MASKS[k - 1]))[0]] if len(g) else c
-                self.covered[k] = np.add.reduceat(below, first) if len(g) else c
-        self._slots = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_slots": None}
-
-    @staticmethod
-    def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-        return i, keys[i] == x
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of the byte of each n-gram after its context, by escapes."""
-        out = np.zeros(len(codes))
-        open_ = np.ones(len(codes), bool)  # not yet coded
-        began = np.zeros(len(codes), bool)  # a longer context was known
-        above, above_distinct = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-        for k in range(self.order, -1, -1):
-            x = codes & np.uint64(_MASKS[k])
-            i, known = self._find(self.contexts[k], x >> np.uint64(8))
-            use = np.flatnonzero(open_ & known)
-            if not len(use):
-                continue
-            c = i[use]
-            total, distinct = self.total[k][c] - above[use], self.distinct[k][c] - above_distinct[use]
-            g, seen = self._find(self.grams[k], x[use])
-            weight = np.where(seen, self.n[k][g] if len(self.n[k]) else 0, distinct)
-            step = weight > 0  # without a byte left, the escape is certain
-            out[use[step]] += np.log10(weight[step] / (total + distinct)[step])
-            open_[use[seen]] = False
-            began[use] = True
-            if k:
-                above[use], above_distinct[use] = self.covered[k][c], self.distinct[k][c]
-        if open_.any():
-            known = self.distinct[0][0] if len(self.distinct[0]) else 0
-            out[open_] -= math.log10(256 - known)
-        return out
-
-    def fast(self, codes: np.ndarray) -> np.ndarray:
-        """As log10(), with known n-grams from a hash table that is made once."""
-        if self._slots is None:
-            keys, values = self.grams[self.order], self.log10(self.grams[self.order])
-            bits = max(16, int(max(1, len(keys)) * 2).bit_length())
-            slot_keys, slot_values = np.full(1 << bits, (1 << 64) - 1, np.uint64), np.zeros(1 << bits, np.float32)
-            order = np.argsort(self.n[self.order], kind="stable")  # of two in one slot the frequent one stays
-            at = self._slot(keys[order], bits)
-            slot_keys[at], slot_values[at] = keys[order], values[order]
-            self._slots = bits, slot_keys, slot_values
-        bits, slot_keys, slot_values = self._slots
-        at = self._slot(codes, bits)
-        out = slot_values[at].astype(float)
-        missed = np.flatnonzero(slot_keys[at] != codes)
-        if len(missed):
-            unknown, of = np.unique(codes[missed], return_inverse=True)
-            out[missed] = self.log10(unknown)[of]
-        return out
-
-    @staticmethod
-    def _slot(codes: np.ndarray, bits: int) -> np.ndarray:
+def trie_nodes(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """length, context (long), total, counts (map: byte -> times): a node for every context of up
+    to `order` bytes of the n-grams of corpus_counts(). A node has 256 bytes at most. The counts
+    of a length are summed from those of the next longer one."""
+    grams = counts.where("gram is not null").select("gram", "n")
+    levels = [grams]
+    for k in range(order - 1, -1, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit(_MASKS[k])).alias("gram")
+        levels.append(levels[-1].groupBy(shorter).agg(F.sum("n").alias("n")))
+    every = None
+    for k, level in zip(range(order, -1, -1), levels):
+        own = level.select(F.lit(k).alias("length"), F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n")
+        every = own if every is None else every.unionByName(own)
+    following = F.map_from_entries(F.collect_list(F.struct("byte", "n")))
+    return every.groupBy("length", "context").agg(F.sum("n").alias("total"), following.alias("counts"))
+
+
+def known_grams(nodes: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, n, value (log10 probability of its byte) of the n-grams with the longest context."""
+    top = nodes.where(F.col("length") == order)
+    each = top.select("context", F.size("counts").alias("d"), "total", F.explode("counts").alias("byte", "n"))
+    gram = F.shiftleft("context", 8).bitwiseOR(F.col("byte").cast("long"))
+    return each.select(gram.alias("gram"), "n", F.log10(F.col("n") / (F.col("total") + F.col("d"))).alias("value"))
+
+
+def escaped(grams: DataFrame, nodes: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, value: log10 probability of the byte of each n-gram (distinct ones of a column gram)
+    by escapes from the longest context to the empty one, with exclusion. A length is one join
+    with the nodes of that length; an n-gram that is coded meets none any more."""
+    state = grams.select("gram", F.lit(0.0).alias("value"), F.lit(True).alias("open"), F.array().cast("array<int>").alias("ruled_out"))
+    for k in range(order, -1, -1):
+        own = nodes.where(F.col("length") == k).select(F.col("context").alias("own"), "total", "counts")
+        if k < 2:  # 257 contexts at most
+            own = F.broadcast(own)
+        context = F.shiftright("gram", 8).bitwiseAND(F.lit(_MASKS[k - 1] if k else 0))
+        # one that is coded gets a key of its own, below all contexts
+        key = F.when(F.col("open"), context).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("gram"), 1))
+        met = state.withColumn("key", key).join(own, F.col("key") == F.col("own"), "left")
+        known, n = F.col("own").isNotNull(), F.try_element_at("counts", F.col("gram").bitwiseAND(F.lit(255)).cast("int"))
+        covered = F.aggregate("ruled_out", F.lit(0).cast("long"), lambda a, b: a + F.coalesce(F.try_element_at("counts", b), F.lit(0)))
+        left = met.select(
+            "gram", "value", "open", "ruled_out", "counts", known.alias("known"), n.alias("n"),
+            (F.col("total") - covered).alias("t"), (F.size("counts") - F.size("ruled_out")).alias("d"),
+        )
+        weight = F.coalesce("n", F.col("d").cast("long"))  # without a byte left, the escape is certain
+        step = F.when(F.col("known") & (weight > 0), F.log10(weight / (F.col("t") + F.col("d")))).otherwise(0.0)
+        state = left.select(
+            "gram", (F.col("value") + step).alias("value"), (F.col("open") & ~(F.col("known") & F.col("n").isNotNull())).alias("open"),
+            F.when(F.col("known"), F.map_keys("counts")).otherwise(F.col("ruled_out")).alias("ruled_out"),
+        )
+    return state.select("gram", F.when(F.col("open"), F.col("value") - F.log10(F.lit(256) - F.size("ruled_out"))).otherwise(F.col("value")).alias("value"))
+
+
+class Cache:
+    """log10 probabilities of frequent n-grams in a table of slots; of two n-grams in one slot the
+    more frequent one stays, the other is looked up like a rare one."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(max(1, len(grams)) * 2).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, (1 << 64) - 1, np.uint64), np.zeros(1 << self.bits)
+        order = np.lexsort((grams, n))
+        at = self._slot(grams[order])
+        self.keys[at], self.values[at] = grams[order], values[order]
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+            return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 where unknown), and which are known."""
+        at = self._slot(grams)
+        known = self.keys[at] == grams
+        return np.where(known, self.values[at], 0.0), known
 
-def suffix_counts(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """length, gram, n: the n-grams of corpus_counts() and all their suffixes."""
-    grams = counts.where("gram is not null")
-    every = grams.select(F.explode(F.sequence(F.lit(0), F.lit(order))).alias("length"), "gram", "n")
-    masked = F.col("gram").bitwiseAND(F.element_at(F.array(*(F.lit(m) for m in _MASKS[: order + 1])), F.col("length") + 1))
-    return every.groupBy("length", masked.alias("gram")).agg(F.sum("n").alias("n"))
 
-
-def train(counts: DataFrame, order: int = ORDER, most: int = TRIE_GRAMS) -> Trie:
-    """The trie of the n-grams of corpus_counts(); at most `most` rows reach the driver. One
-    count limit holds for all lengths, so an n-gram is never kept without its suffixes."""
-    every = materialize(suffix_counts(counts, order), "ppm-suffixes")
-    kept = every.where(F.col("n") >= least_count(every, most)).toArrow()
-    length, gram, n = (kept[c].to_numpy().astype(np.int64) for c in ("length", "gram", "n"))
-    return Trie({k: (gram[length == k], n[length == k]) for k in range(order + 1)}, order)
-
-
-_ROWS = (
-    "uid long, id long, word binary, n long, n_tokens long, n_known long, base double, score double"
-)
+_ROWS = "uid long, id long, word binary, gram long, n long, n_tokens long, n_known long, base double, score double"
 
 
 def score(
     docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    order: int = ORDER, most_words: int = FREQUENT_WORDS,
+    order: int = ORDER, most_words: int = FREQUENT_WORDS, most_grams: int = FREQUENT_GRAMS,
 ) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every row of docs under the
-    counts of a training corpus (a written table: it is read more than once)."""
+    counts of a training corpus (a written table: it is read more than once). Results do not
+    depend on most_words and most_grams, which bound what is sent to the tasks."""
     spark = docs.sparkSession
     words = counts.where("word is not null").select("word", "n")
     v, n = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -239,54 +213,92 @@ def score(
     least = least_count(words, most_words)
     kept = words.where(F.col("n") >= least).toArrow()
     frequent = {w: math.log10((c + 1) / floor) for w, c in zip(kept["word"].to_pylist(), kept["n"].to_pylist())}
-    del kept
     end = words.where(F.length("word") == 0).first()
     end_known, end_log = bool(end), math.log10(((end["n"] if end else 0) + 1) / floor)
-    shared = spark.sparkContext.broadcast((frequent, train(counts, order)))
+    nodes = materialize(trie_nodes(counts, order), "ppm-nodes", ("length",))
+    grams = known_grams(nodes, order)
+    kept = grams.where(F.col("n") >= least_count(grams, most_grams)).toArrow()
+    cache = Cache(*(kept[c].to_numpy().astype(t) for c, t in (("gram", np.uint64), ("n", np.int64), ("value", float))))
+    del kept
+    shared = spark.sparkContext.broadcast((frequent, cache))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        known, trie = shared.value
+        known, cached = shared.value
         get = known.get
         uid = TaskContext.get().partitionId() << 40
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["uid", "id", "word", "gram", "n", "n_tokens", "n_known", "base", "score"]
+
+        def out(**columns):
+            size = len(columns["uid"])
+            zero = lambda k: pa.nulls(size, k) if k == pa.binary() else pa.array(np.zeros(size, k.to_pandas_dtype()))
+            fill = {c: pa.nulls(size, pa.int64()) for c in ("id", "gram")}
+            return pa.RecordBatch.from_arrays(
+                [pa.array(columns[c], k) if c in columns else fill.get(c, zero(k)) for c, k in zip(names, kinds)], names
+            )
+
         for batch in chunks(batches):
             texts = [t.translate(LOWER_AZ) for t in text_bytes(batch.column(1))]
             codes, bounds = gram_codes(texts, order)
-            scores = np.add.reduceat(trie.fast(codes), bounds[:-1])
-            rows: list[list] = [[] for _ in range(8)]
-            for key, text, s in zip(batch.column(0).to_pylist(), texts, scores):
+            values, found = cached.find(codes)
+            scores = np.add.reduceat(values, bounds[:-1])
+            missed = np.flatnonzero(~found)
+            if len(missed):  # each n-gram once for a text
+                at = np.searchsorted(bounds, missed, side="right") - 1
+                by = np.lexsort((codes[missed], at))
+                at, own = at[by], codes[missed][by]
+                first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (at[1:] != at[:-1])])
+                yield out(uid=uid + at[first], gram=own[first].astype(np.int64), n=np.diff(np.r_[first, len(own)]))
+            rows: list[list] = [[], [], []]
+            bases, knowns, totals = [], [], []
+            for i, text in enumerate(texts):
                 tokens = _WORDS.findall(text)
                 base, seen = end_log, int(end_known)
                 for w, k in Counter(tokens).items():
                     value = get(w)
                     if value is None:
-                        for column, x in zip(rows, (uid, key, w, k, 0, 0, 0.0, 0.0)):
+                        for column, x in zip(rows, (uid + i, w, k)):
                             column.append(x)
                     else:
                         base += k * value
                         seen += k
-                # a key of its own, which no word has, deals this row to some task of the join
-                for column, x in zip(rows, (uid, key, b" %d" % uid, 0, len(tokens) + 1, seen, base, float(s))):
-                    column.append(x)
-                uid += 1
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(rows, kinds)],
-                ["uid", "id", "word", "n", "n_tokens", "n_known", "base", "score"],
-            )
+                bases.append(base)
+                knowns.append(seen)
+                totals.append(len(tokens) + 1)
+            yield out(uid=rows[0], word=rows[1], n=rows[2])
+            # a key of its own, which no word has, deals this row to some task of the join
+            ids = np.arange(uid, uid + len(texts))
+            yield out(uid=ids, id=batch.column(0), word=[b" %d" % u for u in ids], n_tokens=totals, n_known=knowns, base=bases, score=scores)
+            uid += len(texts)
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _ROWS)
+    rows = materialize(rows, "ppm-rows")
     rare = words.where((F.col("n") < least) & (F.length("word") > 0)).withColumnRenamed("n", "c")
-    met = rows.join(rare, "word", "left")
+    of_words = rows.where("word is not null").join(rare, "word", "left")
     rare_base = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(floor)))
+    zero = F.lit(0).cast("long")
+    of_words = of_words.select(
+        "uid", "id", "n_tokens", (F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
+        (F.col("base") + rare_base).alias("base"), "score",
+    )
+    wanted = rows.where("gram is not null").select("uid", "gram", "n")
+    met = materialize(wanted.join(grams.select("gram", "value"), "gram", "left"), "ppm-met")
+    unseen = materialize(escaped(met.where("value is null").select("gram").distinct(), nodes, order), "ppm-unseen")
+    seen = met.where("value is not null").select("uid", "n", "value")
+    seen = seen.unionByName(met.where("value is null").drop("value").join(unseen, "gram").select("uid", "n", "value"))
+    of_grams = seen.select(
+        "uid", F.lit(None).cast("long").alias("id"), zero.alias("n_tokens"), zero.alias("n_known"), F.lit(0.0).alias("base"),
+        (F.col("n") * F.col("value")).alias("score"),
+    )
     return (
-        met.groupBy("uid")
+        of_words.unionByName(of_grams)
+        .groupBy("uid")
         .agg(
-            F.max("id").alias("id"), F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + rare_base).alias("base_score"), F.sum("score").alias("score"),
+            F.max("id").alias("id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+            F.sum("base").alias("base_score"), F.sum("score").alias("score"),
         )
         .select("id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
     )
