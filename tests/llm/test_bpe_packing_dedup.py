@@ -88,6 +88,53 @@ def test_pack_window_respects_all_limits():
         assert sorted(place[own]) == list(range(own.sum()))
 
 
+def test_long_white_space():
+    t = Tokenizer.from_file(BYTE)
+    encode = packing.tokenizer(BYTE).encode
+    for text in ("a" + " " * 2_000_000 + "b", "x" + "\n" * 1_200_000, " \n" * 400_000 + "end", "\t" * 9_999 + "y"):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), "<u4").tolist() == want
+
+
+def naive_pack(sizes, limits):
+    """The heuristic over single pieces: the fitting piece with the largest dot product."""
+    left, out = list(range(len(sizes))), []
+    while left:
+        room, own = list(limits), []
+        while True:
+            fits = [i for i in left if all(s <= r for s, r in zip(sizes[i], room))]
+            if not fits:
+                break
+            score = lambda i: sum((s / m / m) * r for s, r, m in zip(sizes[i], room, limits))  # noqa: E731, B023
+            best = max(fits, key=lambda i: (score(i), [-s for s in sizes[i]], -i))  # noqa: B023
+            own.append(best)
+            left.remove(best)
+            room = [r - s for r, s in zip(room, sizes[best])]
+            if not room[0]:
+                break
+        out.append(own)
+    return out
+
+
+def test_pack_window_equals_a_naive_packer():
+    rng = np.random.default_rng(5)
+    for limits in ((64, 4, 40), (100, 8, 100), (32, 2, 20)):
+        for _ in range(8):
+            tokens = rng.integers(1, limits[0] + 1, 60)
+            sizes = np.stack([tokens, np.ones_like(tokens), np.minimum(limits[2], rng.integers(0, tokens + 1))], axis=1)
+            sequence, place = packing.pack_window(sizes, np.array(limits))
+            got = [[i for _, i in sorted((place[i], i) for i in np.flatnonzero(sequence == s))] for s in range(sequence.max() + 1)]
+            kinds = lambda packed: [[tuple(sizes[i]) for i in own] for own in packed]  # noqa: E731, B023
+            assert kinds(got) == kinds(naive_pack(sizes.tolist(), limits))
+
+
+def test_packing_and_bpe_with_clashing_columns(spark, odd):
+    names = ["id", "start", "length", "loss", "ids", "sequence_id", "offset", "n_tokens", "decoded", "doc_tokens"]
+    wide = odd.selectExpr("*", *(f"'x' AS {c}" for c in names))
+    for apply in (lambda d: packing.pieces(d, BYTE), lambda d: bpe.encode_documents(d, WORD)):
+        assert sorted(map(str, apply(wide).collect())) == sorted(map(str, apply(odd).collect()))
+
+
 def brute_dedup(rows, largest):
     groups = defaultdict(list)
     for r in rows:

@@ -11,7 +11,9 @@ its own, the rest is packed. Rows are sorted within a task before packing, so a
 again gives the same sequences.
 
 Null text counts as empty: its single token is the separator. Repeated rows are packed as
-often as they occur. Empty tables give empty results. Extra columns are not read.
+often as they occur. Of pieces with equal products the smaller one in (tokens, segments, loss)
+goes first, and pieces of one size go in the order of the sorted rows. Null ids are kept. Empty
+tables give empty results. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Where spaces and line ends meet each other; and all other white space.
 _MEETING = ("  ", "\n\n", " \n", "\n ")
 _OTHER_WHITE = re.compile(r"[^\S \n]")
+#: White space that the faster library can't look ahead over: it ends with an error of its own.
+_LONG_WHITE = re.compile(r"\s{10000}")
 
 
 class _Memory(dict):
@@ -67,7 +71,8 @@ class CachedTokenizer:
     reaches over one of them from the left, and a line end is a token of its own. So each
     stretch from space to space of a line has its own ids, which are kept in a bounded cache.
     Stretches, and texts with other white space, are encoded by a faster library from the
-    merge ranks in the same file; texts that may hold special tokens by the library itself."""
+    merge ranks in the same file; texts that may hold special tokens, or that hold very long white
+    space, by the library itself."""
 
     def __init__(self, path: str):
         import json
@@ -97,7 +102,7 @@ class CachedTokenizer:
 
     def encode(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit numbers."""
-        if "<|" in text:
+        if "<|" in text or (len(text) >= 10_000 and _LONG_WHITE.search(text)):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _MEETING) or _OTHER_WHITE.search(text):
             return self._ids(text)
