@@ -1,11 +1,14 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 
 from tidepool.llm import secrets
 
@@ -108,10 +111,46 @@ def test_fixpoint_ends():
 
 
 def test_bombs_are_reported(monkeypatch):
-    monkeypatch.setattr(secrets, "MAX_LAYER", 1000)
+    monkeypatch.setattr(secrets, "MAX_UNPACKED", 1000)
+    monkeypatch.setattr(secrets, "BLOCK", 500)
     assert secrets.scan("a " + b64(zlib.compress(b"\x00" * 100000)))[3] >= 1
 
 
+PACKERS = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress}
+
+
+@pytest.mark.parametrize("name", PACKERS)
+def test_all_members_are_scanned(name):
+    pack = PACKERS[name]
+    payload = pack(b"nothing in here") + pack(b"\n" + PASS.encode()) + pack(b"") + pack(b" " + KEY.encode())
+    for text in ("x " + b64(payload), "x " + "".join(f"%{b:02X}" for b in payload)):
+        _, spans, _, refused = secrets.scan(text)
+        assert {s[1] for s in spans} == {0, 1} and not refused
+
+
+@pytest.mark.parametrize("name", PACKERS)
+def test_large_payloads_are_scanned_in_blocks(monkeypatch, name):
+    monkeypatch.setattr(secrets, "BLOCK", 5000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    for at in (0, 4980, 5010, 10_090, 30_000):
+        body = b"." * at + b" " + PASS.encode() + b" " + b"," * 20_000
+        _, spans, layers, refused = secrets.scan(b64(PACKERS[name](body)))
+        assert {s[1] for s in spans} == {0} and layers > 3 and not refused
+
+
+def test_wrapped_and_glued_base64():
+    packed = b64(gzip.compress(("".join(chr(33 + i * 7 % 90) for i in range(300)) + " " + PASS).encode()))
+    wrapped = "\n".join(packed[i : i + 76] for i in range(0, len(packed), 76))
+    assert [s[1] for s in secrets.scan(f"mail:\n{wrapped}\n\nend")[1]] == [0]
+    tricky = b64("??>>~~ " + PASS + " ~~??>>")
+    assert "/" in tricky or "+" in tricky
+    for glue in ("key-", "a_", "x/", "id-1_", "/path/to/"):
+        for hidden in (tricky, packed, b64(PASS)):
+            text = f"see {glue}{hidden} end"
+            (a, kind, b), = [s for s in secrets.scan(text)[1]]
+            assert kind == 0 and 4 <= a < b <= len(text) - 4
+
+
 def test_query(spark, odd, empty, tmp_path):
     planted = [(1000 + i, f"é {c} {LAYERS['deep'](KEY)}", "en", "s", 1) for i, c in enumerate(CASES)]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -127,5 +166,7 @@ def test_query(spark, odd, empty, tmp_path):
         assert {x for x in join(base).split(",")} <= {x for x in r["spans"].split(",")} | {""}
     assert secrets.scan_secrets(odd).count() == odd.count()
     assert secrets.scan_secrets(empty).count() == 0
+    wide = odd.selectExpr("*", *(f"1 AS {c}" for c in ["id", "base", "spans", "layers", "n_refused", "kind"]))
+    assert sorted(map(str, secrets.scan_secrets(wide).collect())) == sorted(map(str, secrets.scan_secrets(odd).collect()))
     again = secrets.redact(odd)
     assert again.columns == odd.columns and again.count() == odd.count()

@@ -7,9 +7,13 @@ it was seen, so that cycles and commuting decoders end. Every layer carries a ma
 characters to those of the text, so that what is found in it has a span there.
 
 Positions are code points, ends exclusive. Null text counts as empty and has no spans. Whole
-texts are scanned, however long. A payload that would unpack to more than MAX_LAYER bytes is
-not unpacked; n_refused counts such payloads, so that none goes unreported. Repeated rows are
-scanned each for itself; empty tables give empty results; extra columns are unread.
+texts are scanned, however long. A compressed payload is unpacked member by member and frame by
+frame; what is larger than BLOCK bytes is scanned in blocks that overlap by OVERLAP, so no
+payload is too large to be scanned. Payloads may be nested without end and grow a thousandfold
+each time, so a document that has unpacked to MAX_UNPACKED bytes is not unpacked further; n_refused
+counts the payloads that this leaves, so that none goes unreported. Spans that start alike are
+listed by kind, then by end. Repeated rows are scanned each for itself; empty tables give empty
+results; extra columns, whatever their names, are unread.
 """
 
 from __future__ import annotations
@@ -37,16 +41,26 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Least length of the value of an assignment, and of an access key.
 LEAST_VALUE, LEAST_ACCESS = 8, 16
-#: Bytes of an unpacked payload.
-MAX_LAYER = 64 << 20
+#: Bytes of a block of an unpacked payload, and how much of a block the next one repeats.
+BLOCK, OVERLAP = 16 << 20, 1 << 16
+#: Bytes that the payloads of one document may unpack to, together.
+MAX_UNPACKED = 4 << 30
+#: Printable bytes in a row that decoded bytes need in order to be a layer: what a secret or a
+#: further layer takes at least.
+LEAST_PRINTS = 14
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(
     r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|((?:\\u[0-9A-Fa-f]{4})+)|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of base64 that an encoder has wrapped.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{60,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{4,}={0,2})+")
+_LINE_END = re.compile(r"\r?\n[ \t]*")
 _MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
+_MAGIC_AT = re.compile(b"|".join(map(re.escape, _MAGIC)))
 _PRINTS = bytes([9, 10, 13, *range(32, 127)])
+_PRINTED = re.compile(rb"[\t\n\r\x20-\x7e]{%d}" % LEAST_PRINTS)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -107,61 +121,95 @@ def _replaced(layer: Layer, edits: list[tuple[int, int, str]]) -> Layer:
     return Layer("".join(out), pieces, layer.depth + 1)
 
 
-def _unpack(data: bytes) -> bytes | None:
-    """The content of a compressed payload; None if it is none; MemoryError if too large."""
-    try:
+class Budget:
+    """Bytes that a document may still unpack, and the payloads that were refused for that."""
+
+    def __init__(self, left: int | None = None):
+        self.left, self.refused = MAX_UNPACKED if left is None else left, 0
+
+
+def _stream(data: bytes) -> Iterator[bytes]:
+    """The content of all members or frames of a compressed payload, in parts of BLOCK bytes at
+    most. Ends where the data end, or are not such a payload (any more)."""
+    while data:
         if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
             d = zlib.decompressobj(47)
-            out = d.decompress(data, MAX_LAYER + 1)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, MAX_LAYER + 1)
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor().decompress(data, MAX_LAYER + 1)
-        else:
+            yield d.decompress(data, BLOCK)
+            while not d.eof and d.unconsumed_tail:
+                yield d.decompress(d.unconsumed_tail, BLOCK)
+        elif data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\x00":
+            d = bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
+            yield d.decompress(data, BLOCK)
+            while not d.eof and not d.needs_input:
+                yield d.decompress(b"", BLOCK)
+        elif data[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(MAX_LAYER + 1)
-    except Exception:  # noqa: BLE001  not a payload of that format after all
-        return None
-    if len(out) > MAX_LAYER:
-        raise MemoryError
-    return out
+            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
+                while part := reader.read(BLOCK):
+                    yield part
+            return
+        else:
+            return
+        data = d.unused_data if d.eof else b""
 
 
-def _content(data: bytes) -> str | None:
-    """Decoded bytes as text, unpacked if they are compressed; None if they are neither."""
+def _blocks(data: bytes, budget: Budget) -> list[bytes] | None:
+    """The content of a compressed payload as overlapping blocks; None if it is none. A payload
+    that breaks off gives what can be read of it."""
+    if budget.left <= 0:
+        budget.refused += 1
+        return []
+    out, held = [], b""
+    try:
+        for part in _stream(data):
+            held += part
+            budget.left -= len(part)
+            while len(held) > BLOCK + OVERLAP:
+                out.append(held[: BLOCK + OVERLAP])
+                held = held[BLOCK:]
+            if budget.left <= 0:
+                budget.refused += 1
+                break
+    except Exception:  # noqa: BLE001  not a payload of that format (any more)
+        pass
+    if held:
+        out.append(held)
+    return out or None
+
+
+def _texts(data: bytes, budget: Budget) -> list[str]:
+    """Decoded bytes as texts, unpacked if they are compressed; none if they are neither."""
     if data.startswith(_MAGIC):
-        unpacked = _unpack(data)
-        if unpacked is not None:
-            data = unpacked
-            if data.startswith(_MAGIC):
-                return _content(data)
-            try:
-                return data.decode()
-            except UnicodeDecodeError:
-                return data.decode("latin-1")
+        blocks = _blocks(data, budget)
+        if blocks is not None:
+            out = []
+            for block in blocks:
+                if block.startswith(_MAGIC) and (inner := _texts(block, budget)):
+                    out += inner
+                    continue
+                try:
+                    out.append(block.decode())
+                except UnicodeDecodeError:
+                    out.append(block.decode("latin-1"))
+            return out
     if data.isascii():
-        return data.decode() if not data.translate(None, _PRINTS) else None
+        return [data.decode()] if not data.translate(None, _PRINTS) else []
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+        return []
+    return [text] if all(c.isprintable() or c in "\t\r\n" for c in text) else []
 
 
-def _url(layer: Layer) -> tuple[list[Layer], int]:
+def _url(layer: Layer, budget: Budget) -> list[Layer]:
     if "%" not in layer.text:
-        return [], 0
-    edits, extra, refused = [], [], 0
+        return []
+    edits, extra = [], []
     for m in PERCENT.finditer(layer.text):
         data = bytes.fromhex(m[0].replace("%", ""))
-        try:
-            if data.startswith(_MAGIC) and (text := _content(data)) is not None:
-                extra.append(Layer(text, [(0, len(text), *layer.root(*m.span()), 0)], layer.depth + 1))
-                continue
-        except MemoryError:
-            refused += 1
+        if data.startswith(_MAGIC) and (texts := _texts(data, budget)):
+            extra += [Layer(t, [(0, len(t), *layer.root(*m.span()), 0)], layer.depth + 1) for t in texts]
             continue
         try:
             text = data.decode()
@@ -172,7 +220,7 @@ def _url(layer: Layer) -> tuple[list[Layer], int]:
             n = 3 * len(c.encode())
             edits.append((at, at + n, c))
             at += n
-    return ([_replaced(layer, edits)] if edits else []) + extra, refused
+    return ([_replaced(layer, edits)] if edits else []) + extra
 
 
 def _unicode(layer: Layer) -> list[Layer]:
@@ -196,49 +244,60 @@ def _unicode(layer: Layer) -> list[Layer]:
     return [_replaced(layer, edits)] if edits else []
 
 
-def _base64(layer: Layer) -> tuple[list[Layer], int]:
-    out, refused = [], 0
+def _quarters(layer: Layer, text: str, start: int, end: int) -> Layer:
+    """A layer of one character for each decoded byte: three from each four of base64."""
+    pieces = [
+        (i, min(i + 3, len(text)), *layer.root(start + i // 3 * 4, min(start + i // 3 * 4 + 4, end)), 0)
+        for i in range(0, len(text), 3)
+    ]
+    return Layer(text, pieces, layer.depth + 1)
+
+
+def _base64(layer: Layer, budget: Budget) -> list[Layer]:
+    """Layers of base64 runs. A payload may be glued to what stands before it, so each of the four
+    alignments of a run is decoded once: as a text if all of it is one, else as bytes if a secret
+    fits into what is printable, and from every mark of a compressed payload."""
+    out = []
+    if "\n" in layer.text:
+        edits = [
+            (m.start() + e.start(), m.start() + e.end(), "")
+            for m in WRAPPED.finditer(layer.text) for e in _LINE_END.finditer(m[0])
+        ]
+        if edits:
+            out.append(_replaced(layer, edits))
     for m in BASE64.finditer(layer.text):
-        whole = m[0].rstrip("=")
-        found = False
-        for part in [(0, whole), *((p.start(), p[0]) for p in re.finditer(r"[A-Za-z0-9]{16,}", whole))]:
-            offset, run = part
-            if found or (offset == 0 and found is None) or len(run) % 4 == 1:
+        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        for shift in range(4):
+            part = run[shift:]
+            if len(part) % 4 == 1:
+                part = part[:-1]
+            start, end = m.start() + shift, m.start() + shift + len(part)
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            texts = [] if data.startswith(_MAGIC) else _texts(data, budget)
+            if texts and len(texts[0]) >= 4:
+                if texts[0].isascii():
+                    out.append(_quarters(layer, texts[0], start, end))
+                else:
+                    out.append(Layer(texts[0], [(0, len(texts[0]), *layer.root(start, end), 0)], layer.depth + 1))
                 continue
-            try:
-                data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-                text = _content(data)
-            except (binascii.Error, ValueError):
-                continue
-            except MemoryError:
-                refused += 1
-                continue
-            if text is None or len(text) < 4:
-                continue
-            found = offset == 0
-            a = m.start() + offset
-            if len(text) == len(data) and text.isascii():  # three characters from each four
-                pieces = [
-                    (i, min(i + 3, len(text)), *layer.root(a + i // 3 * 4, a + min(i // 3 * 4 + 4, len(run))), 0)
-                    for i in range(0, len(text), 3)
-                ]
-            else:
-                pieces = [(0, len(text), *layer.root(a, a + len(run)), 0)]
-            out.append(Layer(text, pieces, layer.depth + 1))
-    return out, refused
+            for at in (x.start() for x in _MAGIC_AT.finditer(data)):
+                if at % 3 == 0 and (texts := _texts(data[at:], budget)):
+                    place = layer.root(start + at // 3 * 4, end)
+                    out += [Layer(t, [(0, len(t), *place, 0)], layer.depth + 1) for t in texts]
+                    break  # its further members are read with it
+            if _PRINTED.search(data):
+                out.append(_quarters(layer, data.decode("latin-1"), start, end))
+    return out
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
     """Base spans, all spans (start, kind, end), layers scanned, payloads refused."""
     base = base_spans(text)
-    spans, seen, layers, refused = set(base), set(), 1, 0
+    spans, seen, layers, budget = set(base), set(), 1, Budget()
     work = [Layer(text, [(0, len(text), 0, len(text), 1)], 0)] if text else []
     while work:
         layer = work.pop()
-        new, n = _base64(layer)
-        more, k = _url(layer)
-        refused += n + k
-        for x in (*new, *more, *_unicode(layer)):
+        for x in (*_base64(layer, budget), *_url(layer, budget), *_unicode(layer)):
             key = (hashlib.sha1(x.text.encode("utf-8", "surrogatepass")).digest(), x.root(0, len(x.text)) if x.text else None)
             if x.text and x.text != text and key not in seen:
                 seen.add(key)
@@ -247,7 +306,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
                     a, b = x.root(start, end)
                     spans.add((a, kind, b))
                 work.append(x)
-    return base, sorted(spans), layers, refused
+    return base, sorted(spans), layers, budget.refused
 
 
 SPANS = "array<struct<start:int,kind:string,end:int>>"
