@@ -155,16 +155,60 @@ def test_exact_dedup(spark, odd, empty, monkeypatch):
         got = [tuple(r)[:4] for r in exact_dedup.exact_duplicates(odd, keep=keep).collect()]
         assert sorted(got, key=key) == sorted(brute_dedup(odd.collect(), keep == "largest"), key=key)
     assert exact_dedup.exact_duplicates(empty).count() == 0
-    assert exact_dedup.deduplicate(odd).count() == 21 - 5
+    assert exact_dedup.deduplicate(odd).count() == len({(r["text"] or "").lower() for r in odd.collect()})
+
+
+def test_rows_are_dropped_by_id_and_text(spark):
+    rows = [
+        (1, "T", "a"), (2, "t", "b"), (2, "U", "c"), (None, "T", "d"), (3, "V", "e"), (3, "V", "e"), (3, "v", "f"), (4, None, "g"),
+        (4, "", "h"), (None, "W", "i"), (None, "W", "j"), (5, "x", "k"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, id string").repartition(3)
+    got = [(r["doc_id"], (r["text"] or "").lower()) for r in exact_dedup.deduplicate(frame).collect()]
+    assert sorted(got, key=str) == sorted([(1, "t"), (2, "u"), (3, "v"), (4, ""), (None, "w"), (5, "x")], key=str)
+
+
+def test_dedup_with_clashing_columns(spark, odd):
+    names = ["id", "digest", "mark", "mark_", "__gone", "gone_id", "gone_mark", "n", "kept", "body", "reference", "keep_id"]
+    wide = odd.selectExpr("*", *(f"'x' AS {c}" for c in names))
+    assert sorted(map(str, exact_dedup.exact_duplicates(wide).collect())) == sorted(map(str, exact_dedup.exact_duplicates(odd).collect()))
+    out = exact_dedup.deduplicate(wide)
+    assert out.columns == wide.columns and out.count() == exact_dedup.deduplicate(odd).count()
+
+
+def test_filters_hold_all_and_keep_most_others_out():
+    digests = [hashlib.sha256(b"%d" % i).digest() for i in range(6000)]
+    bits = exact_dedup.bloom(digests[:3000])
+    assert exact_dedup.maybe_in(bits, digests[:3000]).all() and exact_dedup.maybe_in(bits, digests[3000:]).mean() < 0.03
+
+
+def test_the_filter_keeps_single_texts_from_the_level(spark, monkeypatch):
+    """The texts that pass are those of groups, and hardly any others."""
+    frame = spark.createDataFrame([(i, f"text {i % 2900}") for i in range(3000)], "doc_id long, text string")
+    level = exact_dedup.compact(exact_dedup.sorted_runs(frame))
+    bits = exact_dedup.level_filter(level.where("n > 1"))
+    single = [bytes(r["digest"]) for r in level.where("n = 1").collect()]
+    assert len(single) == 2800 and exact_dedup.maybe_in(bits, single).mean() < 0.05
+    for most in (8, 1):  # a filter that lets all through changes nothing
+        monkeypatch.setattr(exact_dedup, "level_filter", lambda level, most=most: np.full(most, 255, np.uint8))
+        assert exact_dedup.deduplicate(frame).count() == 2900
 
 
 def test_merge_index(spark, odd, tmp_path):
     index = exact_dedup.MergeIndex(spark, f"file://{tmp_path}")
+    assert index.lookup(odd).count() == 0
     index.flush(odd.where("doc_id < 10"), "a")
     index.flush(odd.where("doc_id >= 10"), "b")
-    level = {bytes(r["digest"]): r["n"] for r in index.level().collect()}
-    assert level == {bytes(r["digest"]): r["n"] for r in exact_dedup.compact(exact_dedup.sorted_runs(odd.where("doc_id is not null"))).collect()}
-    index.compacted("c")
-    bits = index.filters().collect()
-    for d in level:
-        assert any(f["first"] <= d <= f["last"] and exact_dedup.maybe_in(bytes(f["bits"]), d) for f in bits)
+    whole = exact_dedup.compact(exact_dedup.sorted_runs(odd.where("doc_id is not null")))
+    want = {bytes(r["digest"]): tuple(r)[1:] for r in whole.collect()}
+    asked = spark.createDataFrame([(1, "HELLO world"), (2, "é"), (3, "not there"), (4, None)], "doc_id long, text string")
+    known = {hashlib.sha256(t.encode()).digest() for t in ("hello world", "é", "")}
+    for runs in (["a", "b"], ["c"]):
+        assert index.live() == runs and {bytes(r["digest"]): tuple(r)[1:] for r in index.level().collect()} == want
+        assert {bytes(r["digest"]): tuple(r)[1:] for r in index.lookup(asked).collect()} == {d: want[d] for d in known}
+        if runs == ["a", "b"]:
+            passed = [{bytes(r["digest"]) for r in index.candidates(asked, run).collect()} for run in runs]
+            assert passed[0] | passed[1] == known  # what is in no run is not even looked for
+            index.compacted("c")
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == ["c"]
+    assert sorted(p.name for p in (tmp_path / "filters").iterdir()) == ["c"]

@@ -3,16 +3,20 @@
 Each task fills a memtable (digest -> smallest id, largest id, rows). A full memtable is
 flushed as a run sorted by digest; compaction merges all runs by digest, so what is shuffled
 is at most one entry per distinct text of a memtable, whatever the size of a group of copies.
-Rows look their digest up in the compacted level. A hit counts only after byte verification
+The entries that several rows share are the level that rows look up. A Bloom filter of it, of a
+fixed number of bytes, stands before the level: a row whose digest the filter does not hold is
+known to be single and never reads the level nor sends its text. (Where a level outgrows the
+filter, more rows pass it; results are the same.) A hit counts only after byte verification
 against the text of its group's reference row.
 
-Runs of earlier batches can be kept: :class:`MergeIndex` stores every flushed run in a folder
-of Parquet files and compacts them on request. Rows meet the level by a join on the digest, so
-no lookup needs Bloom filters; filters() makes them from the stored runs by a full scan.
+:class:`MergeIndex` keeps runs between batches: sorted files with a filter for each part, which
+lookups ask before they open the part; compaction merges the live runs and retires them.
 
 Nulls: a null text counts as the empty text; null ids are kept and rank below all others.
 Repeated rows (same id and text) are rows of their own in group_size, and all of them stay or
-go together, as ids decide. Empty tables give empty results. Extra columns are not read.
+go together in exact_duplicates(); deduplicate() leaves one of them. Rows that share an id but
+not the text are judged by their texts. Empty tables give empty results. Extra columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,24 +35,66 @@ MEMTABLE_ENTRIES = 100_000
 RUN_SCHEMA = "digest binary, min_id long, max_id long, n long"
 
 
-def _bloom_hashes(digest: bytes, bits: int, k: int = 5) -> list[int]:
-    a, b = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:16], "little") | 1
-    return [(a + i * b) % bits for i in range(k)]
+#: Most bytes of the filter before a level: about 1 % of other digests pass it at 6,700,000 entries.
+FILTER_BYTES = 8 << 20
+#: Folders of a stored run, by the first byte of the digest; its filters are by the first two.
+BUCKETS = 64
 
 
-def bloom(digests: list[bytes], bits_per_key: int = 10) -> bytes:
-    """The Bloom filter of a run."""
-    bits = max(64, (len(digests) * bits_per_key + 7) // 8 * 8)
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for d in digests:
-        for h in _bloom_hashes(d, bits):
-            out[h >> 3] |= 1 << (h & 7)
-    return out.tobytes()
+def _places(digests: list[bytes], bits: int, k: int = 5) -> np.ndarray:
+    """k places in a filter for each digest."""
+    halves = np.frombuffer(b"".join(d[:16] for d in digests), dtype="<u8").reshape(-1, 2)
+    with np.errstate(over="ignore"):
+        steps = np.arange(k, dtype=np.uint64)[None, :] * (halves[:, 1:] | np.uint64(1))
+        return ((halves[:, :1] + steps) % np.uint64(bits)).astype(np.int64)
 
 
-def maybe_in(bloom_bits: bytes, digest: bytes) -> bool:
-    bits = len(bloom_bits) * 8
-    return all(bloom_bits[h >> 3] >> (h & 7) & 1 for h in _bloom_hashes(digest, bits))
+def bloom(digests: list[bytes], size: int | None = None) -> np.ndarray:
+    """The Bloom filter of digests: size bytes, or ten bits for each."""
+    out = np.zeros(size or max(8, (len(digests) * 10 + 7) // 8), dtype=np.uint8)
+    if digests:
+        places = _places(digests, len(out) * 8).ravel()
+        np.bitwise_or.at(out, places >> 3, (1 << (places & 7)).astype(np.uint8))
+    return out
+
+
+def maybe_in(filter_: np.ndarray, digests: list[bytes]) -> np.ndarray:
+    """Whether each digest may be in the filter; never False for one that is."""
+    if not digests:
+        return np.zeros(0, bool)
+    places = _places(digests, len(filter_) * 8)
+    return ((filter_[places >> 3] >> (places & 7).astype(np.uint8)) & 1).astype(bool).all(axis=1)
+
+
+def _one(bits: np.ndarray):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+
+def level_filter(level: DataFrame, most: int = FILTER_BYTES) -> np.ndarray:
+    """The filter of a level, of ten bits an entry and `most` bytes at most: tasks fill filters,
+    which are put together, so the driver gets eight at most."""
+    size = min(most, level.count() * 10 // 8 + 8)
+
+    def fill(batches: Iterator) -> Iterator:
+        out = np.zeros(size, np.uint8)
+        for batch in batches:
+            out |= bloom(batch.column(0).to_pylist(), size)
+        yield _one(out)
+
+    def merge(batches: Iterator) -> Iterator:
+        out = np.zeros(size, np.uint8)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                out |= np.frombuffer(x, np.uint8)
+        yield _one(out)
+
+    parts = level.select("digest").coalesce(64).mapInArrow(fill, "bits binary").repartition(8).mapInArrow(merge, "bits binary")
+    out = np.zeros(size, np.uint8)
+    for r in parts.collect():
+        out |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
 
 
 def _digest(text: bytes) -> bytes:
@@ -97,79 +143,164 @@ def compact(runs: DataFrame) -> DataFrame:
     )
 
 
+def _first_bytes(n: int):
+    """The first n bytes of a column digest as a number."""
+    return F.conv(F.hex(F.substring("digest", 1, n)), 16, 10).cast("int")
+
+
 class MergeIndex:
-    """An index that outlives a batch: level-0 runs as Parquet files below one folder of the
-    shared file system, without filters; compact() keeps smallest ids."""
+    """An index that outlives a batch. Runs are Parquet files below one folder of the shared file
+    system, partitioned by the first bits of the digest, sorted; beside each stand its filters, one
+    for each two first bytes of digests. The newest file of `live` names the runs that count, so a lost
+    job leaves the index as it was."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def flush(self, docs: DataFrame, run: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-        level = compact(sorted_runs(docs, id_col, text_col))
-        level.repartitionByRange("digest").sortWithinPartitions("digest").withColumn("run", F.lit(run)).write.mode(
-            "append"
-        ).partitionBy("run").parquet(f"{self.path}/runs")
+    def _folder(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def live(self) -> list[str]:
+        files, path = self._folder("live")
+        if not files.exists(path):
+            return []
+        newest = max((f.getPath().getName() for f in files.listStatus(path)), key=lambda n: int(n.split("-")[0]))
+        return sorted(r["run"] for r in self.spark.read.json(f"{self.path}/live/{newest}").collect())
+
+    def _publish(self, runs: list[str]) -> None:
+        files, path = self._folder("live")
+        number = max((int(f.getPath().getName().split("-")[0]) for f in files.listStatus(path)), default=0) if files.exists(path) else 0
+        names = self.spark.createDataFrame([(r,) for r in runs], "run string").coalesce(1)
+        names.write.json(f"{self.path}/live/{number + 1}-runs")
+
+    def _write(self, level: DataFrame, run: str) -> None:
+        if run in self.live():
+            raise ValueError(f"there is a run {run}")
+        bucket = (_first_bytes(1) % BUCKETS).alias("bucket")
+        rows = level.select("*", bucket).repartition("bucket").sortWithinPartitions("bucket", "digest")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/runs/{run}")
+        self._filters_of(run).write.mode("overwrite").parquet(f"{self.path}/filters/{run}")
+
+    def _filters_of(self, run: str) -> DataFrame:
+        """cell, bits: a filter for the entries that share their first two bytes."""
+
+        def of(batches: Iterator) -> Iterator:
+            import pyarrow as pa
 
-    def level(self) -> DataFrame:
-        return compact(self.spark.read.parquet(f"{self.path}/runs").drop("run"))
+            held: list[bytes] = []
+            current = None
 
-    def compacted(self, run: str) -> None:
-        """Write the merged level as a new folder of one run; the old runs can then go."""
-        self.level().repartitionByRange("digest").sortWithinPartitions("digest").withColumn(
-            "run", F.lit(run)
-        ).write.partitionBy("run").parquet(f"{self.path}/compacted")
+            def made():
+                return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([bloom(held).tobytes()], pa.binary())], ["cell", "bits"])
 
-    def filters(self) -> DataFrame:
-        """run, part, first and last digest, Bloom filter: a file that can't hold a digest is
-        not opened. A filter covers the entries of one file, never a whole run."""
+            for batch in batches:
+                for cell, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if held and cell != current:
+                        yield made()
+                        held = []
+                    current = cell
+                    held.append(d)
+            if held:
+                yield made()
 
-        def of(batches):
-            import pyarrow as pa
+        rows = self._run(run).select(_first_bytes(2).alias("cell"), "digest")
+        return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(of, "cell int, bits binary")
 
-            for b in batches:
-                if b.num_rows:
-                    d = b.column(1).to_pylist()
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(0, 1), pa.array([min(d)]), pa.array([max(d)]), pa.array([bloom(d)])],
-                        ["run", "first", "last", "bits"],
-                    )
+    def flush(self, docs: DataFrame, run: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """Add the texts of docs as a run."""
+        self._write(compact(sorted_runs(docs, id_col, text_col)), run)
+        self._publish([*self.live(), run])
 
-        return (
-            self.spark.read.parquet(f"{self.path}/runs")
-            .select(F.col("run").cast("string"), "digest")
-            .mapInArrow(of, "run string, first binary, last binary, bits binary")
-        )
+    def _run(self, run: str) -> DataFrame:
+        return self.spark.read.schema(f"{RUN_SCHEMA}, bucket int").parquet(f"{self.path}/runs/{run}")
 
+    def level(self) -> DataFrame:
+        """All live runs, merged: an entry per digest."""
+        rows = self.spark.createDataFrame([], f"{RUN_SCHEMA}, bucket int")
+        for run in self.live():
+            rows = rows.unionByName(self._run(run))
+        return compact(rows.drop("bucket"))
 
-def _digests(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+    def compacted(self, run: str) -> None:
+        """Merge the live runs into one and retire them."""
+        old = self.live()
+        self._write(self.level(), run)
+        self._publish([run])
+        for name in old:
+            for kind in ("runs", "filters"):
+                files, path = self._folder(f"{kind}/{name}")
+                files.delete(path, True)
+
+    def candidates(self, docs: DataFrame, run: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """digest, bucket of the distinct texts of docs that the filters of a run let through. A
+        filter meets the digests of its cell in one task, ahead of them."""
+
+        def ask(batches: Iterator) -> Iterator:
+            import pyarrow as pa
 
-    for batch in batches:
-        lowered = [t.translate(LOWER_AZ) for t in text_bytes(batch.column(1))]
-        digests = [hashlib.sha256(t).digest() for t in lowered]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(digests, pa.binary()), pa.array(lowered, pa.binary())], ["id", "digest", "body"]
-        )
+            current, bits = None, None
+            for batch in batches:
+                keep = []
+                for cell, own, d in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    if own is not None:
+                        current, bits = cell, np.frombuffer(own, np.uint8)
+                        keep.append(False)
+                    else:
+                        keep.append(cell == current and bool(maybe_in(bits, [d])[0]))
+                yield batch.select(["digest"]).filter(pa.array(keep, pa.bool_()))
+
+        filters = self.spark.read.schema("cell int, bits binary").parquet(f"{self.path}/filters/{run}")
+        asked = compact(sorted_runs(docs, id_col, text_col)).select(_first_bytes(2).alias("cell"), F.lit(None).cast("binary").alias("bits"), "digest")
+        both = filters.withColumn("digest", F.lit(None).cast("binary")).unionByName(asked)
+        dealt = both.repartition("cell").sortWithinPartitions("cell", F.col("digest").asc_nulls_first())
+        return dealt.mapInArrow(ask, "digest binary").withColumn("bucket", _first_bytes(1) % BUCKETS)
+
+    def lookup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The entries of the index that texts of docs have: digest, min_id, max_id, n. Of a run
+        only what its filters let through is joined; buckets without any are not read."""
+        found = self.spark.createDataFrame([], RUN_SCHEMA)
+        for run in self.live():
+            asked = materialize(self.candidates(docs, run, id_col, text_col), "lsm-asked")
+            buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # BUCKETS at most
+            rows = self._run(run).where(F.col("bucket").isin(buckets)) if buckets else self._run(run).where("false")
+            found = found.unionByName(rows.join(asked.select("digest"), "digest", "left_semi").drop("bucket"))
+        return compact(found)
 
 
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest"
 ) -> DataFrame:
-    """id, keep_id, group_size, kept, digest (sha256 of the normalised text) of every row.
+    """id, keep_id, group_size, kept, digest (sha256 of the normalised text), mark (sha256 of the
+    text itself, hex) of every row.
 
     keep: 'smallest' or 'largest' id of a group stays. Only rows of groups with two or more
-    rows are hits; their bytes travel once, keyed by digest, and are compared with those of
-    the row that stays. Rows whose bytes differ at an equal digest would form groups of
-    their own by bytes; for SHA-256 no such texts are known, so the job fails if it meets any.
+    rows are hits; the filter lets their bytes travel once, keyed by digest, and they are compared
+    with those of the row that stays. Rows whose bytes differ at an equal digest would form groups
+    of their own by bytes; for SHA-256 no such texts are known, so the job fails if it meets any.
     """
     level = materialize(compact(sorted_runs(docs, id_col, text_col)), "lsm-level")
     keeper = F.col("min_id" if keep == "smallest" else "max_id")
     hits = level.where("n > 1").select("digest", keeper.alias("keep_id"), "n")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keyed = rows.mapInArrow(_digests, "id long, digest binary, body binary")
+    shared = docs.sparkSession.sparkContext.broadcast(level_filter(hits))
+
+    def passed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            lowered = [t.translate(LOWER_AZ) for t in text_bytes(batch.column(1))]
+            digests = [hashlib.sha256(t).digest() for t in lowered]
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
+            columns = (batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(lowered, pa.binary()))
+            whole = pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds)], ["id", "mark", "digest", "body"])
+            yield whole.filter(pa.array(maybe_in(shared.value, digests)))
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.sha2(text, 256).alias("mark"))
+    keyed = rows.mapInArrow(passed, "id long, mark string, digest binary, body binary")
     single = level.where("n = 1").select(
         F.col("min_id").alias("id"), F.col("min_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), "digest",
+        F.lit(True).alias("kept"), "digest", F.lit(None).cast("string").alias("mark"),
     )
     # The reference rows are found by digest and id, which spreads a large group over tasks.
     # The join of all copies with them then stands alone, so a skewed digest is split at run time.
@@ -178,7 +309,7 @@ def exact_duplicates(
     reference = reference.dropDuplicates(["digest", "id"]).select("digest", "keep_id", "n", F.col("body").alias("reference"))
     reference = materialize(reference, "lsm-reference")
     checked = keyed.join(reference, "digest").select(
-        "id", "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest",
+        "id", "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "mark",
         F.when(F.col("body") == F.col("reference"), True)
         .otherwise(F.raise_error(F.lit("texts differ at an equal digest")).cast("boolean"))
         .alias("verified"),
@@ -187,9 +318,29 @@ def exact_duplicates(
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    out = exact_duplicates(docs, id_col, text_col, keep).where("not kept").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(out, docs[id_col].cast("long") == out["__gone"], "left_anti")
+    """The rows of docs that stay, with all their columns: of each group of equal texts one row.
+    Rows are known by id and text together, so one that shares its id with a copy stays. Of texts
+    that differ in the case of A-Z alone under one id, the one with the least digest stays; of
+    repeated rows any."""
+    found = exact_duplicates(docs, id_col, text_col, keep).where("group_size > 1")
+    found = materialize(found.groupBy("id", "mark", "digest", "kept").agg(F.count("*").alias("n")), "lsm-found")
+    kept = found.where("kept")
+    stays = kept.groupBy("digest").agg(F.min("mark").alias("mark"), F.max("id").alias("id"), F.sum("n").alias("n"))
+    beside = kept.join(stays, ["digest", "mark"], "left_anti")
+    named = (F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    gone = found.where("not kept").unionByName(beside).select(*named)
+    mark = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
+
+    def join(marks: DataFrame, how: str) -> DataFrame:
+        return docs.join(marks, docs[id_col].cast("long").eqNullSafe(marks["gone_id"]) & (mark == marks["gone_mark"]), how)
+
+    twice = stays.where("n > 1").select(*named)
+    if twice.isEmpty():
+        return join(gone, "left_anti")
+    # repeated rows of a text that stays: one of them is taken beside the rest
+    name = "mark" + "_" * max(map(len, docs.columns))
+    one = join(twice, "left_semi").withColumn(name, mark).dropDuplicates([id_col, name]).drop(name)
+    return join(gone.unionByName(twice), "left_anti").unionByName(one)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
