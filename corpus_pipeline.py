@@ -1,41 +1,52 @@
 """A corpus pipeline of training-data operators: quality, exact copies, near copies, secrets,
-packing. Each stage takes all that its predecessor kept; all but the last return documents."""
+packing. Each stage takes all that its predecessor kept; all but the last return documents.
+
+Every stage gives an empty table for an empty one, keeps columns that it does not know, whatever
+their names, and reads whole texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.llm import exact_dedup, packing, quality, secrets, simhash
-from tidepool.llm.common import documents, labels, materialize
+from tidepool.llm.common import documents, labels, materialize, release
 from tidepool.shipping import ensure_importable
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the positive-unlabelled classifier accepts."""
+    """Texts that the positive-unlabelled classifier accepts. A null text is judged as the empty
+    text, equal texts are judged alike, a score at the threshold is accepted. Without trusted
+    labels all rows stay."""
     ensure_importable(spark)
     return quality.accept(docs, quality.train(docs, labels(spark, sf_dir)))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts (but for the case of A-Z): that of the least id."""
+    """One row of each group of equal texts (but for the case of A-Z): that of the least id. Null
+    and empty texts are one group; a null id ranks below all others; of repeated rows one stays;
+    a row that shares its id with a copy, but not the text, stays."""
     ensure_importable(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of similar texts (five-word shingles, similarity 0.8)."""
+    """One row of each group of similar texts (five-word shingles, similarity 0.8 or more). Texts
+    without words resemble none; a text of fewer than five words is one shingle; repeated rows
+    stay or go together; rows without an id, and rows that share one, are told apart by texts."""
     ensure_importable(spark)
     return simhash.drop_similar(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with a mark in place of secrets, also of encoded ones."""
+    """Texts with a mark in place of secrets, also of encoded ones; n_chars follows. Null texts stay
+    null, equal texts change alike, overlapping spans get one mark."""
     ensure_importable(spark)
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of texts, placed in sequences."""
+    """Pieces of texts, placed in sequences. A null text is the separator alone; repeated rows are
+    packed as often as they occur; pieces of equal size go in the order of the sorted rows."""
     import public_tokenizers
 
     ensure_importable(spark)
@@ -54,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, last = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"), before
+        if last is not None:
+            release(last)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
