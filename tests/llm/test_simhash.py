@@ -83,6 +83,30 @@ def test_links_lose_no_component(spark, shard):
     assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, by_want.values()))
 
 
+def test_a_hot_band_is_split_before_it_is_held(spark):
+    """40,000 fingerprints that share a band: no shard holds more than the bound, and those within
+    the radius still meet in one."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(43) << 21 for _ in range(20_000)]  # the lowest band is equal in all
+    values = sorted({v ^ d for v in base for d in (0, 1 << rng.randrange(21, 64) | 1 << rng.randrange(21, 64))})
+    frame = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fingerprint long")
+    rows = simhash.shards(frame, 2, 1000).toPandas()
+    groups = rows.groupby(["cut", "value"]).fingerprint
+    assert len(values) > 35_000 and groups.size().max() <= 1000
+    by_value = rows.groupby("fingerprint").apply(lambda g: set(zip(g.cut, g.value)), include_groups=False).to_dict()
+    known = set(by_value)
+    for v in rng.sample(sorted(known), 50):
+        for w in (v ^ (1 << a) ^ (1 << b) for a in range(21, 63, 6) for b in range(21, 63, 5)):
+            if w in known and w != v:
+                assert by_value[v] & by_value[w]
+
+
+def test_the_finest_cut_bounds_a_shard():
+    parts = simhash.CUTS[-1]
+    widths = sorted(bin(ones).count("1") for _, ones in simhash._bands(parts))
+    assert 2 ** sum(widths[-simhash.RADIUS :]) <= 16
+
+
 def test_bk_tree():
     rng = random.Random(1)
     values = near(rng, 200)

@@ -8,17 +8,19 @@ Equal fingerprints are one node. Links between different ones are found in BK-tr
 children are keyed by their Hamming distance to the parent: a search follows only edges within
 the radius. One tree over all fingerprints would grow with the corpus, so the trees are
 sharded: fingerprints are cut into RADIUS + 1 bands, those that differ in at most RADIUS bits
-agree on a band, and each value of a band has its tree. A shard larger than SHARD fingerprints
-is split anew by a further cut of the remaining bits, so that no task holds a group without
-bound. A shard does not report its pairs: it joins what it links and reports one edge per
-fingerprint, from it to a representative, which keeps every component whole. Components are
-then found by alternating large-star and small-star rounds on the edges, written to the shared
-folder after each round.
+agree on a band, and each value of a band has its tree. Shards are counted before they are made:
+fingerprints of one with more than SHARD of them are cut into more bands, any two of which may
+differ, until no shard can be larger; with the finest cut, shards hold 16 fingerprints at most.
+A shard does not report its pairs: it joins what it links and reports one edge per fingerprint,
+from it to a representative, which keeps every component whole. Components are then found by
+alternating large-star and small-star rounds on the edges, written to the shared folder after
+each round.
 
 Null texts count as empty; texts without words have fingerprint zero and link like any other.
 A text of fewer words than a shingle has its whole word sequence as its one shingle. Whole
 texts count. Repeated rows share a fingerprint and a component. Null ids are never a
-component's id unless all its ids are null. Empty tables give empty results; extra columns are
+component's id unless all its ids are null. Fingerprints that are linked in several ways are in one
+component all the same. Empty tables give empty results; extra columns, whatever their names, are
 not read.
 """
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import LOWER_AZ, WORD_BYTES, chunks, documents, materialize, mix, text_bytes
+from tidepool.llm.common import LOWER_AZ, WORD_BYTES, chunks, documents, materialize, mix, release, text_bytes
 
 SHINGLE_WORDS = 5
 BITS = 64
@@ -142,65 +144,71 @@ def _bands(parts: int) -> list[tuple[int, int]]:
     return [(a, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
 
 
-def _split(values: list[int], radius: int, most: int, parts: int = 0) -> list[list[int]]:
-    """Shards of at most `most` values each where finer bands allow it; values within the
-    radius share one. With radius + k bands they agree on k of them, so a shard is cut by any
-    k of more and more bands."""
-    if len(values) <= most or parts > radius + 4:
-        return [values]
+#: Numbers of bands of the cuts, coarse to fine. Values of a shard agree on all but RADIUS bands.
+CUTS = (12, 32)
+
+
+def _masks(radius: int, parts: int) -> list[int]:
+    """The bits of each choice of parts - radius bands, as signed numbers."""
     from itertools import combinations
 
-    parts = max(parts + 1, radius + 2)
-    bands, out = _bands(parts), []
-    for chosen in combinations(bands, parts - radius):
-        mask = 0
-        for shift, ones in chosen:
-            mask |= ones << shift
-        groups: dict[int, list[int]] = {}
-        for v in values:
-            groups.setdefault(v & mask, []).append(v)
-        for g in groups.values():
-            if len(g) > 1:
-                out += [g] if len(g) == len(values) and parts <= radius + 4 else _split(g, radius, most, parts)
+    return [sum(ones << shift for shift, ones in chosen) for chosen in combinations(_bands(parts), parts - radius)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _keyed(distinct: DataFrame, radius: int, parts: int) -> DataFrame:
+    """cut, value, fingerprint: a row for each choice of bands."""
+    each = (
+        F.struct(F.lit(parts << 16 | i).alias("cut"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("value"))
+        for i, m in enumerate(_masks(radius, parts))
+    )
+    return distinct.select(F.explode(F.array(*each)).alias("k"), "fingerprint").select("k.cut", "k.value", "fingerprint")
+
+
+def shards(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD) -> DataFrame:
+    """cut, value, fingerprint: shards (cut, value) of which those within the radius share one.
+    A shard with more than `most` fingerprints is made of finer cuts instead."""
+    out, rest = None, distinct
+    for parts in (radius + 1, *CUTS):
+        keyed = _keyed(rest, radius, parts)
+        if parts == CUTS[-1]:
+            return keyed if out is None else out.unionByName(keyed)
+        sizes = keyed.groupBy("cut", "value").agg(F.count("*").alias("n"))
+        large = materialize(sizes.where(F.col("n") > most).select("cut", "value"), "simhash-large")
+        if large.isEmpty():
+            return keyed if out is None else out.unionByName(keyed)
+        small = keyed.join(large, ["cut", "value"], "left_anti")
+        out = small if out is None else out.unionByName(small)
+        rest = materialize(keyed.join(large, ["cut", "value"], "left_semi").select("fingerprint").distinct(), "simhash-rest")
     return out
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """a, b: edges among the distinct fingerprints of a column `fingerprint` that join all
-    those within the radius. Rows are dealt to tasks by band value and sorted, so a task holds
-    one shard at a time."""
-    bands = _bands(radius + 1)
-    keys = F.array(
-        *(
-            F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fingerprint", s).bitwiseAND(F.lit(m)).alias("value"))
-            for i, (s, m) in enumerate(bands)
-        )
-    )
+    those within the radius. Rows are dealt to tasks by shard and sorted, so a task holds one
+    shard at a time."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def joined(values):
-            if len(values) < 2:
-                return []
-            return [e for part in _split(values, radius, shard) for e in shard_edges(part, radius)]
-
         held, current = [], None
         for batch in batches:
             edges = []
-            for band, value, f in zip(*(c.to_pylist() for c in batch.columns)):
-                if (band, value) != current:
-                    edges += joined(held)
-                    held, current = [], (band, value)
+            for cut, value, f in zip(*(c.to_pylist() for c in batch.columns)):
+                if (cut, value) != current:
+                    edges += shard_edges(held, radius) if len(held) > 1 else []
+                    held, current = [], (cut, value)
                 held.append(f & 0xFFFFFFFFFFFFFFFF)
             if edges:
                 yield _edges(pa, edges)
-        if edges := joined(held):
+        if len(held) > 1 and (edges := shard_edges(held, radius)):
             yield _edges(pa, edges)
 
-    dealt = distinct.select(F.explode(keys).alias("k"), "fingerprint").select("k.band", "k.value", "fingerprint")
-    sorted_ = dealt.repartition("band", "value").sortWithinPartitions("band", "value", "fingerprint")
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+    dealt = shards(distinct, radius, shard).repartition("cut", "value").sortWithinPartitions("cut", "value", "fingerprint")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _edges(pa, edges: list[tuple[int, int]]):
@@ -230,7 +238,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(least, "u")
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = materialize(small.where("u <> v").distinct(), "stars")
+        last, now = now, materialize(small.where("u <> v").distinct(), "stars")
+        release(last)
     raise RuntimeError(f"components are not found after {rounds} rounds")
 
 
@@ -249,38 +258,38 @@ def near_duplicates(
     return rows.join(known, "fingerprint").select("id", "fingerprint", "component_id")
 
 
-def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(documents(spark, sf_dir), shingle_words=3)
-    return out.select(
-        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
-    )
-
-
 # ---- near duplicates by similarity ------------------------------------------------------
 #
 # Rows are linked if the Jaccard similarity of their sets of shingles is at least the wanted one;
-# every such pair is found. All shingles have one order: by their count in the corpus, the
-# rarest first, equal counts by hash. Two sets of similarity t share a shingle within the first
-# n - ceil(t n) + 1 of each, its head, and the first one that they share leaves room for the
-# overlap that t asks for. Any fixed order would do for that; rare shingles first keep passages
+# every such pair is found. A set has a parity fingerprint: bit i is 1 if an odd number of its
+# shingles hash to i. A shingle flips one bit, so the Hamming distance of two fingerprints is at
+# most the number of shingles that the sets do not share, which a similarity of t bounds by
+# (1 - t) / (1 + t) of the sum of their sizes. That is the radius of a search in a BK-tree, and
+# nothing that is similar lies beyond it (as it may with majority fingerprints, which serve
+# near_duplicates(), whose links are defined by them).
+#
+# The trees are sharded by shingles. All shingles have one order: by their count in the corpus,
+# the rarest first, equal counts by hash. Two sets of similarity t share a shingle within the
+# first n - ceil(t n) + 1 of each, its head, so each shingle of a head is a shard, and rows that
+# are similar share one. Any fixed order would do for that; rare shingles first keep passages
 # that many texts hold out of the heads, so counts may be those of COUNTERS counters.
 #
-# Components alone are wanted, so pairs already joined need no check: in a few rounds each row
-# is first checked against one row of every shingle in its head, which joins dense families
-# with work in proportion to the rows; then all pairs that are still apart are checked.
+# Components alone are wanted, so pairs already joined need no check. In a few rounds each row
+# asks a tree of those before it for the nearest row of another component; one that finds none
+# joins the tree. Dense families are so joined with work in proportion to the rows. A last round
+# asks for all rows of other components within the radius. Candidates are verified by their sets.
 
 SIMILARITY = 0.8
 #: Counters that the shingle counts are added up in, as a power of two. Results don't depend on it.
 COUNTERS = 1 << 20
 #: Counters that are sent at once.
 SLICE = 1 << 14
-#: Rounds of checks against one row of each shingle before all remaining pairs are checked.
+#: Rounds that ask for one row before all remaining pairs are checked.
 ROUNDS = 2
-#: Rows of one shingle that one task pairs with the others.
-SALTED = 256
-#: Bits of a parity sketch. A shingle flips one of them, so sketches differ in no more bits than
-#: their sets in shingles: pairs that differ in more than the similarity allows need no check.
-PARITY = 1024
+#: Rows that a tree may be made of; the rows of a larger shard are dealt over several trees.
+TREE = 2048
+#: Bits of the fingerprint that trees are made of, and of the longer one that is compared next.
+SHORT, PARITY = 128, 1024
 
 
 def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
@@ -331,14 +340,14 @@ def shingle_counts(rows: DataFrame, shingle_words: int) -> np.ndarray:
     return out
 
 
-def parity(shingles: np.ndarray) -> bytes:
-    bits = np.bincount((mix(shingles) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+def parity(shingles: np.ndarray, size: int = PARITY) -> bytes:
+    bits = np.bincount((mix(shingles) % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
 def heads(rows: DataFrame, counts, shingle_words: int, similarity: float) -> DataFrame:
-    """id, same (digest of the set), n (its size), sketch (its parity), head (shingles, rarest
-    first) of rows (id, text) with words and an id. counts: a broadcast of shingle_counts()."""
+    """id, same (digest of the set), n (its size), short and sketch (its fingerprints), head
+    (shingles, rarest first) of rows (id, text) with words. counts: a broadcast of shingle_counts()."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -346,19 +355,20 @@ def heads(rows: DataFrame, counts, shingle_words: int, similarity: float) -> Dat
 
         known = counts.value
         for batch in chunks(batches):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 own = np.unique(shingle_hashes(text, shingle_words))
-                if not len(own) or key is None:
+                if not len(own):
                     continue
                 length = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
                 order = np.lexsort((own, known[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                for column, x in zip(out, (key, xxhash.xxh3_128_digest(own.tobytes()), len(own), parity(own), own[order[:length]].view(np.int64))):
+                same = xxhash.xxh3_128_digest(own.tobytes())
+                for column, x in zip(out, (key, same, len(own), parity(own, SHORT), parity(own), own[order[:length]].view(np.int64))):
                     column.append(x)
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "same", "n", "sketch", "head"])
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "same", "n", "short", "sketch", "head"])
 
-    return rows.mapInArrow(run, "id long, same binary, n int, sketch binary, head array<long>")
+    return rows.mapInArrow(run, "id long, same binary, n int, short binary, sketch binary, head array<long>")
 
 
 def apart(met: DataFrame, stars: DataFrame) -> DataFrame:
@@ -369,28 +379,117 @@ def apart(met: DataFrame, stars: DataFrame) -> DataFrame:
     return placed.join(live.select("key", "many"), "key")
 
 
-def leader_pairs(met: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """a, b (a < b): each row of apart() and one row of each of its shingles, another each turn;
-    without pairs of sizes too far apart."""
-    mask = F.lit(int(mix(np.array([turn], np.uint64))[0] >> np.uint64(1)))
-    led = met.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask).alias("lead"))
-    own = met.join(led, "key").where("id <> lead").groupBy("id", "lead").agg(F.min("n").alias("n"))
-    sizes = met.groupBy("id").agg(F.min("n").alias("m")).withColumnRenamed("id", "lead")
-    near = own.join(sizes, "lead").where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6)
-    return near.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+class ShardTree:
+    """A BK-tree of rows. A node is a list: fingerprint, {distance: child}, row (id, n, pos, root);
+    rows of one fingerprint hang below each other at distance 0."""
 
+    def __init__(self):
+        self.top = None
 
-def remaining_pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """a, b (a < b): all pairs of apart() that share a shingle of their heads, are in different
-    components and may be as similar as wanted by the places of the shingle. The rows of a
-    frequent shingle are dealt over tasks, each of which gets all rows to pair them with."""
-    parts = F.ceil(F.col("many") / SALTED).cast("int")
-    one = met.select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), *(F.col(c).alias(f"{c}1") for c in ("id", "n", "pos", "root")))
-    two = met.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "root")))
-    room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) * (1 + similarity)
-    may = (F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & (room >= similarity * (F.col("n1") + F.col("n2")) - 1e-6)
-    same = (one["key"] == two["key"]) & (one["part"] == two["part"])
-    return one.join(two, same & may).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
+    def add(self, value: int, row: tuple) -> None:
+        if self.top is None:
+            self.top = [value, {}, row]
+            return
+        node = self.top
+        while True:
+            d = (node[0] ^ value).bit_count()
+            child = node[1].get(d)
+            if child is None:
+                node[1][d] = [value, {}, row]
+                return
+            node = child
+
+    def search(self, value: int, radius: int, fits, nearest: bool) -> list[int]:
+        """ids of rows within the radius that fit; with `nearest`, of the closest one. Only edges
+        are followed whose distance differs from the node's by the radius at most."""
+        found, work = [], [self.top] if self.top else []
+        while work:
+            node = work.pop()
+            d = (node[0] ^ value).bit_count()
+            if d <= radius and fits(node[2], d):
+                if nearest:
+                    found, radius = [node[2][0]], d - 1
+                    if radius < 0:
+                        break
+                else:
+                    found.append(node[2][0])
+            for k, child in node[1].items():
+                if -radius <= k - d <= radius:
+                    work.append(child)
+        return found
+
+
+#: What a row does in a shard: joins the tree, asks it, or both (in a shard of one tree).
+JOINS, ASKS, BOTH = 0, 1, 2
+
+
+def tree_pairs(met: DataFrame, turn: int, similarity: float, last: bool) -> DataFrame:
+    """a, b (a < b): candidates among the rows of apart(), from a BK-tree for each shard. The rows of
+    a large shard are dealt over trees: in the last round each asks all of them, in the rounds
+    before the one that it is dealt to, another each turn."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        current, tree = None, None
+        for batch in batches:
+            a, b = [], []
+            for key, part, role, i, n, pos, root, short in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, part) != current:
+                    current, tree = (key, part), ShardTree()
+                value = int.from_bytes(short, "little")
+
+                def fits(other, d):
+                    j, m, at, component = other
+                    if component == root or (last and role == ASKS and j >= i):
+                        return False
+                    room = min(n - pos, m - at) * (1 + similarity)
+                    return d <= share * (n + m) + 1e-6 and min(n, m) >= similarity * max(n, m) - 1e-6 and room >= similarity * (n + m) - 1e-6
+
+                found = []
+                if role != JOINS:
+                    radius = min(SHORT, int(share * (n + n / similarity) + 1e-6))
+                    found = tree.search(value, radius, fits, not last)
+                    for j in found:
+                        a.append(min(i, j))
+                        b.append(max(i, j))
+                if role != ASKS and (last or not found):
+                    tree.add(value, (i, n, pos, root))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    trees = F.ceil(F.col("many") / TREE).cast("int")
+    own = ("id", "n", "pos", "root", "short")
+    dealt_to = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), trees).cast("int").alias("part")
+    if last:
+        one = met.where(F.col("many") <= TREE).select("key", F.lit(0).alias("part"), F.lit(BOTH).alias("role"), *own)
+        large = met.where(F.col("many") > TREE)
+        joins = large.select("key", dealt_to(0), F.lit(JOINS).alias("role"), *own)
+        asks = large.select("key", F.explode(F.sequence(F.lit(0), trees - 1)).alias("part"), F.lit(ASKS).alias("role"), *own)
+        dealt = one.unionByName(joins).unionByName(asks)
+    else:
+        dealt = met.select("key", dealt_to(turn), F.lit(BOTH).alias("role"), *own)
+    sorted_ = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "role", F.xxhash64("id", F.lit(turn)))
+    return sorted_.mapInArrow(run, "a long, b long").distinct()
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """id, text of every row, where a null id, or one that rows with different texts share, is
+    replaced by a number of its own for each text, below all ids; and these numbers as a table
+    (own_id, mark, id), or None where there are none."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    mark = F.sha2(F.coalesce("text", F.lit("")), 256)
+    shared = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias("own_id"))
+    if shared.isEmpty():
+        return rows, None
+    several = rows.join(shared, F.col("id").eqNullSafe(F.col("own_id")), "left_semi")
+    several = several.select(F.col("id").alias("own_id"), mark.alias("mark")).distinct()
+    differing = several.groupBy("own_id").agg(F.count("*").alias("n")).where("n > 1 or own_id is null").select(F.col("own_id").alias("o"))
+    several = several.join(differing, F.col("own_id").eqNullSafe(F.col("o")), "left_semi")
+    several = materialize(several.withColumn("number", F.lit(-(1 << 62)) - F.monotonically_increasing_id()), "near-numbers")
+    met = rows.withColumn("m", mark).join(several, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("m") == F.col("mark")), "left")
+    return met.select(F.coalesce("number", "id").alias("id"), "text"), several
 
 
 def similar_documents(
@@ -398,9 +497,13 @@ def similar_documents(
     similarity: float = SIMILARITY,
 ) -> DataFrame:
     """id, component_id of rows that are not alone: components of all pairs whose sets of
-    shingles (as 64-bit hashes) have a Jaccard similarity of at least `similarity`. Rows without
-    words are not similar to anything. Null ids are left out."""
+    shingles (as 64-bit hashes) have a Jaccard similarity of at least `similarity`. Null and empty
+    texts, and others without words, are not similar to anything. Ids are those of numbered(): a
+    null id, or one of several texts, gets numbers below -2**62. Repeated rows are one row."""
+    return _similar(numbered(docs, id_col, text_col)[0], shingle_words, similarity)
 
+
+def _similar(rows: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     def shingled(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -428,8 +531,7 @@ def similar_documents(
                 keep.append(both >= similarity * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    spark = rows.sparkSession
     counts = spark.sparkContext.broadcast(shingle_counts(rows, shingle_words))
     headed = materialize(heads(rows, counts, shingle_words, similarity), "near-heads")
     first = headed.groupBy("same").agg(F.min("id").alias("node"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -439,14 +541,14 @@ def similar_documents(
 
     nodes = headed.join(equal.select("id", "same"), ["id", "same"], "left_anti")
     of_key = W.partitionBy("key").orderBy("key")
-    keys = nodes.select("id", "n", F.posexplode("head").alias("pos", "key"))
+    keys = nodes.select("id", "n", "short", F.posexplode("head").alias("pos", "key"))
     beside = F.lag("id").over(of_key).isNotNull() | F.lead("id").over(of_key).isNotNull()
     met = materialize(keys.withColumn("met", beside).where("met").drop("met"), "near-met")
     sketches = nodes.select("id", "n", "sketch")
     tried = None
     for turn in range(ROUNDS + 1):
         now = materialize(apart(met, stars), "near-apart")
-        pairs = leader_pairs(now, turn, similarity) if turn < ROUNDS else remaining_pairs(now, similarity)
+        pairs = tree_pairs(now, turn, similarity, turn == ROUNDS)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = pairs.join(sketches.toDF("a", "m", "x"), "a").join(sketches.toDF("b", "n", "y"), "b")
@@ -468,24 +570,23 @@ def drop_similar(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
     similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """docs without the rows of a component other than that of the smallest id."""
-    found = similar_documents(docs, id_col, text_col, shingle_words, similarity)
-    gone = found.where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
-
-
-#: 64-bit numbers of a fingerprint, and rows that are compared with all others at once.
-VIEWS = 8
-BUCKET = 4096
-
-
-def bucket_pairs(prints: np.ndarray, near: int, wanted: int) -> set[tuple[int, int]]:
-    """All pairs of rows within `near` bits, whatever the size of the bucket; none are left out,
-    also not those within `wanted`. prints: n x VIEWS numbers of 64 bits. The pipeline's stage
-    has no buckets; this is the comparison that its fingerprints had."""
-    found: set[tuple[int, int]] = set()
-    for i in range(len(prints)):
-        for start in range(i + 1, len(prints), BUCKET):
-            apart = np.bitwise_count(prints[start : start + BUCKET] ^ prints[i]).sum(axis=1)
-            found |= {(i, start + int(k)) for k in np.flatnonzero(apart <= near)}
-    return found
+    """docs with one row of each component, with all columns: that of the smallest id, or a row
+    whose id is null or stands for several texts. Rows are known by id and text together, so one
+    that shares its id with a copy stays; repeated rows stay or go together."""
+    rows, several = numbered(docs, id_col, text_col)
+    found = materialize(_similar(rows, shingle_words, similarity), "near-found")
+    gone = found.where("id <> component_id").select(F.col("id").alias("gone_id")).distinct()
+    own = docs[id_col].cast("long")
+    if several is None:
+        return docs.join(gone, own == gone["gone_id"], "left_anti")
+    marks = several.join(gone, several["number"] == gone["gone_id"]).select(F.col("own_id").alias("shared_id"), "mark")
+    mark = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
+    left = docs.join(gone.where("gone_id > -4611686018427387904"), own == gone["gone_id"], "left_anti")
+    return left.join(marks, own.eqNullSafe(marks["shared_id"]) & (mark == marks["mark"]), "left_anti")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(documents(spark, sf_dir), shingle_words=3)
+    return out.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
