@@ -30,10 +30,14 @@ def free_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("name").agg(F.count("*").alias("units"))
 
 
-def related(pairs: DataFrame, name: str, limit: int = RELATED_LIMIT) -> DataFrame:
-    """Labels that share units with one label."""
-    own = pairs.where(F.col("name") == name).select("unit_id")
-    others = pairs.where(F.col("name") != name).join(own, "unit_id", "left_semi")
+def related(pairs: DataFrame, name: str | DataFrame, limit: int = RELATED_LIMIT) -> DataFrame:
+    """Labels that share units with one label: a name, or a single row of a column `wanted`."""
+    if isinstance(name, str):
+        marked = pairs.withColumn("wanted", F.lit(name))
+    else:
+        marked = pairs.join(F.broadcast(name))  # one row
+    own = marked.where("name = wanted").select("unit_id")
+    others = marked.where("name <> wanted").join(own, "unit_id", "left_semi")
     return others.groupBy("name").agg(F.count("*").alias("shared")).orderBy(F.col("shared").desc(), "name").limit(limit)
 
 

@@ -56,15 +56,49 @@ def unit_text(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     return met.groupBy("unit_id").agg(F.substring(F.array_join(parts, "\n\n"), 1, length).alias("text"))
 
 
+#: Columns that may name the post replied to, and the quoted one, in the order that they are asked.
+REPLY_KEYS = ("in_reply_to_status_id", "in_reply_to_tweet_id", "reply_to_status_id")
+QUOTE_KEYS = ("quoted_status_id", "quoted_tweet_id", "quote_status_id")
+
+
+def first_given(rows: DataFrame, keys: tuple[str, ...]) -> Column:
+    """The first of the columns (those that there are) that is neither null nor empty."""
+    given = [F.when(F.col(k).cast("string") != "", F.col(k).cast("string")) for k in keys if k in rows.columns]
+    return F.coalesce(*given) if given else F.lit(None).cast("string")
+
+
+def expanded_urls(rows: DataFrame) -> Column:
+    """The sorted set of all URLs that a post expands: its own list, and those of its entities."""
+    none = F.array().cast("array<string>")
+    lists = [F.coalesce(F.col(c), none) for c in ("expanded_urls", "entity_urls") if c in rows.columns]
+    return F.array_sort(F.array_distinct(F.filter(F.concat(*lists, none), lambda u: u != "")))
+
+
+def semantic(rows: DataFrame) -> Column:
+    """What of a post bears on its labels, as a struct whose fields are in order of name."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    return F.struct(
+        "author_id", F.lower("author_username").alias("author_username"), first_given(rows, ("conversation_id",)).alias("conversation_id"),
+        expanded_urls(rows).alias("expanded_urls"), "id", flag("is_retweet"), flag("is_subscriber_only"),
+        first_given(rows, QUOTE_KEYS).alias("quoted_status_id"), first_given(rows, REPLY_KEYS).alias("reply_to"), "text",
+    )
+
+
+def canonical_json(value: Column) -> Column:
+    """JSON of structs whose fields are in order of name: nulls are left out, control characters are
+    written with small hexadecimal digits."""
+    out = F.to_json(value)
+    small = out
+    for digit in "ABCDEF":
+        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}", f"$1{digit.lower()}")
+    return F.when(out.rlike(r"\\u00[01][A-F]"), small).otherwise(out)
+
+
 def input_hash(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """sha256 of the canonical JSON of a unit's members: keys in order, nulls left out."""
+    """sha256 of the canonical JSON of a unit's members in order of id."""
     met = posts(rows).join(texts.select("doc_id", "text"), "doc_id")
-    member = F.struct(
-        F.col("id").alias("key"),
-        F.struct("author_id", "author_username", "conversation_id", F.array().cast("array<string>").alias("expanded_urls"),
-                 "id", "is_retweet", "is_subscriber_only", "text").alias("m"),
-    )
+    member = F.struct(F.col("id").alias("key"), semantic(met).alias("m"))
     ordered = F.transform(F.array_sort(F.collect_list(member)), lambda x: x["m"])
     return met.groupBy("unit_id").agg(ordered.alias("members")).select(
-        "unit_id", F.sha2(F.to_json(F.struct("members", "unit_id")), 256).alias("input_hash")
+        "unit_id", F.sha2(canonical_json(F.struct("members", "unit_id")), 256).alias("input_hash")
     )

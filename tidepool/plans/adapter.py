@@ -1,7 +1,9 @@
 """Facts of a post pool, derived from the star-schema tables, as DataFrames and as DuckDB SQL.
 
-Every query of :mod:`tidepool.plans.queries` starts from these views; the SQL text is the same
-derivation, written for the oracle. Texts stay in `documents` and are joined late, by doc_id.
+Every query of :mod:`tidepool.plans.queries` starts from these views. They are folded once, each from
+those before it (FOLDS), into the tables of a generation, which the functions below read; the SQL
+text is the same derivation, written for the oracle. Texts stay in `documents` and are joined late,
+by doc_id.
 """
 
 from __future__ import annotations
@@ -13,9 +15,8 @@ from pyspark.sql import functions as F
 from tidepool.operators import captures as cap_ops
 from tidepool.operators import queue as queue_ops
 from tidepool.operators import units as unit_ops
+from tidepool.plans import generation
 
-#: Posts share the first DOCS documents; every scale has at least as many.
-DOCS = 200
 DONE_BEFORE = "2024-01-20"
 
 
@@ -32,9 +33,11 @@ def _iso(c: str) -> Column:
 
 
 def captures(spark: SparkSession, d: str) -> DataFrame:
-    """One capture per event; replay_pos orders them as they arrived."""
+    """One capture per event; replay_pos orders them as they arrived. Posts share all documents:
+    the text of a post is that of the document of its number modulo their count."""
     pid = F.col("pid")
-    e = table(spark, d, "events").withColumn("pid", _pid())
+    n = table(spark, d, "documents").agg(F.greatest(F.count("*"), F.lit(1)).alias("n_docs"))
+    e = table(spark, d, "events").withColumn("pid", _pid()).join(F.broadcast(n))  # one row
     group = F.floor(pid / 3) % 50
     created = F.when(
         pid % 5 != 0, F.concat(F.lit("2024-01-"), F.lpad((1 + pid % 28).cast("string"), 2, "0"), F.lit("T00:00:00.000Z"))
@@ -47,31 +50,40 @@ def captures(spark: SparkSession, d: str) -> DataFrame:
         F.when(pid % 7 != 0, F.floor(pid / 6).cast("string")).alias("conversation_id"),
         (F.col("event_type") == "view").alias("has_media"), (F.col("event_type") == "purchase").alias("is_article"),
         (pid % 11 == 0).alias("is_retweet"), (pid % 13 == 0).alias("is_subscriber_only"),
-        (pid % DOCS).alias("doc_id"), pid.alias("pid"), F.col("event_id").alias("replay_pos"), F.col("value"),
+        (pid % F.col("n_docs")).alias("doc_id"), pid.alias("pid"), F.col("event_id").alias("replay_pos"), F.col("value"),
+        F.when(pid % 9 == 0, (pid - 1).cast("string")).alias("in_reply_to_tweet_id"),
+        F.when(pid % 9 < 2, F.concat(F.lit("r"), pid.cast("string"))).alias("reply_to_status_id"),
+        F.when(pid % 8 == 0, "").when(pid % 8 == 1, (pid + 1).cast("string")).alias("quoted_status_id"),
+        F.when(pid % 8 < 2, (pid + 2).cast("string")).alias("quote_status_id"),
+        F.when(pid % 4 != 3, F.array(F.concat(F.lit("https://h/"), (pid % 5).cast("string")), F.lit(""))).alias("expanded_urls"),
+        F.when(pid % 6 < 3, F.array(F.concat(F.lit("https://h/"), (pid % 3).cast("string")), F.lit("https://a/\"é\""))).alias("entity_urls"),
     )
 
 
-def current(spark: SparkSession, d: str) -> DataFrame:
-    return cap_ops.freshest(cap_ops.project(captures(spark, d)))
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text", "lang")
 
 
-def members(spark: SparkSession, d: str) -> DataFrame:
-    return unit_ops.members(cap_ops.project(captures(spark, d)))
+# ---- folds: (spark, dir, tables written before) -> table -------------------------------------
 
 
-def member_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Current captures with the unit of their post."""
-    return current(spark, d).join(members(spark, d).select("id", "unit_id"), "id")
+def _captures(spark: SparkSession, d: str, done: dict) -> DataFrame:
+    return cap_ops.freshest(cap_ops.project(captures(spark, d))).drop("rn")
 
 
-def texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.col("doc_id") < DOCS).select("doc_id", "text", "lang")
+def _members(spark: SparkSession, d: str, done: dict) -> DataFrame:
+    return unit_ops.members(cap_ops.project(captures(spark, d)))
+
+
+def _member_rows(spark: SparkSession, d: str, done: dict) -> DataFrame:
+    """Current captures with the unit of their post."""
+    return done["captures"].join(done["members"].select("id", "unit_id"), "id")
 
 
-def queue(spark: SparkSession, d: str) -> DataFrame:
+def _queue(spark: SparkSession, d: str, done: dict) -> DataFrame:
     """unit_id, status, activity, first_queued_at, attempts, least_pid, fresh (the result
     matches the unit's input and contract)."""
-    u = member_rows(spark, d).groupBy("unit_id").agg(
+    u = done["member_rows"].groupBy("unit_id").agg(
         F.max("captured_at").alias("activity"), F.min("captured_at").alias("first_queued_at"), F.min("pid").alias("least_pid")
     )
     k = F.col("least_pid") % 10
@@ -84,77 +96,65 @@ def queue(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def unit_docs(spark: SparkSession, d: str) -> DataFrame:
+def _unit_docs(spark: SparkSession, d: str, done: dict) -> DataFrame:
     """Distinct (unit_id, id, doc_id) of the posts of units."""
-    return member_rows(spark, d).select("unit_id", "id", "doc_id", "author_id", "captured_at", "contributed_by").dropDuplicates(["unit_id", "id"])
+    return done["member_rows"].select("unit_id", "id", "doc_id").distinct()
+
 
+def words_of(spark: SparkSession, d: str, pattern: str) -> DataFrame:
+    """doc_id, name: the distinct words of each document that a pattern finds."""
+    return texts(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("name"))
 
-def free_labels(spark: SparkSession, d: str) -> DataFrame:
+
+def first_names(said: DataFrame, most: int = 5) -> DataFrame:
     """unit_id, name: at most five names a unit, the first by name."""
-    words = texts(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{9,12}"), F.lit(0)))).alias("name"))
-    every = unit_docs(spark, d).select("unit_id", "doc_id").distinct().join(words, "doc_id").select("unit_id", "name").distinct()
     n = F.row_number().over(W.partitionBy("unit_id").orderBy("name"))
-    return every.withColumn("n", n).where("n <= 5").select("unit_id", "name")
+    return said.withColumn("n", n).where(F.col("n") <= most).select("unit_id", "name")
+
 
+def _free_labels(spark: SparkSession, d: str, done: dict) -> DataFrame:
+    units = done["unit_docs"].select("unit_id", "doc_id").distinct()
+    return first_names(units.join(words_of(spark, d, "[a-z]{9,12}"), "doc_id").select("unit_id", "name").distinct())
 
-def registry(spark: SparkSession, d: str) -> DataFrame:
+
+def _registry(spark: SparkSession, d: str, done: dict) -> DataFrame:
     """name, status, first_observed_at of every free label."""
     n = F.length("name")
-    seen = free_labels(spark, d).join(queue(spark, d).select("unit_id", "activity"), "unit_id")
+    seen = done["free_labels"].join(done["queue"].select("unit_id", "activity"), "unit_id")
     return seen.groupBy("name").agg(F.min("activity").alias("first_observed_at")).withColumn(
         "status", F.when(n <= 10, "approved").when(n == 11, "candidate").otherwise("rejected")
     )
 
 
-#: name, description of the preset labels.
-TAXONOMY = [
-    ("lang-de", "German"), ("lang-en", "English"), ("lang-es", "Spanish"), ("lang-fr", "French"),
-    ("good", "Good prose"), ("toxic", "Toxic"), ("unused", "Never assigned"),
-]
-
-
-def taxonomy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TAXONOMY, "name string, description string").coalesce(1)
-
-
-def preset_labels(spark: SparkSession, d: str) -> DataFrame:
+def _preset_labels(spark: SparkSession, d: str, done: dict) -> DataFrame:
     """unit_id, name."""
-    marks = table(spark, d, "labels").where(F.col("doc_id") < DOCS)
+    marks = table(spark, d, "labels")
     of_doc = (
-        texts(spark, d).select("doc_id", F.concat(F.lit("lang-"), "lang").alias("name"))
+        texts(spark, d).select("doc_id", F.concat(F.lit("lang-"), "lang").alias("name")).where("name is not null")
         .unionByName(marks.where("quality = 1").select("doc_id", F.lit("good").alias("name")))
         .unionByName(marks.where("toxic = 1").select("doc_id", F.lit("toxic").alias("name")))
     )
-    return unit_docs(spark, d).select("unit_id", "doc_id").distinct().join(of_doc, "doc_id").select("unit_id", "name").distinct()
+    return done["unit_docs"].select("unit_id", "doc_id").distinct().join(of_doc, "doc_id").select("unit_id", "name").distinct()
 
 
-def assignments(spark: SparkSession, d: str) -> DataFrame:
+def _assignments(spark: SparkSession, d: str, done: dict) -> DataFrame:
     """unit_id, name, kind of the current result of every unit that has one."""
-    both = preset_labels(spark, d).withColumn("kind", F.lit("preset")).unionByName(
-        free_labels(spark, d).withColumn("kind", F.lit("free"))
-    )
-    has = queue(spark, d).where("fresh").select("unit_id")
-    return both.join(has, "unit_id", "left_semi")
+    both = done["preset_labels"].withColumn("kind", F.lit("preset")).unionByName(done["free_labels"].withColumn("kind", F.lit("free")))
+    return both.join(done["queue"].where("fresh").select("unit_id"), "unit_id", "left_semi")
 
 
-def evidence(spark: SparkSession, d: str) -> DataFrame:
+def _evidence(spark: SparkSession, d: str, done: dict) -> DataFrame:
     """unit_id, name, kind, post_id, quote: free labels are quoted from the posts that hold them."""
-    posts = unit_docs(spark, d).select("unit_id", "id", "doc_id").join(texts(spark, d).select("doc_id", "text"), "doc_id")
-    return (
-        assignments(spark, d).where("kind = 'free'").join(posts, "unit_id").where(F.expr("contains(text, name)"))
-        .select("unit_id", "name", "kind", F.col("id").alias("post_id"), F.col("name").alias("quote"))
-    )
+    met = done["assignments"].where("kind = 'free'").join(done["unit_docs"].withColumnRenamed("id", "post_id"), "unit_id")
+    held = met.select("doc_id", "name").distinct().join(texts(spark, d).select("doc_id", "text"), "doc_id")
+    held = held.where(F.expr("contains(text, name)")).select("doc_id", "name")
+    return met.join(held, ["doc_id", "name"]).select("unit_id", "name", "kind", "post_id", F.col("name").alias("quote"))
 
 
-def eligible(spark: SparkSession, d: str) -> DataFrame:
-    """Units whose result is current: done, with matching input and contract."""
-    return queue_ops.eligible(queue(spark, d))
-
-
-def attempts(spark: SparkSession, d: str) -> DataFrame:
-    """unit_id, seq, attempt, outcome, error_class, at, matches: attempt events of units."""
+def _attempts(spark: SparkSession, d: str, done: dict) -> DataFrame:
+    """unit_id, seq, attempt, outcome, error_class, at, matches, cost_usd: attempts of units."""
     e = table(spark, d, "events").where("event_type = 'error'").withColumn("pid", _pid())
-    own = members(spark, d).select(F.col("id"), "unit_id")
+    own = done["members"].select(F.col("id"), "unit_id")
     k = F.col("event_id")
     outcome = F.when(k % 7 == 0, "dispatched").when(k % 11 == 0, "blocked").when(k % 5 == 0, "success").otherwise("transient_failure")
     error = F.when(k % 3 == 0, "timeout").when(k % 3 == 1, "rate_limit").otherwise("other")
@@ -164,6 +164,45 @@ def attempts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+FOLDS = {
+    "captures": _captures, "members": _members, "member_rows": _member_rows, "queue": _queue, "unit_docs": _unit_docs,
+    "free_labels": _free_labels, "registry": _registry, "preset_labels": _preset_labels, "assignments": _assignments,
+    "evidence": _evidence, "attempts": _attempts,
+}
+
+
+# ---- the tables of the generation --------------------------------------------------------------
+
+
+def _read(name: str):
+    def read(spark: SparkSession, d: str) -> DataFrame:
+        return generation.tables(spark, d)[name]
+
+    return read
+
+
+current = _read("captures")
+members, member_rows, queue, unit_docs = _read("members"), _read("member_rows"), _read("queue"), _read("unit_docs")
+free_labels, registry, preset_labels = _read("free_labels"), _read("registry"), _read("preset_labels")
+assignments, evidence, attempts = _read("assignments"), _read("evidence"), _read("attempts")
+
+
+def eligible(spark: SparkSession, d: str) -> DataFrame:
+    """Units whose result is current: done, with matching input and contract."""
+    return queue_ops.eligible(queue(spark, d))
+
+
+#: name, description of the preset labels.
+TAXONOMY = [
+    ("lang-de", "German"), ("lang-en", "English"), ("lang-es", "Spanish"), ("lang-fr", "French"),
+    ("good", "Good prose"), ("toxic", "Toxic"), ("unused", "Never assigned"),
+]
+
+
+def taxonomy(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TAXONOMY, "name string, description string").coalesce(1)
+
+
 SQL_VIEWS = rf"""
 cap AS (
   SELECT cast(pid AS varchar) AS id, 'c' || cast(user_id % 3 AS varchar) AS contributed_by,
@@ -173,7 +212,11 @@ cap AS (
     'user' || cast((pid // 3) % 50 AS varchar) AS author_username,
     CASE WHEN pid % 7 <> 0 THEN cast(pid // 6 AS varchar) END AS conversation_id,
     event_type = 'view' AS has_media, event_type = 'purchase' AS is_article, pid % 11 = 0 AS is_retweet,
-    pid % 13 = 0 AS is_subscriber_only, pid % {DOCS} AS doc_id, pid, event_id AS replay_pos, value,
+    pid % 13 = 0 AS is_subscriber_only, pid % (SELECT count(*) FROM documents) AS doc_id, pid, event_id AS replay_pos, value,
+    CASE WHEN pid % 9 < 2 THEN CASE WHEN pid % 9 = 0 THEN cast(pid - 1 AS varchar) ELSE 'r' || pid END END AS reply_to,
+    CASE WHEN pid % 8 = 0 THEN cast(pid + 2 AS varchar) WHEN pid % 8 = 1 THEN cast(pid + 1 AS varchar) END AS quoted,
+    list_sort(list_distinct(list_concat(CASE WHEN pid % 4 <> 3 THEN ['https://h/' || (pid % 5)] ELSE [] END,
+      CASE WHEN pid % 6 < 3 THEN ['https://h/' || (pid % 3), 'https://a/"é"'] ELSE [] END))) AS urls,
     coalesce(CASE WHEN pid % 5 <> 0 THEN '2024-01-' || lpad(cast(1 + pid % 28 AS varchar), 2, '0') || 'T00:00:00.000Z' END,
       strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')) AS sort_ts,
     coalesce(CASE WHEN pid % 7 <> 0 THEN cast(pid // 6 AS varchar) END, cast(pid AS varchar)) || ':user' || cast((pid // 3) % 50 AS varchar) AS unit_key
@@ -187,13 +230,13 @@ mem AS (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY captured_at DESC, replay_pos DESC) AS rn FROM cap)
   WHERE rn = 1),
 mr AS (SELECT cur.*, mem.unit_id FROM cur JOIN mem USING (id)),
-txt AS (SELECT doc_id, text, lang FROM documents WHERE doc_id < {DOCS}),
+txt AS (SELECT doc_id, text, lang FROM documents),
 queue AS (
   SELECT *, CASE WHEN activity < '{DONE_BEFORE}' THEN 'done' WHEN least_pid % 10 = 0 THEN 'pending' WHEN least_pid % 10 = 1 THEN 'running'
       WHEN least_pid % 10 = 2 THEN 'retrying' WHEN least_pid % 10 = 3 THEN 'blocked' ELSE 'done' END AS status,
     cast(least_pid % 4 AS integer) AS attempts, least_pid % 19 <> 0 AS fresh
   FROM (SELECT unit_id, max(captured_at) AS activity, min(captured_at) AS first_queued_at, min(pid) AS least_pid FROM mr GROUP BY unit_id)),
-ud AS (SELECT DISTINCT unit_id, id, doc_id, author_id FROM mr),
+ud AS (SELECT DISTINCT unit_id, id, doc_id FROM mr),
 fl AS (
   SELECT unit_id, name FROM (
     SELECT unit_id, name, row_number() OVER (PARTITION BY unit_id ORDER BY name) AS n FROM (
@@ -207,9 +250,9 @@ reg AS (
 tax(name, description) AS (VALUES {", ".join(f"('{n}', '{t}')" for n, t in TAXONOMY)}),
 pl AS (
   SELECT DISTINCT unit_id, name FROM ud JOIN (
-    SELECT doc_id, 'lang-' || lang AS name FROM txt
-    UNION ALL SELECT doc_id, 'good' FROM labels WHERE doc_id < {DOCS} AND quality = 1
-    UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE doc_id < {DOCS} AND toxic = 1) USING (doc_id)),
+    SELECT doc_id, 'lang-' || lang AS name FROM txt WHERE lang IS NOT NULL
+    UNION ALL SELECT doc_id, 'good' FROM labels WHERE quality = 1
+    UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1) USING (doc_id)),
 asg AS (
   SELECT unit_id, name, kind FROM (SELECT *, 'preset' AS kind FROM pl UNION ALL SELECT *, 'free' AS kind FROM fl)
   WHERE unit_id IN (SELECT unit_id FROM queue WHERE fresh)),

@@ -140,7 +140,18 @@ def unit_text(spark: SparkSession, d: str) -> DataFrame:
     return uni.unit_text(ad.member_rows(spark, d), ad.texts(spark, d), 500)
 
 
-@query("unit_input_hash")
+HASH_SQL = """
+SELECT unit_id, sha256('{"members":[' || string_agg(
+    '{' || coalesce('"author_id":' || to_json(author_id) || ',', '') || '"author_username":' || to_json(author_username)
+    || coalesce(',"conversation_id":' || to_json(conversation_id), '') || ',"expanded_urls":' || to_json(urls) || ',"id":' || to_json(id)
+    || ',"is_retweet":' || is_retweet || ',"is_subscriber_only":' || is_subscriber_only || coalesce(',"quoted_status_id":' || to_json(quoted), '')
+    || coalesce(',"reply_to":' || to_json(reply_to), '') || ',"text":' || to_json(text) || '}', ',' ORDER BY id)
+  || '],"unit_id":' || to_json(unit_id) || '}') AS input_hash
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, id ORDER BY captured_at DESC, contributed_by) AS rn FROM mr) WHERE rn = 1)
+JOIN txt USING (doc_id) GROUP BY unit_id"""
+
+
+@query("unit_input_hash", HASH_SQL)
 def unit_input_hash(spark: SparkSession, d: str) -> DataFrame:
     return uni.input_hash(ad.member_rows(spark, d), ad.texts(spark, d))
 
@@ -174,8 +185,10 @@ def feed(name: str, predicate, where: str, dedup: bool = False, cursor=None, mor
     query(name, body, source)(run)
 
 
-def _with_text(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    return rows.join(ad.texts(spark, d).select("doc_id", "text"), "doc_id")
+def _saying(rows: DataFrame, spark: SparkSession, d: str, found) -> DataFrame:
+    """rows whose text, or else whose author, a test of a column finds. Each document is tested once."""
+    held = ad.texts(spark, d).where(found("text")).select("doc_id", F.lit(True).alias("said"))
+    return rows.join(held, "doc_id", "left").where(F.col("said") | found("author_username"))
 
 
 def _labelled(spark: SparkSession, d: str, names: list[str], every: bool) -> DataFrame:
@@ -216,9 +229,9 @@ feed("feed_labels_any", lambda r, s, d: r.join(_labelled(s, d, LABELS, False), "
 feed("feed_labels_all", lambda r, s, d: r.join(_labelled(s, d, LABELS, True), "id", "left_semi"), ALL_SQL)
 feed("feed_unlabeled", lambda r, s, d: r.join(_labelled(s, d, [n for n, _ in ad.TAXONOMY if n != "good"], False), "id", "left_anti"), NONE_SQL)
 feed("feed_free_label", lambda r, s, d: r.join(_free(s, d, "t"), "id", "left_semi"), FREE_SQL)
-feed("feed_search_literal", lambda r, s, d: _with_text(r, s, d).where(cap.literal("TH%on", "text", "author_username")),
+feed("feed_search_literal", lambda r, s, d: _saying(r, s, d, lambda c: cap.literal("TH%on", c)),
      "(" + TEXT_SQL.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%th%on%'") + " OR author_username LIKE '%th%on%')")
-feed("feed_search_phrase", lambda r, s, d: _with_text(r, s, d).where(cap.phrase("of the", "text", "author_username")),
+feed("feed_search_phrase", lambda r, s, d: _saying(r, s, d, lambda c: cap.phrase("of the", c)),
      "(" + TEXT_SQL.format(f"contains(' ' || {NORM.format('text')}, ' of the')") + ")")
 
 
@@ -263,7 +276,7 @@ units("units_page2", lambda f, r, s, d: f, "true", cursor=UNIT_CURSOR)
 units("units_author_closed", lambda f, r, s, d: f.where("closed"), "closed")
 units("units_publication", lambda f, r, s, d: f.where("public_original"), "public_original")
 units("units_cutoff", lambda f, r, s, d: f.where(F.col("activity") <= "2024-01-15"), "activity <= '2024-01-15'")
-units("units_search", lambda f, r, s, d: f.join(_with_text(r, s, d).where(cap.literal("THING", "text", "author_username")).where("has_media"), "unit_id", "left_semi"),
+units("units_search", lambda f, r, s, d: f.join(_saying(r.where("has_media"), s, d, lambda c: cap.literal("THING", c)), "unit_id", "left_semi"),
       "unit_id IN (SELECT unit_id FROM mr JOIN txt USING (doc_id) WHERE has_media AND (translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%thing%' OR author_username LIKE '%thing%'))")
 units("units_labels_any", lambda f, r, s, d: f.join(_units_with(s, d, "preset", LABELS), "unit_id", "left_semi"), UNIT_LABEL.format(IN_LABELS))
 units("units_labels_all", lambda f, r, s, d: f.join(_units_with(s, d, "preset", LABELS).groupBy("unit_id").agg(F.countDistinct("name").alias("n")).where(F.col("n") == len(LABELS)), "unit_id", "left_semi"),
@@ -327,8 +340,7 @@ def label_detail(spark: SparkSession, d: str) -> DataFrame:
 @query("label_related", "SELECT b.name, count(*) AS shared FROM pr a JOIN pr b ON a.unit_id = b.unit_id AND b.name <> a.name WHERE a.name = (SELECT min(name) FROM pr) GROUP BY b.name ORDER BY shared DESC, b.name LIMIT 50", PAIRS_SQL)
 def label_related(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d)
-    first = pairs.agg(F.min("name")).first()[0]
-    return lab.related(pairs, first or "")
+    return lab.related(pairs, pairs.agg(F.min("name").alias("wanted")))
 
 
 @query("graph_nodes", "SELECT * FROM nd", PAIRS_SQL + ", " + NODES_SQL)

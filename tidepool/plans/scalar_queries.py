@@ -27,12 +27,12 @@ def query(name: str, oracle: str | None = None, views: bool = False, more: str =
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct space-separated words of the first documents."""
-    docs = ad.table(spark, d, "documents").where("doc_id < 100")
+    """Distinct space-separated words of all documents; they combine before the shuffle."""
+    docs = ad.table(spark, d, "documents")
     return docs.select(F.explode(F.split("text", "[ \n]")).alias("word")).where("word <> ''").distinct()
 
 
-WORDS = "(SELECT DISTINCT unnest(string_split_regex(text, '[ \\n]')) AS word FROM documents WHERE doc_id < 100)"
+WORDS = "(SELECT DISTINCT unnest(string_split_regex(text, '[ \\n]')) AS word FROM documents)"
 
 
 @query("slugify", f"SELECT word, trim(regexp_replace(lower(strip_accents(word)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM {WORDS} WHERE word <> ''")
@@ -220,12 +220,11 @@ def preset_canonicalize(spark: SparkSession, d: str) -> DataFrame:
 )
 def free_label_accept(spark: SparkSession, d: str) -> DataFrame:
     """At most five names a unit, of those that pass the rules and were not rejected."""
-    words = ad.texts(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{7,12}"), F.lit(0)))).alias("name"))
+    words = ad.words_of(spark, d, "[a-z]{7,12}")
     passed = words.where(rules.label_reason(F.col("name"), F.array("name")).isNull() & (F.length("name") != 8))
     rejected = ad.registry(spark, d).where("status = 'rejected'").select("name")
     said = ad.unit_docs(spark, d).select("unit_id", "doc_id").distinct().join(passed, "doc_id").select("unit_id", "name").distinct()
-    n = F.row_number().over(W.partitionBy("unit_id").orderBy("name"))
-    return said.join(rejected, "name", "left_anti").withColumn("n", n).where("n <= 5").select("unit_id", "name")
+    return ad.first_names(said.join(rejected, "name", "left_anti"))
 
 
 @query(

@@ -112,18 +112,22 @@ def manifest(spark: SparkSession, root: str) -> dict | None:
     return json.loads(text)
 
 
-def publish(tables: dict[str, DataFrame], root: str, revision_: str, expected: str | None) -> dict:
+def publish(tables: dict, root: str, revision_: str, expected: str | None, spark: SparkSession | None = None) -> dict:
     """Write a generation of tables, then its manifest, if the manifest is still the expected
-    generation (None: there is none). The manifest's file is created, never replaced, so of
-    two writers one fails."""
-    spark = next(iter(tables.values())).sparkSession
+    generation (None: there is none). A table is a DataFrame, or a function of the tables written
+    before it (then the session is given), so that none is derived twice. The manifest's file is
+    created, never replaced, so of two writers one fails."""
+    spark = spark or next(iter(tables.values())).sparkSession
     now = manifest(spark, root)
     if (now["generation"] if now else None) != expected:
         raise Stale(f"expected {expected}")
-    generation, counts = uuid.uuid4().hex, {}
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/generations/{generation}/{name}")
-        counts[name] = spark.read.parquet(f"{root}/generations/{generation}/{name}").count()
+    generation, counts, done = uuid.uuid4().hex, {}, {}
+    for name, table in tables.items():
+        df = table(done) if callable(table) and not isinstance(table, DataFrame) else table
+        path = f"{root}/generations/{generation}/{name}"
+        df.write.parquet(path)
+        done[name] = spark.read.schema(df.schema).parquet(path)
+        counts[name] = done[name].count()
     made = {"generation": generation, "number": (now["number"] if now else 0) + 1, "revision": revision_, "previous": expected, "counts": counts}
     fs, p = _fs(spark, f"{root}/manifests/{made['number']:012d}.json")
     try:
