@@ -38,7 +38,7 @@ def rows(spark):
     stub = post(6, "stub") | {"article": {"article_results": {"result": {"title": "T"}}}}
     module = {"content": {"entryType": "TimelineTimelineModule", "items": [{"item": {"itemContent": {"itemType": "TimelineTweet", "tweet_results": {"result": {"__typename": "TweetWithVisibilityResults", "tweet": post(7, "hidden")}}}}}, {"item": {"itemContent": {"itemType": "TimelineUser"}}}]}}
     body = response(item(plain), item(repost), item(article), item(stub), module, {"content": {"entryType": "TimelineTimelineCursor", "cursorType": "Bottom"}}, item({"__typename": "TweetTombstone"}))
-    frame = spark.createDataFrame([("HomeTimeline", body), ("Other", body), ("HomeTimeline", "no json")], "endpoint string, body string")
+    frame = spark.createDataFrame([("HomeTimeline", body), ("Other", '{"data": {"instructions": []}}'), ("HomeTimeline", "no json")], "endpoint string, body string")
     return tl.posts(frame).cache()
 
 
@@ -75,7 +75,7 @@ def test_log(spark, tmp_path):
     before = first.count(), seg.revision(first)
     seg.append(lines.limit(1), log, "2024-01-02T00:00:00Z", "t2")
     second = seg.snapshot(seg.segments(spark, log))
-    assert before[0] == 2 and before[1] != seg.revision(second)
+    assert before[0] >= 2 and before[1] != seg.revision(second)
     assert [r["change"] for r in seg.changes(first, second).collect()] == ["added"]
     got = sorted((r["transaction_id"], r["kind"], r["line"]) for r in seg.records(seg.segments(spark, log)).collect())
     assert got[:3] == [("t1", "attempt", "3"), ("t1", "post", "1"), ("t1", "post", "2")] and len(got) == 4
@@ -107,6 +107,59 @@ def test_stream_equals_batch(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         q = ingest.start(spark, f"{tmp_path}/in", schema, f"file://{tmp_path}/out", f"{tmp_path}/check", files=1)
         q.awaitTermination(120)
-    got = sorted(tuple(r) for r in seg.restore(spark, f"file://{tmp_path}/out")["captures"].select("id", "contributed_by", "captured_at").collect())
+    got = sorted(tuple(r) for r in ingest.captures(spark, f"file://{tmp_path}/out").select("id", "contributed_by", "captured_at").collect())
     want = sorted((i, c, max(r[2] for r in rows if r[:2] == (i, c))) for i, c in {r[:2] for r in rows})
     assert got == want
+
+
+def test_a_batch_rewrites_only_the_buckets_that_it_touches(spark, tmp_path):
+    root, schema = f"file://{tmp_path}", "id string, contributed_by string, captured_at string, replay_pos long"
+    fold = ingest.fold_batches(root, buckets=16)
+    assert ingest.captures(spark, root) is None
+    fold(spark.createDataFrame([(str(i), "c", "2024", i) for i in range(200)], schema), 0)
+    before = seg.manifest(spark, root)["folders"]
+    fold(spark.createDataFrame([("7", "c", "2025", 300), ("new", "c", "2025", 301)], schema), 1)
+    fold(spark.createDataFrame([("8", "c", "2026", 400)], schema), 1)  # a batch that runs again changes nothing
+    after = seg.manifest(spark, root)["folders"]
+    assert 1 <= sum(before.get(b) != f for b, f in after.items()) <= 2
+    got = {r["id"]: r["captured_at"] for r in ingest.captures(spark, root).collect()}
+    assert len(got) == 201 and got["7"] == "2025" and got["8"] == "2024" and got["new"] == "2025"
+
+
+def test_append_is_idempotent_and_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(seg, "LINES", 10)
+    log = f"file://{tmp_path}/log"
+    lines = spark.createDataFrame([("posts/hot", f"{i:04d}") for i in range(500)] + [("attempts/x", "a")], "path string, line string")
+    for _ in range(2):
+        seg.append(lines, log, "2024-01-01T00:00:00Z", "t1")
+    found = seg.segments(spark, log)
+    assert found.selectExpr("max(size(operations[0].lines))").first()[0] <= 10
+    assert sorted(r["line"] for r in seg.records(found).where("kind = 'post'").collect()) == [f"{i:04d}" for i in range(500)]
+    with pytest.raises(seg.Conflict):
+        seg.append(lines.limit(3), log, "2024-01-01T00:00:00Z", "t1")
+    counts = {r["kind"]: (r["lines"], r["latest"]) for r in seg.stats(found).collect()}
+    assert counts == {"post": (500, "2024-01-01T00:00:00Z"), "attempt": (1, "2024-01-01T00:00:00Z")}
+    assert {r["category"] for r in seg.category(found).collect()} == {"post", "attempt"}
+    seen = found.where("category = 'post'")
+    assert seg.unseen(found.union(found), seen).count() == found.where("category = 'attempt'").count()
+
+
+def test_latest_receipt(spark, tmp_path):
+    log = f"file://{tmp_path}/log"
+    rows = [("receipts/a", json.dumps({"finished_at": t, "n": n})) for n, t in enumerate(("2024-03-01", "2024-05-01", "2024-04-01"))]
+    seg.append(spark.createDataFrame(rows + [("posts/x", json.dumps({"finished_at": "2025"}))], "path string, line string"), log, "2024-01-01T00:00:00Z")
+    assert json.loads(seg.latest_receipt(seg.segments(spark, log)).first()["line"])["n"] == 1
+
+
+def test_times_never_go_back():
+    assert seg.next_time("2024-01-01T00:00:00.000Z", None) == "2024-01-01T00:00:00.000Z"
+    assert seg.next_time("2024-01-01T00:00:00.000Z", "2024-01-02T00:00:00.999Z") == "2024-01-02T00:00:01.000Z"
+    assert seg.next_time("2024-01-03T00:00:00.000Z", "2024-01-02T00:00:00.999Z") == "2024-01-03T00:00:00.000Z"
+
+
+def test_instructions_of_unknown_endpoints_are_found(spark):
+    add = {"type": "TimelineAddEntries", "entries": [{"content": {"entryType": "TimelineTimelineItem"}}]}
+    deep = lambda n: {"instructions": [add]} if not n else {"k": deep(n - 1)}
+    bodies = [(f"e{n}", json.dumps(deep(n))) for n in range(7)] + [("list", json.dumps([{"a": 1}, deep(1)])), ("none", json.dumps({"instructions": [{"type": "TimelineClearCache"}]}))]
+    got = {r["endpoint"] for r in tl.entries(spark.createDataFrame(bodies, "endpoint string, body string")).collect()}
+    assert got == {"e0", "e1", "e2", "e3", "e4", "list"}

@@ -47,6 +47,22 @@ def text_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
+def linkified(c: Column) -> Column:
+    """A text as HTML: escaped, with its links, mentions and hashtags as anchors. Escaping changes none
+    of the characters that end a token, so tokens are found in the text and escaped one by one."""
+    pieces = F.regexp_extract_all(c, F.lit(rf"(?s){TOKEN}|."), F.lit(0))
+
+    def piece(p: Column) -> Column:
+        shown, bare = html_escape(p), html_escape(F.substring(p, 2, 1 << 30))
+        anchor = lambda href: F.concat(F.lit('<a href="'), href, F.lit('" target="_blank" rel="noopener noreferrer">'), shown, F.lit("</a>"))
+        return (
+            F.when(p.rlike(r"^https?://\S"), anchor(shown)).when(p.rlike("^@[A-Za-z0-9_]+$"), anchor(F.concat(F.lit("https://x.com/"), bare)))
+            .when(p.rlike(r"^#[\p{L}0-9_]+$"), anchor(F.concat(F.lit("https://x.com/hashtag/"), F.url_encode(F.substring(p, 2, 1 << 30))))).otherwise(shown)
+        )
+
+    return F.array_join(F.transform(pieces, piece), "")
+
+
 @F.pandas_udf(StringType())
 def _one_decimal(x):
     """One decimal of the exact binary value; ties go up."""
@@ -95,10 +111,6 @@ def avatar_hue(c: Column) -> Column:
     return F.aggregate(codes, F.lit(0), lambda a, x: (a * 31 + x) % 360)
 
 
-def number_or_zero(c: Column) -> Column:
-    return F.coalesce(F.try_to_number(c, F.lit("999999999999")), F.lit(0)).cast("long")
-
-
 def error_class(message: Column) -> Column:
     low = F.lower(message)
     late = F.contains(low, F.lit("timeout")) | F.contains(low, F.lit("timed out"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 
 
-def reject_reason(max_null_text: bool = False) -> Column:
+def reject_reason() -> Column:
     """Why a post (id, url, username, text, captured_at, created_at) is not valid; null if it
     is. The first fault in this order counts."""
 

@@ -20,6 +20,16 @@ def preset_counts(assignments: DataFrame, eligible: DataFrame, taxonomy: DataFra
     return taxonomy.join(counts, "name", "left").select("name", "description", F.coalesce("n", F.lit(0)).alias("units"))
 
 
+def with_presets(units: DataFrame, assignments: DataFrame, names: list[str], every: bool = False) -> DataFrame:
+    """Units with any of the preset labels, or with every one: then as many must be there as are named,
+    so a list that names one twice holds for no unit."""
+    if not names:
+        return units
+    own = assignments.where("kind = 'preset'").where(F.col("name").isin(names))
+    found = own.groupBy("unit_id").agg(F.countDistinct("name").alias("n")).where(F.col("n") >= (len(names) if every else 1))
+    return units.join(found.select("unit_id"), "unit_id", "left_semi")
+
+
 def approved_pairs(assignments: DataFrame, eligible: DataFrame, registry: DataFrame) -> DataFrame:
     """Distinct (unit_id, name) of approved free labels on eligible units."""
     own = assignments.where("kind = 'free'").select("unit_id", "name").distinct()
@@ -111,26 +121,30 @@ def decisions(candidates: DataFrame, stale_days: int = 30) -> DataFrame:
 def replay_registry(events: DataFrame, contract: str) -> DataFrame:
     """name, status, first_observed_at, updated_at, reason after a chain of events
     (name, status, at, contract_hash, revision, reason, pos). An event applies if it has the
-    next revision, the contract, and a legal transition; one that doesn't, leaves the revision.
-    The chain is sequential by nature and a registry is a few thousand events of one contract,
-    so one group folds it."""
-
-    def fold(frame):
-        import pandas as pd
-
-        state: dict[str, list] = {}
-        revision = 0
-        for e in frame.sort_values("pos").itertuples():
-            old = state.get(e.name)
-            was = old[1] if old else None
-            legal = e.status in ("candidate", "rejected") if was is None else was == "candidate" or (was == "approved" and e.status == "rejected")
-            if e.revision != revision + 1 or not legal:
-                continue
-            revision = e.revision
-            state[e.name] = [e.name, e.status, old[2] if old else e.at, e.at, e.reason]
-        return pd.DataFrame(list(state.values()), columns=["name", "status", "first_observed_at", "updated_at", "reason"])
-
-    own = events.where(F.col("contract_hash") == contract)
-    return own.groupBy("contract_hash").applyInPandas(
-        fold, "name string, status string, first_observed_at string, updated_at string, reason string"
+    next revision, the contract, and a legal transition: nothing to candidate or rejected, candidate
+    to any, approved to rejected. So the chain ends at the first revision that is missing or whose
+    event is not legal. Of events with one revision the first by pos counts.
+
+    Legality depends on the event of the same name before, so it is judged by name; the first break
+    of the chain is one number; what is before it is folded by name. No task holds the chain."""
+    from pyspark.sql import Window as W
+
+    own = events.where(F.col("contract_hash") == contract).where("revision >= 1")
+    keep = F.row_number().over(W.partitionBy("revision").orderBy("pos"))
+    chain = own.withColumn("keep", keep).where("keep = 1").drop("keep")
+    was = F.lag("status").over(W.partitionBy("name").orderBy("revision"))
+    legal = F.when(was.isNull(), F.col("status").isin("candidate", "rejected")).otherwise((was == "candidate") | ((was == "approved") & (F.col("status") == "rejected")))
+    judged = chain.withColumn("legal", legal)
+    # revisions 1, 2, ..., n without a gap sum to what n of them do, so a gap is where the n-th is not n
+    from tidepool.operators.queue import running
+
+    placed = running(judged.select("revision", F.lit(1).cast("long").alias("place")), "revision", ["place"])
+    gap = placed.where("place <> revision").agg(F.min("revision").alias("gap"))
+    wrong = judged.where("not legal").agg(F.min("revision").alias("wrong"))
+    ends = F.broadcast(gap.join(F.broadcast(wrong)))  # one row
+    before = F.least(F.coalesce("gap", F.lit(1 << 62)), F.coalesce("wrong", F.lit(1 << 62)))
+    applied = judged.join(ends).where(F.col("revision") < before)
+    last = lambda c: F.max_by(c, "revision")
+    return applied.groupBy("name").agg(
+        last("status").alias("status"), F.min_by("at", "revision").alias("first_observed_at"), last("at").alias("updated_at"), last("reason").alias("reason")
     )

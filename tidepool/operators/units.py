@@ -30,6 +30,19 @@ def flags(rows: DataFrame, authors: list[str] | None = None) -> DataFrame:
     )
 
 
+def selected(rows: DataFrame, cutoff: str | None = None, public_original: bool = False, authors: list[str] | None = None) -> DataFrame:
+    """unit_id of the units that a selection holds for: with no activity after the cutoff, public
+    original, all by the authors. One aggregate, whatever is asked."""
+    kept = flags(rows, authors)
+    if cutoff is not None:
+        kept = kept.where(F.col("activity") <= cutoff)
+    if public_original:
+        kept = kept.where("public_original")
+    if authors:
+        kept = kept.where("closed")
+    return kept.select("unit_id")
+
+
 UNIT_ORDER = ("sort_ts", "unit_id")
 
 

@@ -66,6 +66,27 @@ class UnitQuery(FeedQuery):
     public_original: bool = False
 
 
+@dataclass
+class Selection:
+    """Which units the labels, the graph and the status are of."""
+
+    cutoff: str | None = None
+    public_original: bool = False
+    author_ids: list[str] = field(default_factory=list)
+    labels: list[str] = field(default_factory=list)
+    every_label: bool = False
+
+    @classmethod
+    def of(cls, parameters: dict[str, str]) -> Selection:
+        """From the strings of a request; unknown values are BadQuery."""
+        mode, publication = parameters.get("label_mode", "any"), parameters.get("publication")
+        if mode not in ("any", "all") or publication not in (None, "", "public-original"):
+            raise BadQuery("label_mode or publication")
+        return cls(
+            parameters.get("cutoff") or None, publication == "public-original", csv(parameters.get("author_ids")), csv(parameters.get("labels")), mode == "all"
+        )
+
+
 class Pool:
     """tables: captures (current, projected), members, documents (doc_id, text), queue,
     assignments, evidence, registry, taxonomy. revision: that of the generation."""
@@ -173,23 +194,39 @@ class Pool:
     def contributors(self) -> DataFrame:
         return cap.contributors(self.t["captures"]).orderBy(F.col("posts").desc(), "contributed_by")
 
-    def labels(self) -> DataFrame:
-        return lab.preset_counts(self.t["assignments"], self._eligible(), self.t["taxonomy"])
+    def _chosen(self, s: Selection | None) -> DataFrame:
+        """Eligible units of a selection."""
+        own = self._eligible()
+        if s is None:
+            return own
+        if s.cutoff or s.public_original or s.author_ids:
+            own = own.join(self._selected(s), "unit_id", "left_semi")
+        return lab.with_presets(own, self.t["assignments"], s.labels, s.every_label)
+
+    def _selected(self, s: Selection) -> DataFrame:
+        members = self.t["captures"].join(self.t["members"].select("id", "unit_id"), "id")
+        return uni.selected(members, s.cutoff, s.public_original, s.author_ids or None)
+
+    def _chosen_pairs(self, s: Selection | None) -> DataFrame:
+        return lab.approved_pairs(self.t["assignments"], self._chosen(s), self.t["registry"])
+
+    def labels(self, s: Selection | None = None) -> DataFrame:
+        return lab.preset_counts(self.t["assignments"], self._chosen(s), self.t["taxonomy"])
 
-    def free_labels(self) -> DataFrame:
-        return lab.free_counts(self._pairs()).orderBy(F.col("units").desc(), "name")
+    def free_labels(self, s: Selection | None = None) -> DataFrame:
+        return lab.free_counts(self._chosen_pairs(s)).orderBy(F.col("units").desc(), "name")
 
-    def free_label(self, name: str) -> dict:
-        pairs = self._pairs().where(F.col("name") == name)
-        own = pairs.join(self.t["members"].select("id", "unit_id"), "unit_id")
+    def free_label(self, name: str, s: Selection | None = None) -> dict:
+        every = self._chosen_pairs(s)
+        own = every.where(F.col("name") == name).join(self.t["members"].select("id", "unit_id"), "unit_id")
         units, posts = own.agg(F.countDistinct("unit_id"), F.countDistinct("id")).first()
         if not units:
             raise NotFound(name)
-        return {"name": name, "units": units, "posts": posts, "related": lab.related(self._pairs(), name)}
+        return {"name": name, "units": units, "posts": posts, "related": lab.related(every, name)}
 
-    def graph(self, top: int | None = 300) -> dict[str, DataFrame]:
+    def graph(self, top: int | None = 300, s: Selection | None = None) -> dict[str, DataFrame]:
         """Nodes, links and communities; top None: complete, or TooLarge."""
-        pairs = self._pairs()
+        pairs = self._chosen_pairs(s)
         if top is None:
             nodes, links = lab.complete(lab.free_counts(pairs), lab.MAX_NODES), lab.complete(lab.links(pairs), lab.MAX_LINKS)
         else:
@@ -199,9 +236,13 @@ class Pool:
             links = lab.top_links(pairs, nodes, top)
         return {"nodes": nodes, "links": links, "communities": communities(nodes, links)}
 
-    def status(self) -> DataFrame:
-        """Counts, and the time through which all work is complete: two single rows."""
-        return que.status_counts(self.t["queue"]).join(F.broadcast(que.complete_through(self.t["queue"])))
+    def status(self, s: Selection | None = None) -> DataFrame:
+        """Counts, and the time through which all work is complete: two single rows. A selection by
+        labels has no bearing on them."""
+        queue = self.t["queue"]
+        if s is not None and (s.cutoff or s.public_original or s.author_ids):
+            queue = queue.join(self._selected(s), "unit_id", "left_semi")
+        return que.status_counts(queue).join(F.broadcast(que.complete_through(queue)))
 
     def health(self) -> dict:
         return {"revision": self.revision, "captures": self.t["captures"].count(), **que.depth(self.t["queue"]).first().asDict()}

@@ -302,12 +302,12 @@ def receipt_rates(spark: SparkSession, d: str) -> DataFrame:
        WHERE n >= 20 AND bad * 100 > n * 7""", views=True,
 )
 def ceiling_hits(spark: SparkSession, d: str) -> DataFrame:
-    """The first call of a run at which more than 7 % of its calls (20 at least) had failed. A
-    run is one sequence of calls, bounded by its own ceilings."""
-    w = W.partitionBy("run").orderBy("seq")
-    run = ad.attempts(spark, d).withColumn("run", F.lit(1))
-    counted = run.withColumn("bad", F.sum((F.col("outcome") == "blocked").cast("int")).over(w)).withColumn("n", F.row_number().over(w))
-    return counted.where("n >= 20 and bad * 100 > n * 7").agg(F.min("seq").alias("stopped_at"))
+    """The first call at which more than 7 % of all calls (20 at least) had failed. Calls are dealt to
+    ranges of their numbers; sums of the ranges before are added to sums within a range."""
+    from tidepool.operators.queue import running
+
+    calls = ad.attempts(spark, d).select("seq", (F.col("outcome") == "blocked").cast("long").alias("bad"), F.lit(1).cast("long").alias("n"))
+    return running(calls, "seq", ["bad", "n"]).where("n >= 20 and bad * 100 > n * 7").agg(F.min("seq").alias("stopped_at"))
 
 
 @query(

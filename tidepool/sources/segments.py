@@ -5,12 +5,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SEGMENT = "schema_version int, transaction_id string, created_at string, operations array<struct<path:string,mode:string,lines:array<string>,content:string>>"
+#: Lines of one segment at most, and parts that the lines of a path are dealt to.
+LINES, CUTS = 5000, 8
 #: What the kind of a record is, by the path it is appended to.
 KINDS = {
     "post": r"^posts/", "enrichment": r"^enrichment/", "attempt": r"^attempts/", "registry": r"^registry/",
@@ -26,25 +29,78 @@ def kind_of(path: Column) -> Column:
 
 
 def append(records: DataFrame, log: str, created_at: str, transaction: str | None = None) -> str:
-    """Write records (path, line) as one transaction: a segment for each partition, operations
-    grouped by path, in a folder of its own by category and day. Returns the transaction."""
+    """Write records (path, line) as one transaction, in folders by category and day, and read it back.
+
+    The lines of a path are cut into segments of LINES at most, in order of line, so no row gathers
+    more, whatever a path or a category holds. A segment is named by the digest of its content: what is written
+    twice is one file's content with one name. A transaction that exists already must hold just
+    the same segments. Returns the transaction."""
     transaction = transaction or str(uuid.uuid4())
-    grouped = records.groupBy("path").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    spark = records.sparkSession
     day = datetime.fromisoformat(created_at.replace("Z", "+00:00")).astimezone(timezone.utc).strftime("%Y-%m-%d")
-    rows = grouped.withColumn("category", kind_of(F.col("path"))).groupBy("category").agg(
-        F.collect_list(F.struct("path", F.lit("append").alias("mode"), "lines", F.lit(None).cast("string").alias("content"))).alias("operations")
-    )
+    w = W.partitionBy("path", "cut").orderBy("line")
+    n = F.row_number().over(w) - 1
+    # a hot path is dealt over cuts by a hash of its lines before it is numbered
+    dealt = records.select("path", "line", F.pmod(F.xxhash64("line"), F.lit(CUTS)).cast("int").alias("cut")).withColumn("part", F.floor(n / LINES))
+    grouped = dealt.groupBy("path", "cut", "part").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    op = F.struct("path", F.lit("append").alias("mode"), "lines", F.lit(None).cast("string").alias("content"))
+    rows = grouped.select(kind_of(F.col("path")).alias("category"), F.array(op).alias("operations"))
+    rows = rows.withColumn("segment", F.sha2(F.to_json("operations"), 256))
     out = rows.select(
-        "category", F.lit(day).alias("day"), F.lit(transaction).alias("txn"), F.lit(1).alias("schema_version"),
+        "category", F.lit(day).alias("day"), F.lit(transaction).alias("txn"), "segment", F.lit(1).alias("schema_version"),
         F.lit(transaction).alias("transaction_id"), F.lit(created_at).alias("created_at"), "operations",
     )
+    digest = lambda df: df.agg(F.count("*").cast("string"), F.coalesce(F.sum(F.conv(F.substring("segment", 1, 14), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")).first()
+    written = lambda: segments(spark, log).where((F.col("txn") == transaction) & (F.col("day") == day))
+    fs, p = _fs(spark, f"{log}/segments")
+    if fs.exists(p) and not written().isEmpty():
+        if digest(written()) != digest(out):
+            raise Conflict(f"transaction {transaction} holds something else")
+        return transaction
     out.write.mode("append").partitionBy("category", "day", "txn").option("compression", "gzip").json(f"{log}/segments")
+    if digest(written()) != digest(out):
+        raise OSError(f"transaction {transaction} can't be read back")
     return transaction
 
 
+def next_time(now: str, last: str | None) -> str:
+    """The time of a new transaction: now, or a millisecond after the last one if that is later."""
+    if last is None:
+        return now
+    read = lambda t: datetime.fromisoformat(t.replace("Z", "+00:00")).astimezone(timezone.utc)
+    at = max(read(now), read(last) + timedelta(milliseconds=1))
+    return at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
+
+
+def category(found: DataFrame) -> DataFrame:
+    """file, category of segments: the kind of their paths, or `mixed`."""
+    kinds = F.array_distinct(F.transform("operations", lambda o: kind_of(o["path"])))
+    return found.select("file", F.when(F.size(kinds) == 1, kinds.getItem(0)).otherwise("mixed").alias("category"))
+
+
+def latest_receipt(found: DataFrame) -> DataFrame:
+    """The receipt (path, line) that finished last. Only segments that may hold one are read."""
+    some = found.where(F.col("category").isin("receipt", "mixed"))
+    lines = records(some).where("kind = 'receipt'")
+    at = F.try_variant_get(F.try_parse_json("line"), "$.finished_at", "string")
+    return lines.agg(F.max_by(F.struct("path", "line"), F.struct(at, "created_at", "transaction_id", "position")).alias("r")).select("r.*").where("line is not null")
+
+
+def stats(found: DataFrame) -> DataFrame:
+    """kind, files, lines, latest (the newest created_at) of what segments hold."""
+    lines = records(found)
+    return lines.groupBy("kind").agg(F.countDistinct("file").alias("files"), F.count("*").alias("lines"), F.max("created_at").alias("latest"))
+
+
+def unseen(found: DataFrame, seen: DataFrame) -> DataFrame:
+    """Segments that are not among those seen (segment: their digest): applying them again, or two
+    copies of one, changes nothing."""
+    return found.dropDuplicates(["segment"]).join(seen.select("segment"), "segment", "left_anti")
+
+
 def segments(spark: SparkSession, log: str) -> DataFrame:
     """All segments, with the file each is in; category and day are pruned by path."""
-    return spark.read.schema(SEGMENT + ", category string, day string, txn string").json(f"{log}/segments").select(
+    return spark.read.schema(SEGMENT + ", segment string, category string, day string, txn string").json(f"{log}/segments").select(
         "*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")
     )
 
@@ -67,9 +123,10 @@ def config(found: DataFrame, path: str) -> DataFrame:
 
 
 def snapshot(found: DataFrame) -> DataFrame:
-    """file, size, digest of every segment."""
-    body = F.to_json(F.struct("schema_version", "transaction_id", "created_at", "operations"))
-    return found.select("file", "size", F.sha2(body, 256).alias("digest"))
+    """file, size, digest of every file of segments: of the digests of its rows, which one task wrote."""
+    body = F.sha2(F.to_json(F.struct("schema_version", "transaction_id", "created_at", "operations")), 256)
+    each = found.select("file", "size", body.alias("digest"))
+    return each.groupBy("file", "size").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ","), 256).alias("digest"))
 
 
 def revision(snap: DataFrame) -> str:
@@ -91,6 +148,10 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.withColumn("change", change).where("change is not null").select("file", "change")
 
 
+class Conflict(Exception):
+    """A transaction of one name with other content."""
+
+
 class Stale(Exception):
     """The manifest is not the one that an update was made from."""
 
@@ -112,11 +173,13 @@ def manifest(spark: SparkSession, root: str) -> dict | None:
     return json.loads(text)
 
 
-def publish(tables: dict, root: str, revision_: str, expected: str | None, spark: SparkSession | None = None) -> dict:
+def publish(
+    tables: dict, root: str, revision_: str, expected: str | None, spark: SparkSession | None = None, more: dict | None = None
+) -> dict:
     """Write a generation of tables, then its manifest, if the manifest is still the expected
     generation (None: there is none). A table is a DataFrame, or a function of the tables written
     before it (then the session is given), so that none is derived twice. The manifest's file is
-    created, never replaced, so of two writers one fails."""
+    created, never replaced, so of two writers one fails. more: further entries of the manifest."""
     spark = spark or next(iter(tables.values())).sparkSession
     now = manifest(spark, root)
     if (now["generation"] if now else None) != expected:
@@ -129,6 +192,7 @@ def publish(tables: dict, root: str, revision_: str, expected: str | None, spark
         done[name] = spark.read.schema(df.schema).parquet(path)
         counts[name] = done[name].count()
     made = {"generation": generation, "number": (now["number"] if now else 0) + 1, "revision": revision_, "previous": expected, "counts": counts}
+    made |= more or {}
     fs, p = _fs(spark, f"{root}/manifests/{made['number']:012d}.json")
     try:
         out = fs.create(p, False)

@@ -10,11 +10,12 @@ _HOME = "$.data.home.home_timeline_urt.instructions"
 #: Where each endpoint keeps its instructions.
 INSTRUCTION_PATHS = {
     "HomeTimeline": _HOME, "HomeLatestTimeline": _HOME, "UserTweets": _USER, "UserTweetsAndReplies": _USER,
-    "UserMedia": _USER, "UserLikes": _USER, "UserArticlesTweets": _USER, "UserHighlightsTweets": _USER, "Likes": _USER,
+    "UserMedia": _USER, "UserLikes": _USER, "UserArticlesTweets": _USER, "UserHighlightsTweets": _USER,
     "TweetDetail": "$.data.threaded_conversation_with_injections_v2.instructions",
     "SearchTimeline": "$.data.search_by_raw_query.search_timeline.timeline.instructions",
     "ListLatestTweetsTimeline": "$.data.list.tweets_timeline.timeline.instructions",
     "Bookmarks": "$.data.bookmark_timeline_v2.timeline.instructions",
+    "Likes": _USER,
     "CommunityTweetsTimeline": "$.data.communityResults.result.ranked_community_timeline.timeline.instructions",
     "BookmarkFolderTimeline": "$.data.bookmark_collection_timeline.timeline.instructions",
 }
@@ -28,13 +29,33 @@ def _list(v: Column | str, path: str) -> Column:
     return F.coalesce(get(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
+#: Objects within each other that a search for instructions looks into.
+DEPTH = 5
+
+
+def found_instructions(v: Column) -> Column:
+    """The first list of instructions with entries in the objects and lists of a value, DEPTH levels
+    deep: the shallowest, then by key. Levels are made by the built-in functions, without recursion."""
+    none = F.array().cast("array<variant>")
+    fits = lambda i: (get(i, "$.type").isin("TimelineAddEntries", "TimelineAddToModule")) | get(i, "$.entries", "variant").isNotNull()
+    own = lambda x: F.coalesce(get(x, "$.instructions", "array<variant>"), none)
+    held = lambda x: F.coalesce(F.map_values(F.map_filter(get(x, "$", "map<string,variant>"), lambda k, _: k != "instructions")), get(x, "$", "array<variant>"), none)
+    level, out = F.array(v), []
+    for _ in range(DEPTH):
+        good = F.filter(F.transform(level, own), lambda i: F.exists(i, lambda x: F.coalesce(fits(x), F.lit(False))))
+        out.append(F.try_element_at(good, F.lit(1)))
+        level = F.flatten(F.transform(level, held))
+    return F.coalesce(*out)
+
+
 def entries(responses: DataFrame) -> DataFrame:
-    """endpoint, entry: of responses (endpoint, body). Bodies that are no JSON have none."""
+    """endpoint, entry: of responses (endpoint, body). Bodies that are no JSON have none. Where an
+    endpoint is not known, or keeps its instructions elsewhere, they are searched for."""
     parsed = responses.withColumn("v", F.try_parse_json("body"))
     instructions = F.lit(None).cast("array<variant>")
     for endpoint, path in INSTRUCTION_PATHS.items():
         instructions = F.when(F.col("endpoint") == endpoint, get("v", path, "array<variant>")).otherwise(instructions)
-    each = parsed.select("endpoint", F.explode(instructions).alias("i"))
+    each = parsed.select("endpoint", F.explode(F.coalesce(instructions, found_instructions(F.col("v")))).alias("i"))
     one = F.when(get("i", "$.entry", "variant").isNotNull(), F.array(get("i", "$.entry", "variant")))
     every = F.concat(_list("i", "$.entries"), F.coalesce(one, F.array().cast("array<variant>")), _list("i", "$.moduleItems"))
     return each.select("endpoint", F.explode(every).alias("entry"))
