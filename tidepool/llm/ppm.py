@@ -179,7 +179,7 @@ class Cache:
     more frequent one stays, the other is looked up like a rare one."""
 
     def __init__(self, grams: np.ndarray, n: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(max(1, len(grams)) * 2).bit_length())
+        self.bits = max(4, (2 * len(grams) - 1).bit_length())
         self.keys, self.values = np.full(1 << self.bits, (1 << 64) - 1, np.uint64), np.zeros(1 << self.bits)
         order = np.lexsort((grams, n))
         at = self._slot(grams[order])
