@@ -165,3 +165,12 @@ def test_centroids_are_means_of_their_rows():
     for i in range(3):
         mean = x[own == i].mean(axis=0)
         assert np.allclose(c[i], mean / np.linalg.norm(mean), atol=1e-5)
+
+
+def test_language_with_clashing_columns_and_repeated_rows(spark, odd):
+    wide = odd.selectExpr("*", *(f"'x' AS {c}" for c in ["id", "share", "lang_pred", "score", "bucket", "n"]))
+    model, again = langid.fit(odd), langid.fit(wide)
+    assert (model.centroids == again.centroids).all() and model.languages == again.languages
+    assert sorted(map(str, langid.identify(wide, model).collect())) == sorted(map(str, langid.identify(odd, model).collect()))
+    many = odd.union(spark.range(3000).selectExpr("7 AS doc_id", "'one more text' AS text", "'en' AS lang", "'s' AS source", "1 AS n_chars"))
+    assert langid.fit(many, rows_per_language=5000).languages == model.languages

@@ -7,12 +7,13 @@ largest cosine. A text whose distance to it exceeds that of nearly all training
 language is flagged as rejected.
 
 Document frequencies are counted over all training rows. The centroids are fitted on a bounded
-sample: about ROWS_PER_LANGUAGE rows of each language, chosen by a hash of the id.
+sample: about ROWS_PER_LANGUAGE rows of each language, chosen by a hash of id and text. The model
+has CENTROIDS vectors of BUCKETS numbers for each language, which is what reaches the driver.
 
 Null texts and texts without a letter get ``und`` and score 0; rows with a null or empty
 language teach nothing; with nothing learned every row is ``und``. Whole texts count, however
 long. Ties go to the language that sorts first. Repeated rows get equal results. Empty tables
-give empty results. Extra columns are not read.
+give empty results. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -130,16 +131,16 @@ def fit(
     rows_per_language: int = ROWS_PER_LANGUAGE, centroids: int = CENTROIDS,
 ) -> Model | None:
     """Learn from the rows of docs that have a language."""
-    known = docs.where(F.coalesce(F.col(lang_col), F.lit("")) != "")
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
-    if not sizes:
-        return None
-    df, n = document_frequencies(known, text_col)
+    known = _rows(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang")).where("coalesce(lang, '') <> ''")
+    df, n = document_frequencies(known, "text")
     if not n:
         return None
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    share = F.coalesce(*(F.when(F.col(lang_col) == k, F.lit(min(1.0, rows_per_language / v))) for k, v in sorted(sizes.items())))
-    some = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 30)) < share * (1 << 30))
+    shares = known.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
+    # by id and text, each once, so that neither repeated rows nor one id of many rows make a sample large
+    # a row for each language, of which the model that is sent anyway has 128 KB
+    picked = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    picked = picked.select("id", "text", "lang").distinct()
 
     def learn(frame):
         import pandas as pd
@@ -155,7 +156,6 @@ def fit(
         least = [float(np.quantile(near[own == i, i], REJECTED_SHARE)) if (own == i).any() else 1.0 for i in range(len(c))]
         return pd.DataFrame({"lang": frame["lang"].iloc[0], "least": least, "centroid": [r.tobytes() for r in c]})
 
-    picked = _rows(some, id_col, text_col, F.col(lang_col).cast("string").alias("lang"))
     found = picked.groupBy("lang").applyInPandas(learn, "lang string, least double, centroid binary").collect()
     if not found:
         return None
