@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,9 +50,37 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     df.write.partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that materialize() writes within, but for those given to the function that
+    this yields. For steps whose results no longer read what they were made from."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _SCRATCH.append(own)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.remove(own)
+        for table in own:
+            if not any(table is k for k in kept):
+                release(table)
+        if _SCRATCH:
+            _SCRATCH[-1].extend(kept)
+
+
 def release(table: DataFrame) -> None:
     """Delete a table of materialize() that nothing reads any more."""
     spark = table.sparkSession

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import LOWER_AZ, documents, materialize, text_bytes
+from tidepool.llm.common import LOWER_AZ, documents, materialize, scratch, text_bytes
 
 #: Entries that a memtable holds before it is flushed.
 MEMTABLE_ENTRIES = 100_000
@@ -322,10 +322,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are known by id and text together, so one that shares its id with a copy stays. Of texts
     that differ in the case of A-Z alone under one id, the one with the least digest stays; of
     repeated rows any."""
-    found = exact_duplicates(docs, id_col, text_col, keep).where("group_size > 1")
-    found = materialize(found.groupBy("id", "mark", "digest", "kept").agg(F.count("*").alias("n")), "lsm-found")
+    # written as it is found, so that the join with a very frequent text stands alone and is split
+    with scratch() as hold:
+        found = exact_duplicates(docs, id_col, text_col, keep).where("group_size > 1").select("id", "mark", "digest", "kept")
+        found = hold(materialize(found, "lsm-found"))
     kept = found.where("kept")
-    stays = kept.groupBy("digest").agg(F.min("mark").alias("mark"), F.max("id").alias("id"), F.sum("n").alias("n"))
+    stays = kept.groupBy("digest").agg(F.min("mark").alias("mark"), F.max("id").alias("id"), F.count("*").alias("n"))
     beside = kept.join(stays, ["digest", "mark"], "left_anti")
     named = (F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"))
     gone = found.where("not kept").unionByName(beside).select(*named)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import (
-    binary_batch, chunks, documents, held_out, labels, materialize, slice_hashes, word_bounds, word_hashes,
+    binary_batch, chunks, documents, held_out, labels, materialize, scratch, slice_hashes, word_bounds, word_hashes,
 )
 
 POSITIVE_ROWS = 20_000
@@ -251,6 +251,13 @@ def train(
     positives: int = POSITIVE_ROWS, prior: float | None = None,
 ) -> Model | None:
     """Fit on the training fold (crc32 of the id mod 4 is not 2). prior: given, or estimated."""
+    with scratch():
+        return _trained(docs, marks, id_col, text_col, positives, prior)
+
+
+def _trained(
+    docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, positives: int, prior: float | None
+) -> Model | None:
     good = marks.where(~held_out("doc_id", 4, 2) & (F.col("quality") == 1) & F.col("doc_id").isNotNull())
     good = good.select(F.col("doc_id").cast("long").alias("trusted")).distinct()
     trusted = F.broadcast(_sampled(good, "trusted", good.count(), positives))

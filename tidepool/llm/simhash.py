@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import LOWER_AZ, WORD_BYTES, chunks, documents, materialize, mix, release, text_bytes
+from tidepool.llm.common import LOWER_AZ, WORD_BYTES, chunks, documents, materialize, mix, release, scratch, text_bytes
 
 SHINGLE_WORDS = 5
 BITS = 64
@@ -285,7 +285,7 @@ COUNTERS = 1 << 20
 #: Counters that are sent at once.
 SLICE = 1 << 14
 #: Rounds that ask for one row before all remaining pairs are checked.
-ROUNDS = 2
+ROUNDS = 1
 #: Rows that a tree may be made of; the rows of a larger shard are dealt over several trees.
 TREE = 2048
 #: Bits of the fingerprint that trees are made of, and of the longer one that is compared next.
@@ -309,10 +309,11 @@ def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
 
 
 def shingle_counts(rows: DataFrame, shingle_words: int) -> np.ndarray:
-    """COUNTERS sums of the texts that hold the shingles of a counter; a task sends as many."""
+    """COUNTERS sums of the texts that hold the shingles of a counter; a task sends as many, packed."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
         held = np.zeros(COUNTERS, np.int64)
         for batch in chunks(batches):
@@ -320,15 +321,17 @@ def shingle_counts(rows: DataFrame, shingle_words: int) -> np.ndarray:
             held += np.bincount((np.concatenate(found) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         for i in range(0, COUNTERS, SLICE):
             if (part := held[i : i + SLICE]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
+                packed = zstandard.compress(part.astype(np.uint32).tobytes(), 3)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed], pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(part, dtype=np.int64)
+                part = np.frombuffer(zstandard.decompress(part), dtype=np.uint32).astype(np.int64)
                 sums[i] = sums[i] + part if i in sums else part
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
@@ -371,10 +374,11 @@ def heads(rows: DataFrame, counts, shingle_words: int, similarity: float) -> Dat
     return rows.mapInArrow(run, "id long, same binary, n int, short binary, sketch binary, head array<long>")
 
 
-def apart(met: DataFrame, stars: DataFrame) -> DataFrame:
-    """met with the component of each id, without the shingles that have but one component;
-    `many` is the number of rows of the shingle."""
-    placed = met.join(stars.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+def apart(met: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """met (key, id, pos) with n, short and the component of each id, without the shingles that have but
+    one component; `many` is the number of rows of the shingle."""
+    own = nodes.select("id", "n", "short").join(stars.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = met.join(own, "id")
     live = placed.groupBy("key").agg(F.count("*").alias("many"), F.min("root").alias("l"), F.max("root").alias("m")).where("l <> m")
     return placed.join(live.select("key", "many"), "key")
 
@@ -461,7 +465,7 @@ def tree_pairs(met: DataFrame, turn: int, similarity: float, last: bool) -> Data
 
     trees = F.ceil(F.col("many") / TREE).cast("int")
     own = ("id", "n", "pos", "root", "short")
-    dealt_to = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), trees).cast("int").alias("part")
+    dealt_to = lambda salt: F.pmod(F.xxhash64("id", "key", F.lit(salt)), trees).cast("int").alias("part")
     if last:
         one = met.where(F.col("many") <= TREE).select("key", F.lit(0).alias("part"), F.lit(BOTH).alias("role"), *own)
         large = met.where(F.col("many") > TREE)
@@ -539,15 +543,16 @@ def _similar(rows: DataFrame, shingle_words: int, similarity: float) -> DataFram
     edges = equal.select(F.col("id").alias("a"), F.col("node").alias("b"))
     stars = edges.where("false").toDF("node", "root")
 
-    nodes = headed.join(equal.select("id", "same"), ["id", "same"], "left_anti")
+    alone = headed.join(equal.select("id", "same"), ["id", "same"], "left_anti")
+    nodes = materialize(alone.select("id", "n", "short", "sketch").distinct(), "near-nodes")
     of_key = W.partitionBy("key").orderBy("key")
-    keys = nodes.select("id", "n", "short", F.posexplode("head").alias("pos", "key"))
+    keys = alone.select("id", F.posexplode("head").alias("pos", "key"))
     beside = F.lag("id").over(of_key).isNotNull() | F.lead("id").over(of_key).isNotNull()
     met = materialize(keys.withColumn("met", beside).where("met").drop("met"), "near-met")
     sketches = nodes.select("id", "n", "sketch")
     tried = None
     for turn in range(ROUNDS + 1):
-        now = materialize(apart(met, stars), "near-apart")
+        now = materialize(apart(met, nodes, stars), "near-apart")
         pairs = tree_pairs(now, turn, similarity, turn == ROUNDS)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -561,6 +566,8 @@ def _similar(rows: DataFrame, shingle_words: int, similarity: float) -> DataFram
         left, right = sets.toDF("a", "p"), sets.toDF("b", "q")
         found = pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(verified, "a long, b long")
         edges = edges.union(materialize(found, "near-edges"))
+        release(now)
+        release(sets)
         stars = components(edges)
     roots = stars.select(F.col("root").alias("node"), "root").distinct()
     return stars.union(roots).toDF("id", "component_id")
@@ -574,7 +581,8 @@ def drop_similar(
     whose id is null or stands for several texts. Rows are known by id and text together, so one
     that shares its id with a copy stays; repeated rows stay or go together."""
     rows, several = numbered(docs, id_col, text_col)
-    found = materialize(_similar(rows, shingle_words, similarity), "near-found")
+    with scratch() as hold:
+        found = hold(materialize(_similar(rows, shingle_words, similarity), "near-found"))
     gone = found.where("id <> component_id").select(F.col("id").alias("gone_id")).distinct()
     own = docs[id_col].cast("long")
     if several is None:
