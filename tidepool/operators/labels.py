@@ -101,6 +101,12 @@ def signals(assignments: DataFrame, evidence: DataFrame, posts: DataFrame) -> Da
     return counts.join(seen, "name", "left").withColumn("surfaces", F.coalesce("surfaces", F.lit(False)))
 
 
+def age_days(now, first_observed_at):
+    """Days, with their parts, since a name was first seen; never less than 0."""
+    milliseconds = lambda c: F.unix_millis(c.cast("timestamp"))
+    return F.greatest(F.lit(0.0), (milliseconds(now) - milliseconds(first_observed_at)) / 86_400_000)
+
+
 def decisions(candidates: DataFrame, stale_days: int = 30) -> DataFrame:
     """name, decision of candidates (units, authors, days, surfaces, age_days, hub, verdict):
     stale ones go; those that appear in their evidence need 5 units, 3 authors and 2 days;

@@ -101,3 +101,25 @@ def running(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
     local = dealt.select("part", order, *(F.sum(c).over(within).alias(c) for c in columns), *(c for c in rows.columns if c not in (order, *columns)))
     met = local.join(F.broadcast(ahead), "part")
     return met.select(*((F.col(c) + F.col(f"ahead_{c}")).alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+def failed(units: DataFrame, at_once: Column) -> DataFrame:
+    """units (unit_id, attempts) after a failure: one attempt more, blocked at MAX_ATTEMPTS or at once,
+    else retrying; without a lease."""
+    n = F.col("attempts") + 1
+    status = F.when(at_once | (n >= MAX_ATTEMPTS), "blocked").otherwise("retrying")
+    return units.select("unit_id", n.alias("attempts"), status.alias("status"), F.lit(None).cast("string").alias("lease_owner"))
+
+
+def released(queue: DataFrame, which: Column) -> DataFrame:
+    """The running units of a queue that `which` holds for, as they wait again: retrying if they were
+    tried before, else pending."""
+    status = F.when(F.col("attempts") > 0, "retrying").otherwise("pending")
+    return queue.where("status = 'running'").where(which).select("unit_id", "attempts", status.alias("status"))
+
+
+def receipt_rates(receipts: DataFrame) -> DataFrame:
+    """Receipts with error_rate (of units and failures together) and discarded_per_unit; 0 of none."""
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    done = F.col("units") + F.col("failures")
+    return receipts.withColumns({"error_rate": share(F.col("failures"), done), "discarded_per_unit": share(F.col("discarded"), F.col("units"))})

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidepool.operators import access as acc
 from tidepool.operators import captures as cap
+from tidepool.operators import queue as que
 from tidepool.operators import units as uni
 from tidepool.plans import adapter as ad
 from tidepool.sources import timeline as tl
@@ -194,6 +196,45 @@ def registry_scan(spark: SparkSession, d: str) -> DataFrame:
 )
 def failure_marks(spark: SparkSession, d: str) -> DataFrame:
     """Running units after a failure; some failures block at once."""
-    n = F.col("attempts") + 1
-    status = F.when((n >= 5) | (F.col("least_pid") % 6 == 0), "blocked").otherwise("retrying")
-    return ad.queue(spark, d).where("status = 'running'").select("unit_id", n.alias("attempts"), status.alias("status"))
+    running = ad.queue(spark, d).where("status = 'running'")
+    return que.failed(running, F.col("least_pid") % 6 == 0).select("unit_id", "attempts", "status")
+
+
+@query(
+    "released_leases",
+    "SELECT unit_id, CASE WHEN attempts > 0 THEN 'retrying' ELSE 'pending' END AS status FROM queue WHERE status = 'running' AND activity < '2024-01-25'", views=True,
+)
+def released_leases(spark: SparkSession, d: str) -> DataFrame:
+    """Running units whose lease (here: until their latest activity) is over wait again."""
+    return que.released(ad.queue(spark, d), F.col("activity") < "2024-01-25").select("unit_id", "status")
+
+
+@query(
+    "receipt_metrics",
+    """SELECT l_orderkey, cast(round(CASE WHEN u + f = 0 THEN 0 ELSE f / (u + f) END * 10000) AS bigint) AS error_bp, cast(round(CASE WHEN u = 0 THEN 0 ELSE d / u END * 10000) AS bigint) AS discarded_bp FROM (
+      SELECT l_orderkey, count(*) FILTER (l_linenumber > 2)::double AS u, count(*) FILTER (l_linenumber = 1)::double AS f, count(*) FILTER (l_returnflag = 'R')::double AS d FROM lineitem GROUP BY l_orderkey)""",
+)
+def receipt_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as receipts: later lines are units, first ones failures, returned ones discarded labels."""
+    n = F.col("l_linenumber")
+    receipts = ad.table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.count_if(n > 2).alias("units"), F.count_if(n == 1).alias("failures"), F.count_if(F.col("l_returnflag") == "R").alias("discarded")
+    )
+    bp = lambda c: F.round(F.col(c) * 10000).cast("long")
+    return que.receipt_rates(receipts).select("l_orderkey", bp("error_rate").alias("error_bp"), bp("discarded_per_unit").alias("discarded_bp"))
+
+
+@query(
+    "pool_grants",
+    """SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 10 = 1 THEN 'admin' WHEN c_custkey % 10 IN (2, 3) THEN 'member' WHEN c_nationkey IN (1, 2, 3) OR c_nationkey % 5 = 0 THEN 'member_org' END AS "grant",
+      CASE WHEN c_custkey % 11 = 0 OR c_custkey % 10 IN (1, 2, 3) THEN NULL WHEN c_nationkey IN (1, 2, 3) THEN 'o' || c_nationkey WHEN c_nationkey % 5 = 0 THEN 'five' END AS org FROM customer""",
+)
+def pool_grants(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as people, with their nation as an organisation; names of some are none."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    name = F.when(k % 11 == 0, "-no name").otherwise(F.concat(F.lit(" User"), (k % 10).cast("string")))
+    orgs = F.array(F.concat(F.lit("o"), n.cast("string")), F.when(n % 5 == 0, "five").otherwise("none"))
+    people = ad.table(spark, d, "customer").select("c_custkey", name.alias("username"), orgs.alias("orgs"))
+    rows = [("admin", "USER1"), ("member", "user2"), ("member", "user1"), ("member", "User3 "), ("org", "o1"), ("org", "o2"), ("org", "o3"), ("org", "five")]
+    config = spark.createDataFrame(rows, "kind string, value string").coalesce(1)
+    return acc.grants(people, config, "c_custkey").select("c_custkey", "grant", "org")

@@ -436,7 +436,7 @@ DECIDED_SQL = """SELECT name, CASE WHEN age_days >= 30 THEN 'stale-below-thresho
     WHEN units >= 15 AND authors >= 8 AND days >= 2 AND verdict THEN 'constrained-review-approved'
     WHEN units >= 15 AND authors >= 8 AND days >= 2 AND NOT verdict THEN 'constrained-review-rejected'
     ELSE 'reviewed-no-transition' END AS decision FROM (
-  SELECT name, units, authors, days, date_diff('day', cast(substr(first_observed_at, 1, 10) AS date), date '2024-02-10') AS age_days,
+  SELECT name, units, authors, days, greatest(0, (epoch_ms(timestamp '2024-02-10') - epoch_ms(cast(replace(first_observed_at, 'Z', '') AS timestamp))) / 86400000.0) AS age_days,
     ord % 3 = 0 AS surfaces, ord % 3 = 1 AND units % 2 = 0 AS hub, CASE WHEN ord % 2 = 0 THEN units % 3 = 0 END AS verdict
   FROM (SELECT *, ascii(name) AS ord FROM sg JOIN reg USING (name)))"""
 
@@ -445,7 +445,7 @@ DECIDED_SQL = """SELECT name, CASE WHEN age_days >= 30 THEN 'stale-below-thresho
 def registry_decisions(spark: SparkSession, d: str) -> DataFrame:
     k = F.ascii("name")
     met = _signals(spark, d, True).drop("surfaces").join(ad.registry(spark, d), "name").select(
-        "name", "units", "authors", "days", F.datediff(F.lit("2024-02-10").cast("date"), F.substring("first_observed_at", 1, 10).cast("date")).alias("age_days"),
+        "name", "units", "authors", "days", lab.age_days(F.lit("2024-02-10T00:00:00.000Z"), F.col("first_observed_at")).alias("age_days"),
         (k % 3 == 0).alias("surfaces"), ((k % 3 == 1) & (F.col("units") % 2 == 0)).alias("hub"), F.when(k % 2 == 0, F.col("units") % 3 == 0).alias("verdict"),
     )
     return lab.decisions(met)
