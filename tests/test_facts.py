@@ -85,27 +85,40 @@ def test_registry_replay_equals_a_sequential_fold(spark):
     from tidepool.operators import labels
 
     rng = random.Random(0)
-    for _ in range(4):
+    for unique in (True, True, True, False):
         names, events, revision = [f"n{i}" for i in range(6)], [], 0
         for pos in range(40):
-            revision += rng.random() < 0.93
-            events.append((rng.choice(names), rng.choice(["candidate", "approved", "rejected", "candidate"]), f"t{pos:03d}", rng.choice("kkkkkkkkkkx"), revision, pos))
+            revision += 1 if unique else rng.random() < 0.9
+            events.append([rng.choice(names), rng.choice(["candidate", "approved", "rejected", "candidate"]), f"t{pos:03d}", "k", revision, pos])
+        if unique:  # a legal chain with one fault
+            state = {}
+            for e in events:
+                e[1] = {None: "candidate", "candidate": "approved", "approved": "rejected"}.get(state.get(e[0]), "rejected")
+                if state.get(e[0]) == "rejected":
+                    e[0] = "m" + e[2]
+                    e[1] = "candidate"
+                state[e[0]] = e[1]
+            at = rng.randrange(5, 35)
+            fault = rng.choice(["gap", "order", "illegal"])
+            if fault == "gap":
+                for e in events[at:]:
+                    e[4] += 1
+            elif fault == "order":
+                events[at][5], events[at + 1][5] = events[at + 1][5], events[at][5]
+            else:
+                events[at][1] = "approved"
+                events[at][0] = "new"
         state, at = {}, 0
-        first = {}
-        for e in events:
-            if e[3] == "k":
-                first.setdefault(e[4], e)
-        for r in sorted(first):
-            n, status, t, _, _, _ = first[r]
+        for n, status, t, _, r, _ in sorted(events, key=lambda e: e[5]):
             was = state.get(n)
             legal = status in ("candidate", "rejected") if was is None else was[0] == "candidate" or (was[0] == "approved" and status == "rejected")
-            if r != at + 1 or not legal:
-                break
-            at = r
-            state[n] = (status, was[1] if was else t, t)
+            if r == at + 1 and legal:
+                at = r
+                state[n] = (status, was[1] if was else t, t)
+        events.append(["other", "candidate", "t", "x", 1, 99])
         frame = spark.createDataFrame(events, "name string, status string, at string, contract_hash string, revision long, pos long").withColumn("reason", F.lit(None).cast("string"))
         got = {r["name"]: (r["status"], r["first_observed_at"], r["updated_at"]) for r in labels.replay_registry(frame, "k").collect()}
-        assert got == state
+        assert got == state and state
 
 
 def test_communities_of_the_query_equal_a_naive_fold(spark):

@@ -124,32 +124,56 @@ def decisions(candidates: DataFrame, stale_days: int = 30) -> DataFrame:
     )
 
 
+_REPLAYED = "name string, status string, first_observed_at string, updated_at string, reason string"
+
+
+def _folded(frame):
+    """The chain of one contract, event by event."""
+    import pandas as pd
+
+    state: dict[str, list] = {}
+    revision = 0
+    for e in frame.sort_values("pos").itertuples():
+        old = state.get(e.name)
+        was = old[1] if old else None
+        legal = e.status in ("candidate", "rejected") if was is None else was == "candidate" or (was == "approved" and e.status == "rejected")
+        if e.revision != revision + 1 or not legal:
+            continue
+        revision = e.revision
+        state[e.name] = [e.name, e.status, old[2] if old else e.at, e.at, e.reason]
+    return pd.DataFrame(list(state.values()), columns=["name", "status", "first_observed_at", "updated_at", "reason"])
+
+
 def replay_registry(events: DataFrame, contract: str) -> DataFrame:
     """name, status, first_observed_at, updated_at, reason after a chain of events
-    (name, status, at, contract_hash, revision, reason, pos). An event applies if it has the
-    next revision, the contract, and a legal transition: nothing to candidate or rejected, candidate
-    to any, approved to rejected. So the chain ends at the first revision that is missing or whose
-    event is not legal. Of events with one revision the first by pos counts.
-
-    Legality depends on the event of the same name before, so it is judged by name; the first break
-    of the chain is one number; what is before it is folded by name. No task holds the chain."""
+    (name, status, at, contract_hash, revision, reason, pos). In order of pos, an event applies if it
+    has the next revision, the contract, and a legal transition: nothing to candidate or rejected,
+    candidate to any, approved to rejected; one that doesn't, leaves the revision.
+
+    Revisions are given out under a lock, so each has one event. Then the chain ends at the first one
+    that is missing, comes before its predecessor or is not legal. Legality is judged by name; the end
+    is one number; what is before it is folded by name, so no task holds the chain. Only where a fault
+    gave several events one revision, which of them applies depends on all before, and one task folds
+    the chain, with the same result."""
     from pyspark.sql import Window as W
 
-    own = events.where(F.col("contract_hash") == contract).where("revision >= 1")
-    keep = F.row_number().over(W.partitionBy("revision").orderBy("pos"))
-    chain = own.withColumn("keep", keep).where("keep = 1").drop("keep")
-    was = F.lag("status").over(W.partitionBy("name").orderBy("revision"))
-    legal = F.when(was.isNull(), F.col("status").isin("candidate", "rejected")).otherwise((was == "candidate") | ((was == "approved") & (F.col("status") == "rejected")))
-    judged = chain.withColumn("legal", legal)
-    # revisions 1, 2, ..., n without a gap sum to what n of them do, so a gap is where the n-th is not n
     from tidepool.operators.queue import running
 
+    own = events.where(F.col("contract_hash") == contract)
+    if not own.groupBy("revision").count().where("count > 1").isEmpty():
+        return own.groupBy("contract_hash").applyInPandas(_folded, _REPLAYED)
+    chain = own.where("revision >= 1")
+    was = F.lag("status").over(W.partitionBy("name").orderBy("revision"))
+    legal = F.when(was.isNull(), F.col("status").isin("candidate", "rejected")).otherwise((was == "candidate") | ((was == "approved") & (F.col("status") == "rejected")))
+    before = chain.select((F.col("revision") + 1).alias("revision"), F.col("pos").alias("before"))
+    judged = chain.withColumn("legal", legal).join(before, "revision", "left")
+    # the n-th of revisions 1, 2, ... without a gap is n
     placed = running(judged.select("revision", F.lit(1).cast("long").alias("place")), "revision", ["place"])
     gap = placed.where("place <> revision").agg(F.min("revision").alias("gap"))
-    wrong = judged.where("not legal").agg(F.min("revision").alias("wrong"))
+    wrong = judged.where("not legal or before > pos").agg(F.min("revision").alias("wrong"))
     ends = F.broadcast(gap.join(F.broadcast(wrong)))  # one row
-    before = F.least(F.coalesce("gap", F.lit(1 << 62)), F.coalesce("wrong", F.lit(1 << 62)))
-    applied = judged.join(ends).where(F.col("revision") < before)
+    end = F.least(F.coalesce("gap", F.lit(1 << 62)), F.coalesce("wrong", F.lit(1 << 62)))
+    applied = judged.join(ends).where(F.col("revision") < end)
     last = lambda c: F.max_by(c, "revision")
     return applied.groupBy("name").agg(
         last("status").alias("status"), F.min_by("at", "revision").alias("first_observed_at"), last("at").alias("updated_at"), last("reason").alias("reason")
