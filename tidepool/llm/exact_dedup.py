@@ -330,7 +330,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = kept.groupBy("digest").agg(F.min("mark").alias("mark"), F.max("id").alias("id"), F.count("*").alias("n"))
     beside = kept.join(stays, ["digest", "mark"], "left_anti")
     named = (F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"))
-    gone = found.where("not kept").unionByName(beside).select(*named)
+    # as a table, whose size the planner knows: a small one is sent to the rows, which then stay in place
+    gone = materialize(found.where("not kept").unionByName(beside).select(*named), "lsm-gone")
     mark = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
 
     def join(marks: DataFrame, how: str) -> DataFrame:

@@ -285,7 +285,7 @@ COUNTERS = 1 << 20
 #: Counters that are sent at once.
 SLICE = 1 << 14
 #: Rounds that ask for one row before all remaining pairs are checked.
-ROUNDS = 1
+ROUNDS = 2
 #: Rows that a tree may be made of; the rows of a larger shard are dealt over several trees.
 TREE = 2048
 #: Bits of the fingerprint that trees are made of, and of the longer one that is compared next.
