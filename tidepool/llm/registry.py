@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepool.llm import bpe, exact_dedup, langid, packing, ppm, quality, rules, secrets, simhash, substrings
+from tidepool.llm import bpe, exact_dedup, infill, langid, packing, ppm, quality, rules, secrets, simhash, substrings
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
+    "op11_infill": infill.op11_infill,
 }
 ORACLES = {
     "op8_substrings": substrings.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_infill": infill.OP11_SQL,
 }
