@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepool.llm import bpe, exact_dedup, infill, langid, packing, ppm, quality, rules, secrets, simhash, substrings, votes
+from tidepool.llm import bpe, exact_dedup, infill, langid, packing, ppm, quality, rules, secrets, simhash, spelling, substrings, votes
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
     "op11_infill": infill.op11_infill,
+    "op12_spelling": spelling.op12_spelling,
     "op13_fingerprints": votes.op13_fingerprints,
 }
 ORACLES = {
