@@ -92,8 +92,11 @@ def test_runs_follow_the_rules(spark):
     outcomes, states = naive_runs(rows)
     assert {r.seq: r.outcome for r in changes.where("outcome is not null").collect()} == outcomes
     assert states_of(changes) == states
-    assert {"began", "renewed", "resumed", "capacity-full", "source-tab-active", "run-conflict", "run-terminal", "unattached", "observed"} <= set(outcomes.values())
+    assert {"began", "renewed", "resumed", "source-tab-active", "run-conflict", "run-terminal", "unattached", "observed"} <= set(outcomes.values())
     assert sequences.run_changes(spark.createDataFrame([], sequences.MESSAGE)).count() == 0
+    five = [(0, k, k, "begin", f"r{k}", "l", k, 0, None) for k in range(5)] + [(0, 5, 100_000, "begin", "r4", "l", 4, 0, None)]
+    got = sequences.run_changes(spark.createDataFrame(five, sequences.MESSAGE))
+    assert [r.outcome for r in got.where("outcome is not null").orderBy("seq").collect()] == ["began"] * 4 + ["capacity-full", "began"]
 
 
 def run_stream(spark, rows, schema, parts, make, tmp_path, name, split, until=None):
