@@ -96,7 +96,8 @@ def test_generations(spark, tmp_path):
     assert seg.restore(spark, root)["t"].count() == 6
     with pytest.raises(seg.Stale):
         seg.publish({"t": spark.range(1)}, root, "x", None)
-    assert len(seg.prune(spark, root)) == 2 and seg.restore(spark, root)["t"].count() == 6
+    assert seg.prune(spark, root) == []  # all are younger than a day
+    assert len(seg.prune(spark, root, age_ms=-60_000)) == 2 and seg.restore(spark, root)["t"].count() == 6
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -14,10 +14,16 @@ def unit_key() -> Column:
 
 
 def members(projected: DataFrame) -> DataFrame:
-    """id, unit_id, captured_at: the unit of each post by its latest copy; of equally late
+    """id, unit_id, captured_at, replay_pos: the unit of each post by its latest copy; of equally late
     ones by the last that arrived. Map-side combinable, so hot posts don't travel."""
-    latest = F.max_by(unit_key(), F.struct("captured_at", "replay_pos"))
-    return projected.groupBy("id").agg(latest.alias("unit_id"), F.max("captured_at").alias("captured_at"))
+    return latest_unit(projected.withColumn("unit_id", unit_key()))
+
+
+def latest_unit(rows: DataFrame) -> DataFrame:
+    """members() of rows that name a unit each (id, unit_id, captured_at, replay_pos)."""
+    order = F.struct("captured_at", "replay_pos")
+    last = rows.groupBy("id").agg(F.max_by("unit_id", order).alias("unit_id"), F.max(order).alias("last"))
+    return last.select("id", "unit_id", "last.captured_at", "last.replay_pos")
 
 
 def flags(rows: DataFrame, authors: list[str] | None = None) -> DataFrame:

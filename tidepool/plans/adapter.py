@@ -32,12 +32,12 @@ def _iso(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def captures(spark: SparkSession, d: str) -> DataFrame:
+def captures(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
     """One capture per event; replay_pos orders them as they arrived. Posts share all documents:
     the text of a post is that of the document of its number modulo their count."""
     pid = F.col("pid")
     n = table(spark, d, "documents").agg(F.greatest(F.count("*"), F.lit(1)).alias("n_docs"))
-    e = table(spark, d, "events").withColumn("pid", _pid()).join(F.broadcast(n))  # one row
+    e = (table(spark, d, "events") if events is None else events).withColumn("pid", _pid()).join(F.broadcast(n))  # one row
     group = F.floor(pid / 3) % 50
     created = F.when(
         pid % 5 != 0, F.concat(F.lit("2024-01-"), F.lpad((1 + pid % 28).cast("string"), 2, "0"), F.lit("T00:00:00.000Z"))
@@ -101,9 +101,10 @@ def _unit_docs(spark: SparkSession, d: str, done: dict) -> DataFrame:
     return done["member_rows"].select("unit_id", "id", "doc_id").distinct()
 
 
-def words_of(spark: SparkSession, d: str, pattern: str) -> DataFrame:
-    """doc_id, name: the distinct words of each document that a pattern finds."""
-    return texts(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("name"))
+def words_of(spark: SparkSession, d: str, pattern: str, of: DataFrame | None = None) -> DataFrame:
+    """doc_id, name: the distinct words of each document that a pattern finds; of those in `of` alone."""
+    docs = texts(spark, d) if of is None else texts(spark, d).join(of.select("doc_id").distinct(), "doc_id", "left_semi")
+    return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("name"))
 
 
 def first_names(said: DataFrame, most: int = 5) -> DataFrame:
@@ -114,7 +115,8 @@ def first_names(said: DataFrame, most: int = 5) -> DataFrame:
 
 def _free_labels(spark: SparkSession, d: str, done: dict) -> DataFrame:
     units = done["unit_docs"].select("unit_id", "doc_id").distinct()
-    return first_names(units.join(words_of(spark, d, "[a-z]{9,12}"), "doc_id").select("unit_id", "name").distinct())
+    words = words_of(spark, d, "[a-z]{9,12}", units if done.get("some") else None)
+    return first_names(units.join(words, "doc_id").select("unit_id", "name").distinct())
 
 
 def _registry(spark: SparkSession, d: str, done: dict) -> DataFrame:
@@ -152,14 +154,14 @@ def _evidence(spark: SparkSession, d: str, done: dict) -> DataFrame:
 
 
 def _attempts(spark: SparkSession, d: str, done: dict) -> DataFrame:
-    """unit_id, seq, attempt, outcome, error_class, at, matches, cost_usd: attempts of units."""
-    e = table(spark, d, "events").where("event_type = 'error'").withColumn("pid", _pid())
+    """unit_id, id, seq, attempt, outcome, error_class, at, matches, cost_usd: attempts of units."""
+    e = done.get("events", table(spark, d, "events")).where("event_type = 'error'").withColumn("pid", _pid())
     own = done["members"].select(F.col("id"), "unit_id")
     k = F.col("event_id")
     outcome = F.when(k % 7 == 0, "dispatched").when(k % 11 == 0, "blocked").when(k % 5 == 0, "success").otherwise("transient_failure")
     error = F.when(k % 3 == 0, "timeout").when(k % 3 == 1, "rate_limit").otherwise("other")
     return e.join(own, e["pid"].cast("string") == own["id"]).select(
-        "unit_id", F.col("event_id").alias("seq"), (1 + F.floor(k / 3) % 6).cast("int").alias("attempt"), outcome.alias("outcome"),
+        "unit_id", "id", F.col("event_id").alias("seq"), (1 + F.floor(k / 3) % 6).cast("int").alias("attempt"), outcome.alias("outcome"),
         error.alias("error_class"), _iso("ts").alias("at"), (k % 13 != 0).alias("matches"), F.col("value").alias("cost_usd"),
     )
 

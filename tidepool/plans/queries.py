@@ -113,7 +113,7 @@ def unit_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("unit_members", "SELECT id, unit_id, captured_at FROM mem")
 def unit_members(spark: SparkSession, d: str) -> DataFrame:
-    return ad.members(spark, d)
+    return ad.members(spark, d).select("id", "unit_id", "captured_at")
 
 
 @query("unit_activity", "SELECT unit_id, max(captured_at) AS activity FROM mr GROUP BY unit_id")

@@ -4,6 +4,7 @@ generations of the state that they fold to."""
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from datetime import datetime, timedelta, timezone
 
@@ -216,15 +217,22 @@ def restore(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return out
 
 
-def prune(spark: SparkSession, root: str, keep: int = 4) -> list[str]:
-    """Delete generations but those of the newest `keep` manifests; their names."""
+DAY_MS = 24 * 60 * 60 * 1000
+
+
+def prune(spark: SparkSession, root: str, keep: int = 4, age_ms: int = DAY_MS) -> list[str]:
+    """Delete generations but those of the newest `keep` manifests, with the layers that they are made
+    of, and those that were written within age_ms, which another session may be about to publish;
+    their names."""
     fs, p = _fs(spark, f"{root}/manifests")
     numbers = sorted(int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
     held = set()
     for n in numbers[-keep:]:
-        held.add(json.loads("\n".join(r[0] for r in spark.read.text(f"{root}/manifests/{n:012d}.json").collect()))["generation"])
+        made = json.loads("\n".join(r[0] for r in spark.read.text(f"{root}/manifests/{n:012d}.json").collect()))
+        held |= {made["generation"], *made.get("layers", [])}
     fs, p = _fs(spark, f"{root}/generations")
-    gone = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName() not in held]
+    before = time.time() * 1000 - age_ms
+    gone = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName() not in held and s.getModificationTime() <= before]
     for g in gone:
         fs.delete(g, True)
     return [g.getName() for g in gone]
