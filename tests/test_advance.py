@@ -60,9 +60,15 @@ def test_new_files_are_folded_in(spark, inputs):
     packed = advance.layered(spark, root, advance.compact(spark, root, segments.manifest(spark, root), {}))
     for name in adapter.FOLDS:
         assert rows(packed[name]) == rows(third[name])
-    shutil.copy(f"{DIR}/labels.parquet", f"{d}/labels.parquet")  # another time: all is folded anew
-    generation.tables(spark, d)
-    assert not segments.manifest(spark, root).get("layers")
+
+
+def test_only_new_event_files_are_an_advance():
+    old = {"events": {"/0": [1, 1]}, "documents": {"": [5, 5]}, "labels": {"": [6, 6]}}
+    more = {"/0": [1, 1], "/1": [2, 2], "/2": [3, 3]}
+    assert generation.added(old, old | {"events": more}) == ["/1", "/2"]
+    assert generation.added(old, old | {"events": more, "labels": {"": [6, 7]}}) is None  # another file
+    assert generation.added(old, old | {"events": {"/0": [1, 2], "/1": [2, 2]}}) is None  # rewritten
+    assert generation.added(old, old | {"events": {"/1": [2, 2]}}) is None  # removed
 
 
 def test_posts_that_move_and_ties(spark, tmp_path, monkeypatch):

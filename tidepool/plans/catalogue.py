@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.plans import fact_queries, more_queries, queries, scalar_queries, sequence_queries
+from tidepool.plans import fact_queries, more_queries, queries, scalar_queries, sequence_queries, store_queries
 from tidepool.shipping import ensure_importable
 
 
@@ -17,5 +17,5 @@ def _shipped(run):
     return query
 
 
-QUERIES = {name: _shipped(run) for name, run in (queries.QUERIES | scalar_queries.QUERIES | more_queries.QUERIES | fact_queries.QUERIES | sequence_queries.QUERIES).items()}
-ORACLES = queries.ORACLES | scalar_queries.ORACLES | more_queries.ORACLES | fact_queries.ORACLES | sequence_queries.ORACLES
+QUERIES = {name: _shipped(run) for name, run in (queries.QUERIES | scalar_queries.QUERIES | more_queries.QUERIES | fact_queries.QUERIES | sequence_queries.QUERIES | store_queries.QUERIES).items()}
+ORACLES = queries.ORACLES | scalar_queries.ORACLES | more_queries.ORACLES | fact_queries.ORACLES | sequence_queries.ORACLES | store_queries.ORACLES
