@@ -170,3 +170,46 @@ def test_query(spark, odd, empty, tmp_path):
     assert sorted(map(str, secrets.scan_secrets(wide).collect())) == sorted(map(str, secrets.scan_secrets(odd).collect()))
     again = secrets.redact(odd)
     assert again.columns == odd.columns and again.count() == odd.count()
+
+
+def test_payloads_in_payloads(monkeypatch):
+    secret = "password=hunter2hunter2"
+    for depth in (2, 1200):
+        data = secret.encode()
+        for _ in range(depth):
+            data = gzip.compress(data, 1, mtime=0)
+        text = f"see {b64(data)} end"
+        _, spans, layers, refused = secrets.scan(text)
+        assert [(k, text[a:b]) for a, k, b in spans] == [(0, text[4:-4])] and not refused and layers == 2
+    monkeypatch.setattr(secrets, "BLOCK", 1 << 20)
+    prose = b"".join(hashlib.sha256(b"%d" % i).hexdigest()[:12].upper().encode() + b" .\n" for i in range(180_000))
+    for inner in PACKERS.values():
+        packed = inner(prose + secret.encode() + b"\n" + prose)
+        assert len(packed) > (1 << 20) + secrets.OVERLAP
+        for outer in PACKERS.values():
+            work, texts = [secrets._unpacked(secrets.Packed(outer(packed), (3, 9), 1), secrets.Budget())], []
+            while work:
+                x = next(work[-1], None)
+                if x is None:
+                    work.pop()
+                elif isinstance(x, secrets.Packed):
+                    work.append(secrets._unpacked(x, secrets.Budget()))
+                else:
+                    texts.append(x.text)
+            assert sum(secret in t for t in texts) >= 1 and len(texts) > 3 and max(map(len, texts)) <= (1 << 20) + secrets.OVERLAP
+
+
+def test_a_payload_that_holds_itself_ends(monkeypatch):
+    data = gzip.compress(b"x" * 100, mtime=0)
+    whole = secrets._unpacked
+    monkeypatch.setattr(secrets, "_unpacked", lambda p, budget: iter([secrets.Packed(p.data, p.place, p.depth + 1)]) if p.data == data else whole(p, budget))
+    assert secrets.scan(b64(data))[1] == []
+
+
+def test_long_double_encoding_takes_seconds():
+    import time
+
+    prose = urllib.parse.quote("".join(f"line {i}: ünïcode & more\n" for i in range(20_000)) + "token: abcdefgh1234\n")
+    began = time.time()
+    _, spans, _, _ = secrets.scan(b64(prose.encode()))
+    assert len(spans) == 1 and time.time() - began < 60

@@ -2,16 +2,17 @@
 
 A text is the first layer. A layer is scanned with the base patterns; then its URL escapes,
 Unicode escapes, base64 runs and compressed payloads are unwrapped, and every layer that this
-makes joins the worklist, until none is new. A layer's digest, with its place, tells whether
-it was seen, so that cycles and commuting decoders end. Every layer carries a map of its
+makes joins the worklist, compressed payloads included, until none is new. A layer's digest, with
+its place, tells whether it was seen, so that cycles and commuting decoders end. Every layer carries a map of its
 characters to those of the text, so that what is found in it has a span there.
 
 Positions are code points, ends exclusive. Null text counts as empty and has no spans. Whole
 texts are scanned, however long. A compressed payload is unpacked member by member and frame by
-frame; what is larger than BLOCK bytes is scanned in blocks that overlap by OVERLAP, so no
-payload is too large to be scanned. Payloads may be nested without end and grow a thousandfold
-each time, so a document that has unpacked to MAX_UNPACKED bytes is not unpacked further; n_refused
-counts the payloads that this leaves, so that none goes unreported. Spans that start alike are
+frame. What it holds is scanned as one text, or, if it is larger than BLOCK bytes, in blocks that
+overlap by OVERLAP, of which one at a time is held; a payload within a payload is unpacked from its
+parts, so only the innermost content is cut into blocks, at any depth. Payloads may grow a
+thousandfold with each layer, so a document that has unpacked to MAX_UNPACKED bytes is not unpacked
+further: the one bound, and n_refused counts the payloads that it leaves. Spans that start alike are
 listed by kind, then by end. Repeated rows are scanned each for itself; empty tables give empty
 results; extra columns, whatever their names, are unread.
 """
@@ -19,9 +20,9 @@ results; extra columns, whatever their names, are unread.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -97,18 +98,22 @@ class Layer:
 
 def _replaced(layer: Layer, edits: list[tuple[int, int, str]]) -> Layer:
     """The layer with spans of it replaced by decoded text."""
-    out, pieces, at, own = [], [], 0, 0
+    out, pieces, at, own, first = [], [], 0, 0, 0
 
-    def keep(a: int, b: int) -> None:
-        nonlocal own
+    def keep(a: int, b: int) -> None:  # spans come in order, so pieces before `first` are done with
+        nonlocal own, first
         if a < b:
             out.append(layer.text[a:b])
-            for x, y, rx, ry, step in layer.pieces:
-                lo, hi = max(a, x), min(b, y)
-                if lo < hi:
-                    r = (rx + (lo - x) * step, rx + (hi - x) * step) if step else (rx, ry)
-                    pieces.append((own, own + hi - lo, *r, step))
-                    own += hi - lo
+            while layer.pieces[first][1] <= a:
+                first += 1
+            for k in range(first, len(layer.pieces)):
+                x, y, rx, ry, step = layer.pieces[k]
+                if x >= b:
+                    break
+                lo, hi, first = max(a, x), min(b, y), k
+                r = (rx + (lo - x) * step, rx + (hi - x) * step) if step else (rx, ry)
+                pieces.append((own, own + hi - lo, *r, step))
+                own += hi - lo
 
     for a, b, text in edits:
         keep(at, a)
@@ -128,88 +133,136 @@ class Budget:
         self.left, self.refused = MAX_UNPACKED if left is None else left, 0
 
 
-def _stream(data: bytes) -> Iterator[bytes]:
-    """The content of all members or frames of a compressed payload, in parts of BLOCK bytes at
+class Packed:
+    """A compressed payload, as bytes or in parts, and the span of the text that it comes from."""
+
+    def __init__(self, data: bytes | Iterator[bytes], place: tuple[int, int], depth: int):
+        self.data, self.place, self.depth = data, place, depth
+
+
+class _Reader:
+    """What a decompressor that wants a file reads from."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.held = parts, b""
+
+    def read(self, size: int) -> bytes:
+        if not self.held:
+            self.held = next(self.parts, b"")
+        out, self.held = self.held[:size], self.held[size:]
+        return out
+
+
+def _stream(parts: Iterator[bytes], size: int) -> Iterator[bytes]:
+    """The content of all members or frames of a compressed payload, in parts of `size` bytes at
     most. Ends where the data end, or are not such a payload (any more)."""
-    while data:
+    data = b""
+    while True:
+        while len(data) < 6 and (more := next(parts, b"")):
+            data += more
         if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
             d = zlib.decompressobj(47)
-            yield d.decompress(data, BLOCK)
-            while not d.eof and d.unconsumed_tail:
-                yield d.decompress(d.unconsumed_tail, BLOCK)
+            while not d.eof:
+                data = data or next(parts, b"")
+                out = d.decompress(data, size)
+                ended, data = not data and not out, d.unconsumed_tail
+                yield out
+                if ended:
+                    break
         elif data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\x00":
             d = bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
-            yield d.decompress(data, BLOCK)
-            while not d.eof and not d.needs_input:
-                yield d.decompress(b"", BLOCK)
+            while not d.eof:
+                if d.needs_input and not (data := data or next(parts, b"")):
+                    break
+                out = d.decompress(data, size)
+                data = b""
+                yield out
         elif data[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
-                while part := reader.read(BLOCK):
+            with zstandard.ZstdDecompressor().stream_reader(_Reader(itertools.chain([data], parts)), read_across_frames=True) as reader:
+                while part := reader.read(size):
                     yield part
             return
         else:
             return
-        data = d.unused_data if d.eof else b""
+        if not d.eof:
+            return
+        data = d.unused_data + data
 
 
-def _blocks(data: bytes, budget: Budget) -> list[bytes] | None:
-    """The content of a compressed payload as overlapping blocks; None if it is none. A payload
-    that breaks off gives what can be read of it."""
-    if budget.left <= 0:
-        budget.refused += 1
-        return []
-    out, held = [], b""
+def _safe(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """parts, up to the first that is broken."""
+    import zstandard
+
     try:
-        for part in _stream(data):
-            held += part
+        yield from parts
+    except (zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError, EOFError, ValueError):
+        return
+
+
+def _opens(data: bytes) -> bool:
+    """Whether bytes are a compressed payload, at least at their beginning."""
+    return data.startswith(_MAGIC) and any(_safe(_stream(iter([data]), 1 << 12)))
+
+
+def _unpacked(packed: Packed, budget: Budget) -> Iterator["Layer | Packed"]:
+    """What a payload holds: a payload again, or texts: one, or overlapping blocks, each made when it is
+    asked for, so that one at a time is held. A payload that breaks off gives what can be read of it."""
+
+    def counted() -> Iterator[bytes]:
+        if budget.left <= 0:
+            budget.refused += 1
+            return
+        for part in _safe(_stream(iter([packed.data]) if isinstance(packed.data, bytes) else packed.data, BLOCK)):
+            yield part
             budget.left -= len(part)
-            while len(held) > BLOCK + OVERLAP:
-                out.append(held[: BLOCK + OVERLAP])
-                held = held[BLOCK:]
             if budget.left <= 0:
                 budget.refused += 1
-                break
-    except Exception:  # noqa: BLE001  not a payload of that format (any more)
-        pass
-    if held:
-        out.append(held)
-    return out or None
-
-
-def _texts(data: bytes, budget: Budget) -> list[str]:
-    """Decoded bytes as texts, unpacked if they are compressed; none if they are neither."""
-    if data.startswith(_MAGIC):
-        blocks = _blocks(data, budget)
-        if blocks is not None:
-            out = []
-            for block in blocks:
-                if block.startswith(_MAGIC) and (inner := _texts(block, budget)):
-                    out += inner
-                    continue
-                try:
-                    out.append(block.decode())
-                except UnicodeDecodeError:
-                    out.append(block.decode("latin-1"))
-            return out
+                return
+
+    def layer(block: bytes) -> Layer:
+        try:
+            text = block.decode()
+        except UnicodeDecodeError:
+            text = block.decode("latin-1")
+        return Layer(text, [(0, len(text), *packed.place, 0)], packed.depth)
+
+    parts, held = counted(), b""
+    while len(held) <= BLOCK + OVERLAP and (part := next(parts, None)) is not None:
+        held += part
+    if _opens(held):
+        whole = len(held) <= BLOCK + OVERLAP
+        yield Packed(held if whole else itertools.chain([held], parts), packed.place, packed.depth + 1)
+        return
+    while held:
+        yield layer(held[: BLOCK + OVERLAP])
+        if len(held) <= BLOCK + OVERLAP:
+            return
+        held = held[BLOCK:]
+        while len(held) <= BLOCK + OVERLAP and (part := next(parts, None)) is not None:
+            held += part
+
+
+def _text(data: bytes) -> str:
+    """Decoded bytes as a text; empty if they are none."""
     if data.isascii():
-        return [data.decode()] if not data.translate(None, _PRINTS) else []
+        return "" if data.translate(None, _PRINTS) else data.decode()
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return []
-    return [text] if all(c.isprintable() or c in "\t\r\n" for c in text) else []
+        return ""
+    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else ""
 
 
-def _url(layer: Layer, budget: Budget) -> list[Layer]:
+def _url(layer: Layer) -> Iterator[Layer | Packed]:
     if "%" not in layer.text:
-        return []
-    edits, extra = [], []
+        return
+    edits = []
     for m in PERCENT.finditer(layer.text):
         data = bytes.fromhex(m[0].replace("%", ""))
-        if data.startswith(_MAGIC) and (texts := _texts(data, budget)):
-            extra += [Layer(t, [(0, len(t), *layer.root(*m.span()), 0)], layer.depth + 1) for t in texts]
+        if _opens(data):
+            yield Packed(data, layer.root(*m.span()), layer.depth + 1)
             continue
         try:
             text = data.decode()
@@ -220,7 +273,8 @@ def _url(layer: Layer, budget: Budget) -> list[Layer]:
             n = 3 * len(c.encode())
             edits.append((at, at + n, c))
             at += n
-    return ([_replaced(layer, edits)] if edits else []) + extra
+    if edits:
+        yield _replaced(layer, edits)
 
 
 def _unicode(layer: Layer) -> list[Layer]:
@@ -253,18 +307,17 @@ def _quarters(layer: Layer, text: str, start: int, end: int) -> Layer:
     return Layer(text, pieces, layer.depth + 1)
 
 
-def _base64(layer: Layer, budget: Budget) -> list[Layer]:
+def _base64(layer: Layer) -> Iterator[Layer | Packed]:
     """Layers of base64 runs. A payload may be glued to what stands before it, so each of the four
     alignments of a run is decoded once: as a text if all of it is one, else as bytes if a secret
     fits into what is printable, and from every mark of a compressed payload."""
-    out = []
     if "\n" in layer.text:
         edits = [
             (m.start() + e.start(), m.start() + e.end(), "")
             for m in WRAPPED.finditer(layer.text) for e in _LINE_END.finditer(m[0])
         ]
         if edits:
-            out.append(_replaced(layer, edits))
+            yield _replaced(layer, edits)
     for m in BASE64.finditer(layer.text):
         run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         for shift in range(4):
@@ -273,39 +326,54 @@ def _base64(layer: Layer, budget: Budget) -> list[Layer]:
                 part = part[:-1]
             start, end = m.start() + shift, m.start() + shift + len(part)
             data = base64.b64decode(part + "=" * (-len(part) % 4))
-            texts = [] if data.startswith(_MAGIC) else _texts(data, budget)
-            if texts and len(texts[0]) >= 4:
-                if texts[0].isascii():
-                    out.append(_quarters(layer, texts[0], start, end))
+            text = "" if data.startswith(_MAGIC) else _text(data)
+            if len(text) >= 4:
+                if text.isascii():
+                    yield _quarters(layer, text, start, end)
                 else:
-                    out.append(Layer(texts[0], [(0, len(texts[0]), *layer.root(start, end), 0)], layer.depth + 1))
+                    yield Layer(text, [(0, len(text), *layer.root(start, end), 0)], layer.depth + 1)
                 continue
             for at in (x.start() for x in _MAGIC_AT.finditer(data)):
-                if at % 3 == 0 and (texts := _texts(data[at:], budget)):
-                    place = layer.root(start + at // 3 * 4, end)
-                    out += [Layer(t, [(0, len(t), *place, 0)], layer.depth + 1) for t in texts]
+                if at % 3 == 0 and _opens(data[at:]):
+                    yield Packed(data[at:], layer.root(start + at // 3 * 4, end), layer.depth + 1)
                     break  # its further members are read with it
             if _PRINTED.search(data):
-                out.append(_quarters(layer, data.decode("latin-1"), start, end))
-    return out
+                yield _quarters(layer, data.decode("latin-1"), start, end)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
     """Base spans, all spans (start, kind, end), layers scanned, payloads refused."""
     base = base_spans(text)
     spans, seen, layers, budget = set(base), set(), 1, Budget()
-    work = [Layer(text, [(0, len(text), 0, len(text), 1)], 0)] if text else []
+
+    def new(x: Layer | Packed) -> bool:
+        """Whether a layer at its place has not been seen; parts of a large payload can't be told."""
+        if isinstance(x, Packed):
+            body, place = x.data, x.place
+            if not isinstance(body, bytes):
+                return True
+        elif not x.text or x.text == text:
+            return False
+        else:
+            body, place = x.text.encode("utf-8", "surrogatepass"), x.root(0, len(x.text))
+        key = (hashlib.sha1(body).digest(), place)
+        return key not in seen and not seen.add(key)
+
+    def within(x: Layer | Packed) -> Iterator[Layer | Packed]:
+        return _unpacked(x, budget) if isinstance(x, Packed) else itertools.chain(_base64(x), _url(x), _unicode(x))
+
+    work = [within(Layer(text, [(0, len(text), 0, len(text), 1)], 0))] if text else []
     while work:
-        layer = work.pop()
-        for x in (*_base64(layer, budget), *_url(layer, budget), *_unicode(layer)):
-            key = (hashlib.sha1(x.text.encode("utf-8", "surrogatepass")).digest(), x.root(0, len(x.text)) if x.text else None)
-            if x.text and x.text != text and key not in seen:
-                seen.add(key)
-                layers += 1
+        x = next(work[-1], None)
+        if x is None:
+            work.pop()
+        elif new(x):
+            layers += isinstance(x, Layer)
+            if isinstance(x, Layer):
                 for start, kind, end in base_spans(x.text):
                     a, b = x.root(start, end)
                     spans.add((a, kind, b))
-                work.append(x)
+            work.append(within(x))
     return base, sorted(spans), layers, budget.refused
 
 
