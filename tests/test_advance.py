@@ -11,6 +11,14 @@ from tidepool.sources import segments
 DIR = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Of tables this small, most of the time would go to empty tasks."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def rows(df):
     return sorted(str(tuple(r)) for r in df.select(sorted(df.columns)).collect())
 

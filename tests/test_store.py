@@ -140,3 +140,35 @@ def test_pseudonyms(spark):
     assert two["in"][0]["user_id"] == [own, int(pseudonyms.of_id("7"))] and two["in"][1]["screen_name"] == one["user"]["screen_name"] != "Ann"
     assert len(two["text"].split()) == 2 and "hello" not in two["text"] and "x.y" not in two["url"] and two["name"] == ""
     assert own in got[2] and got[3] is None and got[4] is None
+
+
+def test_requests_and_cutoffs():
+    from tidepool.plans import pool
+
+    q = pool.FeedQuery.of({"contributors": " a, ,b", "has_media": "true", "is_article": "false", "dedup": "false", "labels": "x,y", "label_mode": "all", "limit": "7", "q": ""})
+    assert (q.contributors, q.has_media, q.is_article, q.dedup, q.labels, q.every_label, q.limit, q.q) == (["a", "b"], True, False, False, ["x", "y"], True, 7, None)
+    plain = pool.FeedQuery.of({})
+    assert (plain.dedup, plain.limit, plain.has_media, plain.unlabeled) == (True, 50, None, False)
+    u = pool.UnitQuery.of({"cutoff": "2024-01-02", "publication": "public-original", "unlabeled": "true"})
+    assert (u.cutoff, u.public_original, u.unlabeled) == ("2024-01-02", True, True)
+    for bad in ({"limit": "many"}, {"limit": "0"}, {"limit": "201"}, {"has_media": "yes"}, {"label_mode": "most"}):
+        with pytest.raises(pool.BadQuery):
+            pool.FeedQuery.of(bad)
+    for bad in ({"publication": "all"}, {"cutoff": ""}):
+        with pytest.raises(pool.BadQuery):
+            pool.UnitQuery.of(bad)
+    p = pool.Pool({}, "r1")
+    assert p.revision_of() == "r1" and p.revision_of("x") == p.revision_of("x") != p.revision_of("y")
+
+
+def test_leases(spark):
+    from tidepool.operators import queue
+
+    rows = [("a", "running", 0, "w1", 50), ("b", "running", 2, "w2", 49), ("c", "running", 1, "w1", None), ("d", "pending", 0, None, None), ("e", "done", 0, None, None)]
+    q = spark.createDataFrame(rows, "unit_id string, status string, attempts int, lease_owner string, lease_expires long").withColumns({"activity": F.col("unit_id"), "first_queued_at": F.col("unit_id")})
+    seen = lambda df: {r.unit_id: (r.status, r.lease_owner, r.lease_expires) for r in df.collect()}
+    over = queue.recovered(q, 50)
+    assert seen(over) == {"a": ("running", "w1", 50), "b": ("retrying", None, None), "c": ("running", "w1", None), "d": ("pending", None, None), "e": ("done", None, None)}
+    assert {k: v for k, v in seen(queue.leased(over, 5, "w3", 50, 10)).items() if v[1] == "w3"} == {"b": ("running", "w3", 60), "d": ("running", "w3", 60)}
+    assert seen(queue.handed_back(q, "w1"))["a"] == ("pending", None, None) and seen(queue.handed_back(q, "w1"))["b"][0] == "running"
+    assert seen(queue.handed_back(q, None, ["b", "e"])) == seen(q) | {"b": ("retrying", None, None)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RELATED_LIMIT = 50
@@ -101,6 +102,14 @@ def signals(assignments: DataFrame, evidence: DataFrame, posts: DataFrame) -> Da
     return counts.join(seen, "name", "left").withColumn("surfaces", F.coalesce("surfaces", F.lit(False)))
 
 
+def quotes(evidence: DataFrame, names: DataFrame, most: int) -> DataFrame:
+    """name, unit_id, post_id, quote, n: the first `most` quotes of each free label of `names`, by unit, post
+    and quote. Each task keeps as many of a name before rows travel, so no name gathers all of its own."""
+    own = evidence.where("kind = 'free'").join(names.select("name"), "name", "left_semi")
+    n = F.row_number().over(W.partitionBy("name").orderBy("unit_id", "post_id", "quote"))
+    return own.withColumn("n", n).where(F.col("n") <= most).select("name", "unit_id", "post_id", "quote", "n")
+
+
 def age_days(now, first_observed_at):
     """Days, with their parts, since a name was first seen; never less than 0."""
     milliseconds = lambda c: F.unix_millis(c.cast("timestamp"))

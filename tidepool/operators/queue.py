@@ -118,6 +118,35 @@ def released(queue: DataFrame, which: Column) -> DataFrame:
     return queue.where("status = 'running'").where(which).select("unit_id", "attempts", status.alias("status"))
 
 
+def recovered(queue: DataFrame, now_ms: int) -> DataFrame:
+    """A queue (with lease_owner, lease_expires in ms) whose running units wait again where their lease
+    ended before now; a unit that runs without a lease stays."""
+    over = F.coalesce((F.col("status") == "running") & (F.col("lease_expires") < now_ms), F.lit(False))
+    waits = F.when(F.col("attempts") > 0, "retrying").otherwise("pending")
+    keep = lambda c: F.when(~over, F.col(c)).alias(c)
+    return queue.withColumns({"status": F.when(over, waits).otherwise(F.col("status")), "lease_owner": keep("lease_owner"), "lease_expires": keep("lease_expires")})
+
+
+def leased(queue: DataFrame, size: int, worker: str, now_ms: int, lease_ms: int) -> DataFrame:
+    """A queue in which a worker runs the units of a fair page, each until its lease ends."""
+    page = claim(queue, size).select(F.col("unit_id").alias("__claimed"))
+    met = queue.join(F.broadcast(page), F.col("unit_id") == F.col("__claimed"), "left")  # a page
+    now = lambda c, value: F.when(F.col("__claimed").isNotNull(), F.lit(value)).otherwise(F.col(c))
+    return met.withColumns({"status": now("status", "running"), "lease_owner": now("lease_owner", worker), "lease_expires": now("lease_expires", now_ms + lease_ms)}).drop("__claimed")
+
+
+def handed_back(queue: DataFrame, worker: str | None = None, units: list[str] | None = None) -> DataFrame:
+    """A queue whose running units, of a worker or of a list if these are given, wait again."""
+    which = F.col("status") == "running"
+    if worker is not None:
+        which &= F.coalesce(F.col("lease_owner") == worker, F.lit(False))
+    if units:
+        which &= F.col("unit_id").isin(units)
+    waits = F.when(F.col("attempts") > 0, "retrying").otherwise("pending")
+    gone = lambda c: F.when(~which, F.col(c))
+    return queue.withColumns({"status": F.when(which, waits).otherwise(F.col("status")), "lease_owner": gone("lease_owner"), "lease_expires": gone("lease_expires")})
+
+
 def receipt_rates(receipts: DataFrame) -> DataFrame:
     """Receipts with error_rate (of units and failures together) and discarded_per_unit; 0 of none."""
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))

@@ -133,17 +133,16 @@ def hub_references(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "linkify",
     r"""SELECT page_id, md5(string_agg(CASE WHEN p LIKE 'http%' THEN '<a href="' || e || '" target="_blank" rel="noopener noreferrer">' || e || '</a>'
+        WHEN p LIKE '#%' AND length(p) > 1 THEN '<a href="https://x.com/hashtag/' || url_encode(substr(p, 2)) || '" target="_blank" rel="noopener noreferrer">' || e || '</a>'
         WHEN p LIKE '@%' AND length(p) > 1 AND m THEN '<a href="https://x.com/' || substr(p, 2) || '" target="_blank" rel="noopener noreferrer">' || e || '</a>'
         ELSE e END, '' ORDER BY i)) AS digest
       FROM (SELECT page_id, i, p, regexp_full_match(p, '@[A-Za-z0-9_]{1,15}') AS m,
               replace(replace(replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS e
             FROM (SELECT page_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS i
-                  FROM (SELECT page_id, regexp_extract_all(t, '(?:https?://[^\s]+)|(?:@[A-Za-z0-9_]{1,15})|(?s:.)') AS parts
-                        FROM (SELECT page_id, replace(left(html, 400), '#', '') AS t FROM pages)))) GROUP BY page_id""",
+                  FROM (SELECT page_id, regexp_extract_all(html, '(?:https?://[^\s]+)|(?:@[A-Za-z0-9_]{1,15})|(?:#[\p{L}0-9_]+)|(?s:.)') AS parts FROM pages))) GROUP BY page_id""",
 )
 def linkify(spark: SparkSession, d: str) -> DataFrame:
-    shown = F.replace(F.substring("html", 1, 400), F.lit("#"), F.lit(""))
-    return ad.table(spark, d, "pages").select("page_id", F.md5(tx.linkified(shown)).alias("digest"))
+    return ad.table(spark, d, "pages").select("page_id", F.md5(tx.linkified(F.col("html"))).alias("digest"))
 
 
 # ---- ingest -----------------------------------------------------------------------------------

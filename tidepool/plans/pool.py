@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,33 @@ class FeedQuery:
         if not 1 <= self.limit <= MAX_PAGE:
             raise BadQuery(f"limit must be 1 to {MAX_PAGE}")
 
+    @classmethod
+    def of(cls, parameters: dict[str, str]) -> FeedQuery:
+        """From the strings of a request: lists by commas, true or false, a number. A value that is none of
+        these is BadQuery; parameters that this query does not have are left out."""
+        get = lambda name: parameters.get(name) or None
+
+        def flag(name: str) -> bool | None:
+            if (value := parameters.get(name)) not in (None, "true", "false"):
+                raise BadQuery(name)
+            return None if value is None else value == "true"
+
+        if (limit := parameters.get("limit", "50")).strip().lstrip("+-").isdigit() is False:
+            raise BadQuery("limit")
+        if parameters.get("label_mode", "any") not in ("any", "all"):
+            raise BadQuery("label_mode")
+        found = {
+            "contributors": csv(get("contributors")), "author": get("author"), "author_ids": csv(get("author_ids")), "q": get("q"), "since": get("since"),
+            "until": get("until"), "has_media": flag("has_media"), "is_article": flag("is_article"), "labels": csv(get("labels")),
+            "every_label": parameters.get("label_mode") == "all", "unlabeled": bool(flag("unlabeled")), "free_label": get("free_label"),
+            "dedup": flag("dedup") is not False, "limit": int(limit), "cursor": get("cursor"),
+        }
+        return cls(**found, **cls._more(parameters))
+
+    @staticmethod
+    def _more(parameters: dict[str, str]) -> dict:
+        return {}
+
 
 @dataclass
 class UnitQuery(FeedQuery):
@@ -65,6 +93,13 @@ class UnitQuery(FeedQuery):
     cutoff: str | None = None
     public_original: bool = False
 
+    @staticmethod
+    def _more(parameters: dict[str, str]) -> dict:
+        publication = parameters.get("publication")
+        if publication not in (None, "public-original") or parameters.get("cutoff") == "":
+            raise BadQuery("publication or cutoff")
+        return {"cutoff": parameters.get("cutoff"), "public_original": publication is not None}
+
 
 @dataclass
 class Selection:
@@ -162,7 +197,7 @@ class Pool:
     # -- units
 
     def units(self, q: UnitQuery) -> DataFrame:
-        """A page of units with their posts, and one more. A cursor is of one generation."""
+        """A page of units with their posts, and one more. A cursor is of one generation and one cutoff."""
         members = self.t["captures"].join(self.t["members"].select("id", "unit_id"), "id")
         kept = uni.flags(members, q.author_ids or None)
         some = UnitQuery(**{**q.__dict__, "author_ids": []})
@@ -181,13 +216,17 @@ class Pool:
             found = cap.decode_cursor(q.cursor, 3)
             if found is None:
                 raise BadQuery("cursor")
-            if found[0] != self.revision:
+            if found[0] != self.revision_of(q.cutoff):
                 raise StaleRevision(found[0])
             at = found[1:]
         return uni.hydrate(members, cap.page(kept, uni.UNIT_ORDER, q.limit, at).select(*uni.UNIT_ORDER))
 
-    def unit_cursor(self, row) -> str:
-        return cap.encode_cursor((self.revision, row["sort_ts"], row["unit_id"]))
+    def revision_of(self, cutoff: str | None = None) -> str:
+        """The generation's revision, and with a cutoff its digest: pages of one cutoff belong together."""
+        return self.revision if cutoff is None else f"{self.revision}:{hashlib.sha256(cutoff.encode()).hexdigest()}"
+
+    def unit_cursor(self, row, cutoff: str | None = None) -> str:
+        return cap.encode_cursor((self.revision_of(cutoff), row["sort_ts"], row["unit_id"]))
 
     # -- summaries
 

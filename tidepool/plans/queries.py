@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidepool.functions import paths
 from tidepool.operators import captures as cap
 from tidepool.operators import labels as lab
 from tidepool.operators import queue as que
@@ -437,16 +438,23 @@ DECIDED_SQL = """SELECT name, CASE WHEN age_days >= 30 THEN 'stale-below-thresho
     WHEN units >= 15 AND authors >= 8 AND days >= 2 AND NOT verdict THEN 'constrained-review-rejected'
     ELSE 'reviewed-no-transition' END AS decision FROM (
   SELECT name, units, authors, days, greatest(0, (epoch_ms(timestamp '2024-02-10') - epoch_ms(cast(replace(first_observed_at, 'Z', '') AS timestamp))) / 86400000.0) AS age_days,
-    ord % 3 = 0 AS surfaces, ord % 3 = 1 AND units % 2 = 0 AS hub, CASE WHEN ord % 2 = 0 THEN units % 3 = 0 END AS verdict
-  FROM (SELECT *, ascii(name) AS ord FROM sg JOIN reg USING (name)))"""
+    name IN (SELECT name FROM ev WHERE post_id LIKE '%7' AND contains(regexp_replace(lower(quote), '[^a-z0-9]+', '-', 'g'), name)) AS surfaces,
+    name IN (SELECT name FROM ev WHERE trim(regexp_replace(lower(regexp_extract(quote, 'huggingface.co/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)', 1)), '[^a-z0-9]+', '-', 'g'), '-') = name) AS hub, CASE WHEN ascii(name) % 2 = 0 THEN units % 3 = 0 END AS verdict
+  FROM sg JOIN reg USING (name))"""
 
 
 @query("registry_decisions", DECIDED_SQL, SIGNALS_SQL.format("AND asg.unit_id IN (SELECT unit_id FROM elig)"))
 def registry_decisions(spark: SparkSession, d: str) -> DataFrame:
-    k = F.ascii("name")
-    met = _signals(spark, d, True).drop("surfaces").join(ad.registry(spark, d), "name").select(
-        "name", "units", "authors", "days", lab.age_days(F.lit("2024-02-10T00:00:00.000Z"), F.col("first_observed_at")).alias("age_days"),
-        (k % 3 == 0).alias("surfaces"), ((k % 3 == 1) & (F.col("units") % 2 == 0)).alias("hub"), F.when(k % 2 == 0, F.col("units") % 3 == 0).alias("verdict"),
+    """Whether a name surfaces, and whether a public model is called like it, is what its quotes say: for
+    the first, those of posts that end in 7 are read. The review's verdict, which a model gives, goes by the name."""
+    said = ad.evidence(spark, d)
+    own = ad.assignments(spark, d).join(ad.eligible(spark, d), "unit_id", "left_semi")
+    rows = ad.member_rows(spark, d).select("unit_id", "author_id", F.substring("captured_at", 1, 10).alias("day"))
+    known = lab.signals(own, said.where("post_id like '%7'"), rows)
+    hubs = paths.hub_names(said).select("name", F.lit(True).alias("hub"))
+    met = known.join(ad.registry(spark, d), "name").join(hubs, "name", "left").select(
+        "name", "units", "authors", "days", "surfaces", lab.age_days(F.lit("2024-02-10T00:00:00.000Z"), F.col("first_observed_at")).alias("age_days"),
+        F.coalesce("hub", F.lit(False)).alias("hub"), F.when(F.ascii("name") % 2 == 0, F.col("units") % 3 == 0).alias("verdict"),
     )
     return lab.decisions(met)
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import pseudonyms
 from tidepool.operators import configs, recovery
+from tidepool.operators import labels as lab
+from tidepool.operators import queue as que
 from tidepool.plans import adapter as ad
 from tidepool.sources import archive
 
@@ -256,6 +258,55 @@ def compact_assignments(spark: SparkSession, d: str) -> DataFrame:
     return _compact(spark, d)["assignments"].select("unit_id", "name", "kind")
 
 
+# ---- quotes of candidates, leases -----------------------------------------------------------------------------
+
+QUOTED_SQL = """qt AS (SELECT name, unit_id, post_id, quote, row_number() OVER (PARTITION BY name ORDER BY unit_id, post_id, quote) AS n FROM ev JOIN reg USING (name) WHERE reg.status = 'candidate')"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return ad.registry(spark, d).where("status = 'candidate'")
+
+
+@query("candidate_quotes", "SELECT * FROM qt WHERE n <= 5", views=True, more=QUOTED_SQL)
+def candidate_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Representative quotes of each candidate."""
+    return lab.quotes(ad.evidence(spark, d), _candidates(spark, d), 5)
+
+
+@query("review_evidence", "SELECT name, count(*) AS quotes, max(post_id) AS last FROM qt WHERE n <= 20 GROUP BY name", views=True, more=QUOTED_SQL)
+def review_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How much of a candidate's evidence a review is given."""
+    return lab.quotes(ad.evidence(spark, d), _candidates(spark, d), 20).groupBy("name").agg(F.count("*").alias("quotes"), F.max("post_id").alias("last"))
+
+
+NOW_MS, LEASE_MS, PAGE = 1_706_400_000_000, 900_000, 20
+LEASE_SQL = f"""lq AS (SELECT unit_id, activity, first_queued_at, attempts, status, CASE WHEN status = 'running' THEN 'w' || (least_pid % 3) END AS own,
+  CASE WHEN status = 'running' AND least_pid % 4 <> 0 THEN epoch_ms(cast(replace(activity, 'Z', '') AS timestamp)) + (least_pid % 7) * 21600000 END AS until FROM queue),
+rq AS (SELECT unit_id, activity, first_queued_at, CASE WHEN until < {NOW_MS} THEN CASE WHEN attempts > 0 THEN 'retrying' ELSE 'pending' END ELSE status END AS status,
+  CASE WHEN until IS NULL OR until >= {NOW_MS} THEN own END AS own, CASE WHEN until >= {NOW_MS} THEN until END AS until FROM lq),
+wait AS (SELECT * FROM rq WHERE status IN ('pending', 'retrying')),
+n1 AS (SELECT unit_id FROM wait ORDER BY activity DESC, unit_id LIMIT {PAGE // 2}),
+n2 AS (SELECT unit_id FROM wait WHERE unit_id NOT IN (SELECT unit_id FROM n1) ORDER BY first_queued_at, unit_id LIMIT {PAGE - PAGE // 2}),
+mine AS (SELECT unit_id FROM n1 UNION SELECT unit_id FROM n2)"""
+
+
+@query(
+    "queue_leases",
+    f"""SELECT unit_id, CASE WHEN m THEN 'running' ELSE status END AS status, CASE WHEN m THEN 'w9' ELSE own END AS lease_owner, CASE WHEN m THEN {NOW_MS + LEASE_MS} ELSE until END AS lease_expires
+    FROM (SELECT *, unit_id IN (SELECT unit_id FROM mine) AS m FROM rq)""",
+    views=True, more=LEASE_SQL,
+)
+def queue_leases(spark: SparkSession, d: str) -> DataFrame:
+    """The queue after leases that have ended are taken back and a worker has claimed a page."""
+    running = F.col("status") == "running"
+    until = F.unix_millis(F.col("activity").cast("timestamp")) + F.col("least_pid") % 7 * 21_600_000
+    q = ad.queue(spark, d).withColumns({
+        "lease_owner": F.when(running, F.concat(F.lit("w"), (F.col("least_pid") % 3).cast("string"))), "lease_expires": F.when(running & (F.col("least_pid") % 4 != 0), until),
+    })
+    out = que.leased(que.recovered(q, NOW_MS), PAGE, "w9", NOW_MS, LEASE_MS)
+    return out.select("unit_id", "status", "lease_owner", "lease_expires")
+
+
 # ---- archive, pseudonyms --------------------------------------------------------------------------------------
 
 
