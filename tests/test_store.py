@@ -172,3 +172,34 @@ def test_leases(spark):
     assert {k: v for k, v in seen(queue.leased(over, 5, "w3", 50, 10)).items() if v[1] == "w3"} == {"b": ("running", "w3", 60), "d": ("running", "w3", 60)}
     assert seen(queue.handed_back(q, "w1"))["a"] == ("pending", None, None) and seen(queue.handed_back(q, "w1"))["b"][0] == "running"
     assert seen(queue.handed_back(q, None, ["b", "e"])) == seen(q) | {"b": ("retrying", None, None)}
+
+
+def test_ingest_and_candidates(spark):
+    from tidepool.plans import pool
+
+    make = spark.createDataFrame
+    stored = make([("1", "ann", "2024-01-02T00:00:00Z", "u", "2024-01-02T00:00:00Z"), ("2", "ann", "2024-01-01T00:00:00Z", "u", "2024-01-01T00:00:00Z")], "id string, contributed_by string, captured_at string, author_id string, sort_ts string")
+    tables = {
+        "captures": stored, "members": make([("1", "U1"), ("2", "U2")], "id string, unit_id string"),
+        "registry": make([("one", "candidate", "2024"), ("two", "approved", "2024"), ("bare", "candidate", "2024")], "name string, status string, first_observed_at string"),
+        "assignments": make([("U1", "one", "free"), ("U2", "one", "free"), ("U2", "two", "free")], "unit_id string, name string, kind string"),
+        "evidence": make([("U1", "one", "free", str(k), f"q{k}") for k in range(7)], "unit_id string, name string, kind string, post_id string, quote string"),
+    }
+    p = pool.Pool(tables, "r")
+    found = {r.name: r for r in p.candidates().collect()}
+    assert set(found) == {"one", "bare"} and (found["one"].units, found["one"].authors, found["one"].days) == (2, 1, 2)
+    assert [q.quote for q in found["one"].quotes] == ["q0", "q1", "q2", "q3", "q4"] and found["bare"].units == 0 and found["bare"].quotes is None
+    assert p.candidates("two").first().units == 1
+    with pytest.raises(pool.NotFound):
+        p.candidates("none")
+
+    post = "envelope long, position long, id string, url string, username string, text string, captured_at string, created_at string"
+    at = "2024-01-0{}T00:00:00Z".format
+    rows = [
+        (1, 0, "1", "l", "n", "t", at(1), None), (1, 1, "2", "l", "n", "t", at(5), None), (1, 2, "2", "l", "n", "t", at(5), None), (1, 3, "3", "l", "n", "t", at(1), None),
+        (1, 4, "", "l", "n", "t", at(1), None),
+    ]
+    new, counts = p.ingest(make(rows, post), "ann", at(9))
+    assert sorted((r.id, r.contributed_by, r.pooled_at, r.position) for r in new.collect()) == [("2", "ann", at(9), 1), ("3", "ann", at(9), 3)]
+    assert tuple(counts.first()) == (2, 2, 1)
+    assert p.ingest(make(rows, post), "bob", at(9))[1].first().added == 3

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.operators import captures as cap
+from tidepool.operators import ingest as ing
 from tidepool.operators import labels as lab
 from tidepool.operators import queue as que
 from tidepool.operators import units as uni
@@ -228,6 +229,37 @@ class Pool:
     def unit_cursor(self, row, cutoff: str | None = None) -> str:
         return cap.encode_cursor((self.revision_of(cutoff), row["sort_ts"], row["unit_id"]))
 
+    # -- ingest, administration
+
+    def ingest(self, posts: DataFrame, contributor: str, at: str) -> tuple[DataFrame, DataFrame]:
+        """What a contributor's envelopes of posts (envelope, position, id, url, username, text, captured_at,
+        created_at, and more) add: the posts that are valid, the first and freshest of their key and fresher
+        than what is stored, stamped; and one row with added, duplicates and rejected. Of envelopes
+        that are too small or too large nothing is taken."""
+        good, bad = ing.accepted(posts)
+        stamped = ing.stamp(good, F.lit(contributor), F.lit(at)).withColumn("replay_pos", F.struct("envelope", "position"))
+        judged = cap.classify(stamped, self.t["captures"])
+        counts = judged.agg(F.count_if("accepted").alias("added"), F.count_if(~F.col("accepted")).alias("duplicates"))
+        rejected = bad.agg(F.count("*").alias("rejected"))
+        return judged.where("accepted").drop("accepted", "replay_pos"), counts.join(F.broadcast(rejected))  # single rows
+
+    def candidates(self, name: str | None = None) -> DataFrame:
+        """name, status, first_observed_at, units, authors, days, quotes (five at most) of the candidates; or
+        of one label, whatever its status (NotFound if there is none)."""
+        known = self.t["registry"].where("status = 'candidate'" if name is None else F.col("name") == name)
+        if name is not None and known.isEmpty():
+            raise NotFound(name)
+        members = self.t["captures"].join(self.t["members"].select("id", "unit_id"), "id")
+        rows = members.select("unit_id", "author_id", F.substring("captured_at", 1, 10).alias("day"))
+        own = self.t["assignments"].join(known.select("name"), "name", "left_semi")
+        counts = lab.signals(own, self.t["evidence"], rows).select("name", "units", "authors", "days")
+        said = lab.quotes(self.t["evidence"], known, 5).groupBy("name").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("n", "unit_id", "post_id", "quote"))), lambda q: F.struct(q["unit_id"], q["post_id"], q["quote"])).alias("quotes")
+        )
+        zero = {c: F.coalesce(c, F.lit(0)) for c in ("units", "authors", "days")}
+        met = known.select("name", "status", "first_observed_at").join(counts, "name", "left").join(said, "name", "left")
+        return met.withColumns(zero)
+
     # -- summaries
 
     def contributors(self) -> DataFrame:
