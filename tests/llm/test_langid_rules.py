@@ -174,3 +174,16 @@ def test_language_with_clashing_columns_and_repeated_rows(spark, odd):
     assert sorted(map(str, langid.identify(wide, model).collect())) == sorted(map(str, langid.identify(odd, model).collect()))
     many = odd.union(spark.range(3000).selectExpr("7 AS doc_id", "'one more text' AS text", "'en' AS lang", "'s' AS source", "1 AS n_chars"))
     assert langid.fit(many, rows_per_language=5000).languages == model.languages
+
+
+def test_a_row_that_is_repeated_often_does_not_lose_its_language(spark):
+    for trial in range(6):
+        other = [(100 + i, f"ein ganz anderer satz nummer {i} über wälder und häuser", "de") for i in range(200)]
+        rows = [(trial, f"le chat noir numéro {trial} dort sous la fenêtre", "fr")] * 4000 + other + [(500 + i, "un autre chat blanc", "fr") for i in range(3)]
+        model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=50)
+        assert set(model.languages) == {"de", "fr"}
+
+
+def test_an_empty_language_is_one(spark):
+    rows = [(i, f"some words number {i}", "") for i in range(20)] + [(50 + i, f"quelques mots {i} encore", "fr") for i in range(20)] + [(99, "no language", None)]
+    assert set(langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages) == {"", "fr"}

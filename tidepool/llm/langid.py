@@ -10,8 +10,8 @@ Document frequencies are counted over all training rows. The centroids are fitte
 sample: about ROWS_PER_LANGUAGE rows of each language, chosen by a hash of id and text. The model
 has CENTROIDS vectors of BUCKETS numbers for each language, which is what reaches the driver.
 
-Null texts and texts without a letter get ``und`` and score 0; rows with a null or empty
-language teach nothing; with nothing learned every row is ``und``. Whole texts count, however
+Null texts and texts without a letter get ``und`` and score 0; rows with a null
+language teach nothing (an empty one is a language); with nothing learned every row is ``und``. Whole texts count, however
 long. Ties go to the language that sorts first. Repeated rows get equal results. Empty tables
 give empty results. Extra columns, whatever their names, are not read.
 """
@@ -131,13 +131,15 @@ def fit(
     rows_per_language: int = ROWS_PER_LANGUAGE, centroids: int = CENTROIDS,
 ) -> Model | None:
     """Learn from the rows of docs that have a language."""
-    known = _rows(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang")).where("coalesce(lang, '') <> ''")
+    known = _rows(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
     df, n = document_frequencies(known, "text")
     if not n:
         return None
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    shares = known.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
-    # by id and text, each once, so that neither repeated rows nor one id of many rows make a sample large
+    # by id and text, each once, so that neither repeated rows nor one id of many rows make a sample large; the
+    # share is of as many as differ, so that a row that is repeated often leaves room for all others
+    differing = F.approx_count_distinct(F.xxhash64("id", "text"), 0.02)
+    shares = known.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.greatest(differing, F.lit(1))).alias("share"))
     # a row for each language, of which the model that is sent anyway has 128 KB
     picked = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     picked = picked.select("id", "text", "lang").distinct()
