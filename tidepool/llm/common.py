@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,12 +51,13 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     df.write.partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
-    if _SCRATCH:
-        _SCRATCH[-1].append(out)
+    if held := _SCRATCH.get():
+        held[-1].append(out)
     return out
 
 
-_SCRATCH: list[list[DataFrame]] = []
+#: Lists of tables, one for each scratch() that is open in this thread.
+_SCRATCH: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
@@ -64,7 +66,8 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     this yields. For steps whose results no longer read what they were made from."""
     own: list[DataFrame] = []
     kept: list[DataFrame] = []
-    _SCRATCH.append(own)
+    outer = _SCRATCH.get()
+    _SCRATCH.set((*outer, own))
 
     def keep(table: DataFrame) -> DataFrame:
         kept.append(table)
@@ -73,12 +76,12 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _SCRATCH.remove(own)
+        _SCRATCH.set(outer)
         for table in own:
             if not any(table is k for k in kept):
                 release(table)
-        if _SCRATCH:
-            _SCRATCH[-1].extend(kept)
+        if outer:
+            outer[-1].extend(kept)
 
 
 def release(table: DataFrame) -> None:
