@@ -133,3 +133,31 @@ def hub_names(rows, name: str = "name", quote: str = "quote"):
     found = rows.withColumn("reference", hub_reference(F.col(quote))).where("reference is not null")
     first = found.groupBy(name).agg(F.min_by("reference", F.struct("unit_id", "post_id", quote)).alias("reference"))
     return first.where(hub_name(F.col("reference")) == F.col(name))
+
+
+# The form of a segment's key, and of a transaction's id within it.
+SEGMENT_KEY = (
+    r"^v1/segments/(tweet|enrichment|attempt|registry|receipt|config|mixed)/([0-9]{4}/[0-9]{2}/[0-9]{2})/"
+    r"([0-9]{13})-([0-9a-f-]{36})-([a-f0-9]{64})\.json\.gz$"
+)
+TRANSACTION_ID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+
+
+def segment_key(key: Column) -> Column:
+    """category, day, created_ms, transaction_id and digest that a key says, as a struct; null where it has
+    another form."""
+    part = lambda i: F.regexp_extract(key, SEGMENT_KEY, i)
+    said = F.struct(
+        part(1).alias("category"), part(2).alias("day"), part(3).cast("long").alias("created_ms"), part(4).alias("transaction_id"), part(5).alias("digest")
+    )
+    return F.when(key.rlike(SEGMENT_KEY), said)
+
+
+def segment_key_fault(said: Column, body_digest: Column) -> Column:
+    """What contradicts itself in a parsed key, the first of: form, transaction (no UUID), date (not the UTC
+    day of its time), digest (not that of the segment's body)."""
+    day = F.date_format(F.timestamp_millis(said["created_ms"]), "yyyy/MM/dd")
+    return (
+        F.when(said.isNull(), "form").when(~said["transaction_id"].rlike(TRANSACTION_ID), "transaction").when(day != said["day"], "date")
+        .when(body_digest != said["digest"], "digest")
+    )

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.functions import pseudonyms
+from tidepool.functions import paths, pseudonyms
 from tidepool.operators import configs, recovery
 from tidepool.operators import labels as lab
 from tidepool.operators import queue as que
@@ -81,6 +81,31 @@ def orphan_outputs(spark: SparkSession, d: str) -> DataFrame:
     return recovery.routed(lines.join(left, "file", "left_semi"), identities, names, CONTRACT, 20)
 
 
+# ---- keys of segments ---------------------------------------------------------------------------------
+
+KEY_CATEGORY = "CASE event_type WHEN 'view' THEN 'tweet' WHEN 'click' THEN 'attempt' WHEN 'signup' THEN 'config' ELSE 'mixed' END"
+
+
+@query(
+    "segment_keys",
+    f"""WITH said AS (
+      SELECT event_id AS e, event_id, {KEY_CATEGORY} AS category, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 17 = 0 THEN '2023/12/31' ELSE strftime(ts, '%Y/%m/%d') END AS day, md5(cast(event_id AS varchar)) AS m,
+        CASE WHEN event_id % 23 = 0 THEN sha256('x') ELSE sha256(props) END AS digest FROM events)
+    SELECT event_id, CASE WHEN e % 29 <> 0 THEN category END AS category, CASE WHEN e % 29 <> 0 THEN ms END AS created_ms,
+      CASE WHEN e % 29 = 0 THEN 'form' WHEN e % 19 = 0 THEN 'transaction' WHEN e % 17 = 0 THEN 'date' WHEN e % 23 = 0 THEN 'digest' END AS fault FROM said""",
+)
+def segment_keys(spark: SparkSession, d: str) -> DataFrame:
+    """What keys of segments say, and where they contradict themselves or the body."""
+    rows = ad.table(spark, d, "events").withColumns({"m": F.md5(F.col("event_id").cast("string")), "e": F.col("event_id")})
+    key = F.expr(
+        f"concat('v1/segments/', {KEY_CATEGORY}, '/', CASE WHEN e % 17 = 0 THEN '2023/12/31' ELSE date_format(ts, 'yyyy/MM/dd') END, '/', unix_millis(cast(ts AS timestamp)), '-', substr(m, 1, 8), '-', "
+        "substr(m, 9, 4), '-', CASE WHEN e % 19 = 0 THEN '9' ELSE '4' END, substr(m, 14, 3), '-8', substr(m, 18, 3), '-', substr(m, 21, 12), '-', "
+        "sha2(CASE WHEN e % 23 = 0 THEN 'x' ELSE props END, 256), CASE WHEN e % 29 = 0 THEN '.json' ELSE '.json.gz' END)"
+    )
+    said = rows.select("event_id", "props", paths.segment_key(key).alias("said"))
+    return said.select("event_id", "said.category", "said.created_ms", paths.segment_key_fault(F.col("said"), F.sha2("props", 256)).alias("fault"))
+
+
 # ---- members of pools -----------------------------------------------------------------------------------
 
 OP = "CASE e % 7 WHEN 0 THEN 'add_admin' WHEN 1 THEN 'remove_admin' WHEN 2 THEN 'remove_member' WHEN 3 THEN 'set_org' WHEN 4 THEN CASE WHEN e % 5 = 0 THEN 'remove_org' ELSE 'remove_admin' END ELSE 'add_member' END"
