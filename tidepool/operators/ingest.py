@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import paths
 from tidepool.operators.captures import reject_reason
+from tidepool.operators.order import numbered
 
 #: Posts of one envelope.
 LEAST, MOST = 1, 1000
@@ -81,14 +82,8 @@ def daily(posts_: DataFrame) -> DataFrame:
 def pinned(files: DataFrame) -> DataFrame:
     """path, digest, source_order, transaction_id, created_at of the files (path, content) of an import:
     ids and times follow from content and order of the paths, so that a second import writes the
-    same. Places are made from sorted partitions and their offsets."""
-    from pyspark.sql import Window as W
-
-    rows = files.select("path", F.sha2("content", 256).alias("digest")).repartitionByRange("path").withColumn("part", F.spark_partition_id())
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    ahead = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    local = F.row_number().over(W.partitionBy("part").orderBy("path")) - 1
-    placed = rows.withColumn("local", local).join(F.broadcast(ahead), "part").withColumn("source_order", F.col("ahead") + F.col("local"))
+    same."""
+    placed = numbered(files.select("path", F.sha2("content", 256).alias("digest")), ["path", "digest"], "source_order", 0)
     key = F.sha2(F.concat_ws(":", "path", "digest"), 256)
     return placed.select(
         "path", "digest", "source_order", paths.deterministic_uuid(key).alias("transaction_id"), paths.deterministic_time(F.col("source_order")).alias("created_at")
