@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.operators import ingest as ing
+from tidepool.operators import results as res
 
 N = 40_000
 
@@ -27,6 +28,13 @@ def mixed(spark):
     return spark.range(N, numPartitions=5).withColumn("id", F.col("id") * 7919 % N)
 
 
+def test_registry_stamps_over_ranges(many_ranges):
+    wanted = mixed(many_ranges).select(F.format_string("n%05d", "id").alias("name"), F.lit("observe").alias("decision"), F.lit("").alias("reason"), F.floor(F.col("id") / 10).alias("pos"))
+    none = many_ranges.createDataFrame([], "name string, status string")
+    got = res.registry_events(wanted, none, "t", "k", 10).collect()
+    assert len(got) == N and all(r["registry_revision"] == 11 + int(r["name"][1:]) for r in got)
+
+
 def test_pinned_over_ranges(many_ranges):
     files = mixed(many_ranges).select(F.format_string("p%05d", "id").alias("path"), F.col("id").cast("string").alias("content"))
     got = ing.pinned(files).collect()

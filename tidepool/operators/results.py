@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidepool.operators.order import numbered
+
 MAX_FREE_LABELS = 5
 _LABEL = "struct<name:string,evidence:array<struct<tweet_id:string,quote:string>>>"
 REPLY = f"map<string,struct<preset_labels:array<{_LABEL}>,free_labels:array<{_LABEL}>>>"
@@ -87,20 +89,16 @@ def accepted_free(said: DataFrame, presets: list[str], registry: DataFrame) -> D
 def registry_events(wanted: DataFrame, registry: DataFrame, at: str, contract: str, base: int) -> DataFrame:
     """name, status, at, contract_hash, registry_revision, reason, actor of the events that names (name,
     decision, reason, pos) lead to: a candidate for one that is not known, a promotion or rejection
-    for a candidate. Revisions follow the base in order of pos, from sorted partitions and offsets."""
+    for a candidate. Revisions follow the base in order of pos."""
     known = registry.select("name", F.col("status").alias("known"))
     d, k = F.col("decision"), F.col("known")
     status = F.when((d == "observe") & k.isNull(), "candidate").when((k == "candidate") & d.isin("approve", "reject"), F.when(d == "approve", "approved").otherwise("rejected"))
     first = wanted.groupBy("name", "decision").agg(F.min_by("reason", "pos").alias("reason"), F.min("pos").alias("pos"))
     rows = first.join(known, "name", "left").withColumn("status", status).where("status is not null")
-    ranged = rows.repartitionByRange("pos", "name").withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    ahead = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    local = F.row_number().over(W.partitionBy("part").orderBy("pos", "name"))
     reason = F.when(F.col("status") == "candidate", "first_observed").otherwise(F.col("reason"))
-    return ranged.withColumn("local", local).join(F.broadcast(ahead), "part").select(
+    return numbered(rows, ["pos", "name", "decision"], "registry_revision", base + 1).select(
         "name", "status", F.lit(at).alias("at"), F.lit(contract).alias("contract_hash"),
-        (base + F.col("ahead") + F.col("local")).alias("registry_revision"), reason.alias("reason"), F.lit("worker").alias("actor"),
+        "registry_revision", reason.alias("reason"), F.lit("worker").alias("actor"),
     )
 
 
