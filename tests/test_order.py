@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.operators import ingest as ing
+from tidepool.operators import labels as lab
 from tidepool.operators import results as res
+from tidepool.plans import adapter as ad
+from tidepool.plans import queries
 
 N = 40_000
 
@@ -28,6 +31,21 @@ def mixed(spark):
     return spark.range(N, numPartitions=5).withColumn("id", F.col("id") * 7919 % N)
 
 
+def test_registry_replay_over_ranges(many_ranges, monkeypatch):
+    names = mixed(many_ranges).select(F.format_string("n%05d", "id").alias("name"), F.lit("candidate").alias("status"), F.sha2(F.col("id").cast("string"), 256).alias("first_observed_at"))
+    monkeypatch.setattr(ad, "registry", lambda spark, d: names)
+    got = queries.registry_replay(many_ranges, "").collect()
+    assert sorted(r["name"] for r in got) == [f"n{i:05d}" for i in range(N * 9 // 10 - 1)]
+
+
+def test_replayed_chain_ends_at_its_first_gap(spark):
+    chain = spark.range(1, 10).select(F.concat(F.lit("n"), "id").alias("name"), F.lit("candidate").alias("status"), F.col("id").alias("revision"), F.col("id").alias("pos"))
+    chain = chain.withColumns({"at": F.lit("t"), "contract_hash": F.lit("k"), "reason": F.lit("")})
+    assert lab.replay_registry(chain, "k").count() == 9
+    assert lab.replay_registry(chain.where("revision <> 4"), "k").count() == 3
+    assert lab.replay_registry(chain.where("revision > 1"), "k").isEmpty()
+
+
 def test_registry_stamps_over_ranges(many_ranges):
     wanted = mixed(many_ranges).select(F.format_string("n%05d", "id").alias("name"), F.lit("observe").alias("decision"), F.lit("").alias("reason"), F.floor(F.col("id") / 10).alias("pos"))
     none = many_ranges.createDataFrame([], "name string, status string")

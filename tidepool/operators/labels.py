@@ -164,10 +164,6 @@ def replay_registry(events: DataFrame, contract: str) -> DataFrame:
     is one number; what is before it is folded by name, so no task holds the chain. Only where a fault
     gave several events one revision, which of them applies depends on all before, and one task folds
     the chain, with the same result."""
-    from pyspark.sql import Window as W
-
-    from tidepool.operators.queue import running
-
     own = events.where(F.col("contract_hash") == contract)
     if not own.groupBy("revision").count().where("count > 1").isEmpty():
         return own.groupBy("contract_hash").applyInPandas(_folded, _REPLAYED)
@@ -176,13 +172,9 @@ def replay_registry(events: DataFrame, contract: str) -> DataFrame:
     legal = F.when(was.isNull(), F.col("status").isin("candidate", "rejected")).otherwise((was == "candidate") | ((was == "approved") & (F.col("status") == "rejected")))
     before = chain.select((F.col("revision") + 1).alias("revision"), F.col("pos").alias("before"))
     judged = chain.withColumn("legal", legal).join(before, "revision", "left")
-    # the n-th of revisions 1, 2, ... without a gap is n
-    placed = running(judged.select("revision", F.lit(1).cast("long").alias("place")), "revision", ["place"])
-    gap = placed.where("place <> revision").agg(F.min("revision").alias("gap"))
-    wrong = judged.where("not legal or before > pos").agg(F.min("revision").alias("wrong"))
-    ends = F.broadcast(gap.join(F.broadcast(wrong)))  # one row
-    end = F.least(F.coalesce("gap", F.lit(1 << 62)), F.coalesce("wrong", F.lit(1 << 62)))
-    applied = judged.join(ends).where(F.col("revision") < end)
+    # a chain has its first gap before the first revision whose predecessor is missing
+    ends = judged.where("not legal or before > pos or (before is null and revision > 1)").agg(F.coalesce(F.min("revision"), F.lit(1 << 62)).alias("end"))
+    applied = judged.join(F.broadcast(ends)).where(F.col("revision") < F.col("end"))  # one row
     last = lambda c: F.max_by(c, "revision")
     return applied.groupBy("name").agg(
         last("status").alias("status"), F.min_by("at", "revision").alias("first_observed_at"), last("at").alias("updated_at"), last("reason").alias("reason")

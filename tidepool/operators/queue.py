@@ -90,19 +90,6 @@ def backoff_ms(attempt: Column, error_class: Column) -> Column:
     return F.when(stuck, F.lit(86_400_000)).otherwise(base).cast("long")
 
 
-def running(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    """rows with columns replaced by their running sums in an order (distinct values). Rows are dealt to
-    ranges of the order; of each range one row of sums is kept, which all rows of later ranges add."""
-    dealt = rows.repartitionByRange(order).withColumn("part", F.spark_partition_id())
-    sums = dealt.groupBy("part").agg(*(F.sum(c).alias(c) for c in columns))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
-    ahead = sums.select("part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"ahead_{c}") for c in columns))
-    within = W.partitionBy("part").orderBy(order)
-    local = dealt.select("part", order, *(F.sum(c).over(within).alias(c) for c in columns), *(c for c in rows.columns if c not in (order, *columns)))
-    met = local.join(F.broadcast(ahead), "part")
-    return met.select(*((F.col(c) + F.col(f"ahead_{c}")).alias(c) if c in columns else F.col(c) for c in rows.columns))
-
-
 def failed(units: DataFrame, at_once: Column) -> DataFrame:
     """units (unit_id, attempts) after a failure: one attempt more, blocked at MAX_ATTEMPTS or at once,
     else retrying; without a lease."""

@@ -11,6 +11,7 @@ from tidepool.operators import captures as cap
 from tidepool.operators import labels as lab
 from tidepool.operators import queue as que
 from tidepool.operators import units as uni
+from tidepool.operators.order import numbered
 from tidepool.plans import adapter as ad
 
 QUERIES: dict = {}
@@ -468,12 +469,12 @@ def registry_decisions(spark: SparkSession, d: str) -> DataFrame:
 )
 def registry_replay(spark: SparkSession, d: str) -> DataFrame:
     """A chain of events made of the labels: candidates, then decisions. One revision is left out after
-    nine tenths, so nothing applies from there on. Positions come from ranges and their offsets."""
+    nine tenths, so nothing applies from there on."""
     names = ad.registry(spark, d).select("name", "status", F.col("first_observed_at").alias("at"))
     first = names.withColumn("status", F.lit("candidate")).withColumn("turn", F.lit(0))
     then = names.where("status <> 'candidate'").withColumn("turn", F.lit(1))
-    both = first.unionByName(then).withColumn("key", F.concat("turn", F.lit(":"), "name")).withColumn("pos", F.lit(1).cast("long"))
-    events = que.running(both, "key", ["pos"]).join(F.broadcast(both.agg(F.count("*").alias("n"))))  # one row
+    both = first.unionByName(then)
+    events = numbered(both, ["turn", "name"], "pos").join(F.broadcast(both.agg(F.count("*").alias("n"))))  # one row
     gap = F.greatest(F.lit(2), F.floor(F.col("n") * 9 / 10))
     events = events.withColumn("revision", F.col("pos") + (F.col("pos") >= gap).cast("long")).withColumn("contract_hash", F.lit("k"))
     return lab.replay_registry(events.withColumn("reason", F.lit(None).cast("string")), "k").select("name", "status", "first_observed_at", "updated_at")
@@ -519,13 +520,9 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("queue_plan", "SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS ordinal FROM queue WHERE status IN ('pending', 'retrying', 'running')")
 def queue_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Ordinals of waiting units: partition offsets and local positions, no single task."""
+    """Ordinals of waiting units."""
     open_ = ad.queue(spark, d).where(F.col("status").isin("pending", "retrying", "running")).select("unit_id")
-    ranged = open_.repartitionByRange("unit_id").withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    ahead = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(W.partitionBy("part").orderBy("unit_id")) - 1
-    return ranged.withColumn("local", local).join(F.broadcast(ahead), "part").select("unit_id", (F.col("ahead") + F.col("local")).alias("ordinal"))
+    return numbered(open_, ["unit_id"], "ordinal", 0)
 
 
 CLAIM = 20
