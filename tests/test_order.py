@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidepool.operators import client
 from tidepool.operators import ingest as ing
 from tidepool.operators import labels as lab
 from tidepool.operators import results as res
@@ -31,6 +32,12 @@ def mixed(spark):
     return spark.range(N, numPartitions=5).withColumn("id", F.col("id") * 7919 % N)
 
 
+def test_receipts_over_ranges(many_ranges):
+    seen = mixed(many_ranges).select(F.col("id").alias("pos"), F.col("id").cast("string").alias("id"), (F.col("id") % 3).alias("list_id"))
+    got = client.receipts(seen).collect()
+    assert len(got) == N and all(r["sequence"] == r["pos"] + 1 for r in got)
+
+
 def test_registry_replay_over_ranges(many_ranges, monkeypatch):
     names = mixed(many_ranges).select(F.format_string("n%05d", "id").alias("name"), F.lit("candidate").alias("status"), F.sha2(F.col("id").cast("string"), 256).alias("first_observed_at"))
     monkeypatch.setattr(ad, "registry", lambda spark, d: names)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidepool.operators.order import numbered
+
 
 def first_seen(captures: DataFrame, backfill: Column | None = None) -> DataFrame:
     """Captures (id, is_article, replay_pos) that pass: the first of each post; the first
@@ -25,15 +27,9 @@ def first_seen(captures: DataFrame, backfill: Column | None = None) -> DataFrame
 
 def receipts(seen: DataFrame) -> DataFrame:
     """list_id, id, pos, sequence of the first sight (pos) of each post in each list. Numbers
-    grow with pos over all lists; they are made from sorted partitions and their offsets, so
-    no task holds all rows."""
+    grow with pos over all lists, by list and id where it is the same."""
     first = seen.groupBy("list_id", "id").agg(F.min("pos").alias("pos"))
-    ranged = first.repartitionByRange("pos").withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    ahead = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    local = F.row_number().over(W.partitionBy("part").orderBy("pos"))
-    numbered = ranged.withColumn("local", local).join(F.broadcast(ahead), "part")  # a row for each partition
-    return numbered.select("list_id", "id", "pos", (F.col("ahead") + F.col("local")).alias("sequence"))
+    return numbered(first, ["pos", "list_id", "id"], "sequence")
 
 
 def observations(sights: DataFrame, known: DataFrame, baseline: int) -> DataFrame:
