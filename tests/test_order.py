@@ -38,6 +38,12 @@ def test_receipts_over_ranges(many_ranges):
     assert len(got) == N and all(r["sequence"] == r["pos"] + 1 for r in got)
 
 
+def test_observations_over_ranges(many_ranges):
+    seen = mixed(many_ranges).select(F.col("id").alias("pos"), F.col("id").cast("string").alias("id"), (F.col("id") % 3).alias("list_id"))
+    got = client.observations(seen.withColumn("run_id", F.col("list_id")), client.receipts(seen), 500).collect()
+    assert len(got) == N and all(r["known_before"] == (r["pos"] < 500) for r in got)
+
+
 def test_registry_replay_over_ranges(many_ranges, monkeypatch):
     names = mixed(many_ranges).select(F.format_string("n%05d", "id").alias("name"), F.lit("candidate").alias("status"), F.sha2(F.col("id").cast("string"), 256).alias("first_observed_at"))
     monkeypatch.setattr(ad, "registry", lambda spark, d: names)
