@@ -101,21 +101,28 @@ def _unit_docs(spark: SparkSession, d: str, done: dict) -> DataFrame:
     return done["member_rows"].select("unit_id", "id", "doc_id").distinct()
 
 
-def words_of(spark: SparkSession, d: str, pattern: str, of: DataFrame | None = None) -> DataFrame:
-    """doc_id, name: the distinct words of each document that a pattern finds; of those in `of` alone."""
+#: Names that a unit may have.
+MOST_NAMES = 5
+
+
+def words_of(spark: SparkSession, d: str, pattern: str, of: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """doc_id, name: the distinct words of each document that a pattern finds; of those in `of` alone;
+    of each document only the first `most` by name."""
     docs = texts(spark, d) if of is None else texts(spark, d).join(of.select("doc_id").distinct(), "doc_id", "left_semi")
-    return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("name"))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    return docs.select("doc_id", F.explode(words if most is None else F.slice(F.array_sort(words), 1, most)).alias("name"))
 
 
-def first_names(said: DataFrame, most: int = 5) -> DataFrame:
-    """unit_id, name: at most five names a unit, the first by name."""
-    n = F.row_number().over(W.partitionBy("unit_id").orderBy("name"))
-    return said.withColumn("n", n).where(F.col("n") <= most).select("unit_id", "name")
+def first_names(said: DataFrame, of: str = "unit_id", most: int = MOST_NAMES) -> DataFrame:
+    """unit_id, name: at most five names a unit (or of what else names are said), the first by name. Those
+    of a unit are among the first five of its documents, so documents are cut before units are joined."""
+    n = F.row_number().over(W.partitionBy(of).orderBy("name"))
+    return said.withColumn("n", n).where(F.col("n") <= most).select(of, "name")
 
 
 def _free_labels(spark: SparkSession, d: str, done: dict) -> DataFrame:
     units = done["unit_docs"].select("unit_id", "doc_id").distinct()
-    words = words_of(spark, d, "[a-z]{9,12}", units if done.get("some") else None)
+    words = words_of(spark, d, "[a-z]{9,12}", units if done.get("some") else None, MOST_NAMES)
     return first_names(units.join(words, "doc_id").select("unit_id", "name").distinct())
 
 
