@@ -417,9 +417,12 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars")
     """docs with every span that a scan finds replaced by a mark; null texts stay null. Where
     there is a column of lengths, it follows the text."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: None if t is None else redacted(t))
+    def cleaned(texts):
+        import pyarrow as pa
+
+        return pa.array([None if t is None else redacted(t) for t in texts.to_pylist()], pa.string())
+
+    clean = F.arrow_udf(cleaned, "string")  # pandas would be held by each worker for nothing
 
     changed = docs.withColumn(text_col, clean(F.col(text_col)))
     if chars_col not in docs.columns:
