@@ -12,3 +12,10 @@ def test_stages_bound_arrow_batches(spark):
         assert sorted(map(tuple, got)) == [(1, "[SECRET]", 8), (2, None, None)]
         assert int(spark.conf.get(corpus_pipeline.BATCH_KEY)) == then
     spark.conf.set(corpus_pipeline.BATCH_KEY, was)
+
+
+def test_every_trusted_row_counts(spark):
+    from tidepool.llm import rules
+
+    marks = spark.range(250_000).selectExpr("id AS doc_id", "1 AS quality")
+    assert rules.trusted_rows(marks).count() == 250_000

@@ -3,8 +3,7 @@
 The ratio compares two multinomials over hashed byte n-grams, one of trusted target texts
 (rows labelled as of good quality), one of the raw corpus (all rows). A text's verdict is the
 mean ratio of its n-grams (length-normalised) against a fixed threshold, the same for every
-text. The raw counts cover every row; the trusted ones cover about TRUSTED_ROWS labelled rows,
-a documented bound, chosen by a hash of the id.
+text. The raw counts cover every row, the trusted ones every row that is labelled so.
 
 Base statistics take words as runs of bytes that are no white space (space, \\x09-\\x0D). Null
 text counts as empty: no words, base_failed. Whole texts count. Repeated rows, and equal texts
@@ -25,11 +24,9 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import (
     binary_batch, chunks, documents, labels, mix, sequence_hashes, word_bounds, word_hashes,
 )
-from tidepool.llm.quality import _sampled
 
 #: Bytes of an n-gram, and hash buckets.
 WIDTH, BUCKETS = 4, 1 << 16
-TRUSTED_ROWS = 200_000
 #: Added to each bucket's count in both multinomials.
 SMOOTHING = 1.0
 #: A text is kept if its mean log ratio is at least this.
@@ -57,8 +54,8 @@ def buckets(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def corpus_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of all rows and of trusted ones by bucket. trusted: ids, at most about
-    TRUSTED_ROWS of them (8 bytes each), so that they can be sent to every task."""
+    """n-grams of all rows and of trusted ones by bucket. trusted: ids, as many as there are. Both
+    sides are dealt by id whatever their size, so that shuffled bytes grow with the input."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -72,7 +69,7 @@ def corpus_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], ["bucket", "raw", "good"])
 
-    ids = F.broadcast(trusted.select(F.col(trusted.columns[0]).cast("long").alias("trusted")).distinct())
+    ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("trusted")).distinct().hint("shuffle_hash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(ids, F.col("id") == F.col("trusted"), "left").select("text", F.col("trusted").isNotNull().alias("good"))
     sums = rows.mapInArrow(run, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good"))
@@ -161,9 +158,9 @@ def apply_rules(
     return rows.mapInArrow(run, f"id long, {counts}, base_failed boolean, log_ratio double, kept boolean")
 
 
-def trusted_rows(marks: DataFrame, bound: int = TRUSTED_ROWS) -> DataFrame:
-    good = marks.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return _sampled(good, "doc_id", good.count(), bound)
+def trusted_rows(marks: DataFrame) -> DataFrame:
+    """All ids that are labelled as of good quality."""
+    return marks.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
