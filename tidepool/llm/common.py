@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +92,29 @@ def release(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Words of 64 bits of a filter of keys at most; it is sent to the rows.
+FILTER_WORDS = 1 << 18
+
+
+def met_and_others(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key (long, or null) may be in the one column of `keys`, with all that are, and the
+    rows whose key is not there. A Bloom filter of the keys decides, so that a join with a table that
+    is too large to be sent moves few rows besides those that it meets. A key is four bits of one word;
+    beyond FILTER_WORDS more rows pass."""
+    words = min(FILTER_WORDS, 1 << (keys.count() // 4).bit_length())
+
+    def placed(k: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(k)
+        bits = (F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(63).cast("int")) for i in range(4))
+        return F.pmod(F.shiftright(h, 24), F.lit(words)), reduce(Column.bitwiseOR, bits)
+
+    at, bits = placed(keys[keys.columns[0]].cast("long"))
+    held = keys.select(at.alias("filter_word"), bits.alias("bits")).groupBy("filter_word").agg(F.bit_or("bits").alias("filter_bits"))
+    at, bits = placed(key.cast("long"))
+    on = (at == held["filter_word"]) & (held["filter_bits"].bitwiseAND(bits) == bits)
+    return rows.join(F.broadcast(held), on, "left_semi"), rows.join(F.broadcast(held), on, "left_anti")
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

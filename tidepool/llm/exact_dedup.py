@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import LOWER_AZ, documents, materialize, scratch, text_bytes
+from tidepool.llm.common import LOWER_AZ, documents, materialize, met_and_others, scratch, text_bytes
 
 #: Entries that a memtable holds before it is flushed.
 MEMTABLE_ENTRIES = 100_000
@@ -330,20 +330,26 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = kept.groupBy("digest").agg(F.min("mark").alias("mark"), F.max("id").alias("id"), F.count("*").alias("n"))
     beside = kept.join(stays, ["digest", "mark"], "left_anti")
     named = (F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"))
-    # as a table, whose size the planner knows: a small one is sent to the rows, which then stay in place
+    # as a table, whose size the planner knows: a small one is sent to the rows, which then stay in place;
+    # with a large one only the rows meet that a filter of its ids lets pass
     gone = materialize(found.where("not kept").unionByName(beside).select(*named), "lsm-gone")
     mark = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
 
+    twice = stays.where("n > 1").select(*named)
+    several = not twice.isEmpty()
+    named_rows = gone.unionByName(twice) if several else gone
+    asked, others = met_and_others(docs, docs[id_col], named_rows.select("gone_id"))
+
     def join(marks: DataFrame, how: str) -> DataFrame:
-        return docs.join(marks, docs[id_col].cast("long").eqNullSafe(marks["gone_id"]) & (mark == marks["gone_mark"]), how)
+        return asked.join(marks, docs[id_col].cast("long").eqNullSafe(marks["gone_id"]) & (mark == marks["gone_mark"]), how)
 
-    twice = stays.where("n > 1").select(*named)
-    if twice.isEmpty():
-        return join(gone, "left_anti")
+    rest = others.unionByName(join(named_rows, "left_anti"))
+    if not several:
+        return rest
     # repeated rows of a text that stays: one of them is taken beside the rest
     name = "mark" + "_" * max(map(len, docs.columns))
     one = join(twice, "left_semi").withColumn(name, mark).dropDuplicates([id_col, name]).drop(name)
-    return join(gone.unionByName(twice), "left_anti").unionByName(one)
+    return rest.unionByName(one)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import LOWER_AZ, WORD_BYTES, chunks, documents, materialize, mix, release, scratch, text_bytes
+from tidepool.llm.common import LOWER_AZ, WORD_BYTES, chunks, documents, materialize, met_and_others, mix, release, scratch, text_bytes
 
 SHINGLE_WORDS = 5
 BITS = 64
@@ -561,7 +561,8 @@ def _similar(rows: DataFrame, shingle_words: int, similarity: float) -> DataFram
         pairs = materialize(pairs, "near-pairs")
         tried = pairs if tried is None else tried.union(pairs)
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = rows.join(wanted, "id", "left_semi").mapInArrow(shingled, "id long, shingles binary").distinct()
+        asked, _ = met_and_others(rows, rows["id"], wanted)
+        sets = asked.join(wanted, "id", "left_semi").mapInArrow(shingled, "id long, shingles binary").distinct()
         sets = materialize(sets, "near-sets")
         left, right = sets.toDF("a", "p"), sets.toDF("b", "q")
         found = pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(verified, "a long, b long")
@@ -586,11 +587,14 @@ def drop_similar(
     gone = found.where("id <> component_id").select(F.col("id").alias("gone_id")).distinct()
     own = docs[id_col].cast("long")
     if several is None:
-        return docs.join(gone, own == gone["gone_id"], "left_anti")
+        asked, others = met_and_others(docs, own, gone)
+        return others.unionByName(asked.join(gone, own == gone["gone_id"], "left_anti"))
     marks = several.join(gone, several["number"] == gone["gone_id"]).select(F.col("own_id").alias("shared_id"), "mark")
     mark = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
-    left = docs.join(gone.where("gone_id > -4611686018427387904"), own == gone["gone_id"], "left_anti")
-    return left.join(marks, own.eqNullSafe(marks["shared_id"]) & (mark == marks["mark"]), "left_anti")
+    asked, others = met_and_others(docs, own, gone.unionByName(marks.select(F.col("shared_id").alias("gone_id"))))
+    left = asked.join(gone.where("gone_id > -4611686018427387904"), own == gone["gone_id"], "left_anti")
+    left = left.join(marks, own.eqNullSafe(marks["shared_id"]) & (mark == marks["mark"]), "left_anti")
+    return others.unionByName(left)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
